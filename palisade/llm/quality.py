@@ -44,7 +44,7 @@ def rules() -> list[Rule]:
         Rule("symbols", long_enough & (share("n_symbols") < 0.01), share("n_symbols") > 0.1),
         Rule("repetition", long_enough & (share("n_repeat_words") < 0.05), share("n_repeat_words") > 0.3),
         Rule("lines", long_enough & (c("n_dup_lines") <= 1), c("n_dup_lines") * 2 > c("n_lines")),
-        Rule("letters", long_enough & (c("n_letters") * 100 > 90 * c("word_chars")), c("n_letters") * 100 < 75 * c("word_chars")),
+        Rule("letters", long_enough & (c("n_letters") * 100 > 90 * c("word_chars")), c("n_letters") * 100 < 85 * c("word_chars")),
         Rule("capitals", long_enough & (c("n_upper") * 10 < c("word_chars")), c("n_upper") * 2 > c("word_chars")),
         Rule("exclamations", long_enough & (share("n_shouts") < 0.02), share("n_shouts") > 0.2),
         Rule("word length", long_enough & c("word_chars").between(3 * words_, 9 * words_), ~c("word_chars").between(2 * words_, 14 * words_)),
