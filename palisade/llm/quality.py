@@ -20,6 +20,7 @@ from palisade.llm.common import SPACES, fresh, masked, text_or_empty, unmasked,
 
 #: Words of the windows whose repetition is counted.
 WINDOW = 8
+SYMBOLS = "#*$%&|<>"
 ROUNDS = 25
 #: How often a rule is thought to vote against, abstain and vote for good texts, and for bad ones; counts as this share of the corpus.
 PRIOR, STRENGTH = ((0.01, 0.24, 0.75), (0.35, 0.3, 0.35)), 0.1
@@ -45,6 +46,7 @@ def rules() -> list[Rule]:
         Rule("repetition", long_enough & (share("n_repeat_words") < 0.05), share("n_repeat_words") > 0.3),
         Rule("lines", long_enough & (c("n_dup_lines") <= 1), c("n_dup_lines") * 2 > c("n_lines")),
         Rule("letters", long_enough & (c("n_letters") * 100 > 90 * c("word_chars")), c("n_letters") * 100 < 85 * c("word_chars")),
+        Rule("bare symbols", long_enough & (c("n_bare") == 0), share("n_bare") > 0.1),
         Rule("capitals", long_enough & (c("n_upper") * 10 < c("word_chars")), c("n_upper") * 2 > c("word_chars")),
         Rule("exclamations", long_enough & (share("n_shouts") < 0.02), share("n_shouts") > 0.2),
         Rule("word length", long_enough & c("word_chars").between(3 * words_, 9 * words_), ~c("word_chars").between(2 * words_, 14 * words_)),
@@ -70,7 +72,7 @@ def add_measures(df: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "word_chars": F.length(F.regexp_replace(t, SPACES, "")).cast("long"),
-            "n_symbols": _count(t, "#*$%&|<>"),
+            "n_symbols": _count(t, SYMBOLS),
             "n_shouts": _count(t, "!"),
             "n_stops": _count(t, ".?"),
             "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long"),
@@ -78,7 +80,7 @@ def add_measures(df: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     windows = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col(w), i, WINDOW)))
-    df = df.withColumns({"n_words": F.size(w).cast("long"), h: F.when(F.size(w) > WINDOW, windows)}).drop(w)
+    df = df.withColumns({"n_words": F.size(w).cast("long"), "n_bare": F.size(F.filter(w, lambda x: x.isin(*SYMBOLS))).cast("long"), h: F.when(F.size(w) > WINDOW, windows)}).drop(w)
     placed = F.sort_array(F.transform(F.col(h), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     df = df.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), placed)).drop(h)
     near = lambda j: F.get(F.col(s), j)["h"]

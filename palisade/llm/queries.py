@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import byte_bpe, mixing, quality, secrets_ledger, sharding, token_counts, url_filters
+from palisade.llm import byte_bpe, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
 from palisade.llm.common import table, written
 
 #: Parameters of the queries.
@@ -17,6 +17,13 @@ SPAM_LABELS = ["spam-farm", "cheap-pills"]
 TOKEN_LIMIT = 512
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.add_scores(docs, model)
+    return out.select("doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.add_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -101,6 +108,7 @@ SELECT page_id, host, path, rule,
          WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_sharding": op4_sharding,
