@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import byte_bpe, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
+from palisade.llm import byte_bpe, jaccard_join, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
 from palisade.llm.common import table, written
 
 #: Parameters of the queries.
@@ -82,6 +82,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.near_components(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def _shard_sql() -> str:
     listed = ",".join(map(str, sharding.filled(SHARDS)))
     return f"""
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 
