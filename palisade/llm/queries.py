@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import byte_bpe, jaccard_join, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
+from palisade.llm import byte_bpe, cover_search, jaccard_join, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
 from palisade.llm.common import table, written
 
 #: Parameters of the queries.
@@ -60,6 +60,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -112,12 +116,20 @@ SELECT page_id, host, path, rule,
     CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
          WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+ s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_sharding": op4_sharding,
     "op5_url_filters": op5_url_filters,
+    "op6_top_k": op6_top_k,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
@@ -126,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": _shard_sql(), "op5_url_filters": URL_SQL}
+    return {"op4_sharding": _shard_sql(), "op5_url_filters": URL_SQL, "op6_top_k": TOP_K_SQL}
