@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import byte_bpe, mixing, quality, secrets_ledger
+from palisade.llm import byte_bpe, jaccard_join, mixing, quality, secrets_ledger
 from palisade.llm.common import written
 
 
@@ -14,6 +14,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near copies: 0.8 of five-word shingles in common."""
+    return jaccard_join.one_of_each(docs, num=4, den=5, size=5)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [kind] in place of each secret, and n_chars counted anew for those."""
     return secrets_ledger.redact(docs, length="n_chars")
@@ -31,6 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_good),
+    ("n-gram Jaccard join", drop_near_copies),
     ("secret scans", redact_secrets),
     ("mixing sources to target weights", mix_sources),
     ("byte-level BPE encoding and decoding", encode),
@@ -41,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table documents, each on what the one before it kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+        docs = written(stage(spark, docs, sf_dir), name.split()[0].replace("-", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)

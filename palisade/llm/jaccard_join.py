@@ -67,18 +67,22 @@ def best_boundary(sizes: dict[int, int], num: int, den: int) -> int:
     return min(range(MOST_SMALL + 1), key=lambda x: (cost(x), -x))
 
 
-def _bucket_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often elements of each bucket occur in the partition's sets, and last how many sets have each (small) size."""
-    counts, sizes = np.zeros(BUCKETS, dtype=np.int64), np.zeros(CHUNK, dtype=np.int64)
-    for batch in batches:
-        for part in slices(batch.column(0)):
-            sets = shingle_sets(part)
-            elements = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            counts += np.bincount((elements % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            sizes += np.bincount([min(len(s), CHUNK - 1) for s in sets], minlength=CHUNK)
-    if sizes.any():
-        parts = [*counts.reshape(-1, CHUNK), sizes]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+def _bucket_counts(size: int):
+    """How often elements of each bucket occur in a partition's sets, and last how many sets have each (small) size."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sizes = np.zeros(BUCKETS, dtype=np.int64), np.zeros(CHUNK, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                sets = shingle_sets(part, size)
+                elements = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+                counts += np.bincount((elements % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                sizes += np.bincount([min(len(s), CHUNK - 1) for s in sets], minlength=CHUNK)
+        if sizes.any():
+            parts = [*counts.reshape(-1, CHUNK), sizes]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+
+    return of
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -86,9 +90,9 @@ def _summed(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The tables over all documents; BUCKETS and CHUNK entries, whatever the corpus."""
-    parts = docs.select(text).mapInArrow(_bucket_counts, "chunk int, counts binary")
+    parts = docs.select(text).mapInArrow(_bucket_counts(size), "chunk int, counts binary")
     out = np.zeros((BUCKETS // CHUNK + 1, CHUNK), dtype=np.int64)
     for row in parts.groupBy("chunk").applyInPandas(_summed, "chunk int, counts binary").collect():
         out[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int64)
@@ -109,13 +113,13 @@ def _keys(s: np.ndarray, table: np.ndarray, boundary: int, num: int, den: int) -
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _index(table, boundary: int, num: int, den: int):
+def _index(table, boundary: int, num: int, den: int, size: int):
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = table.value, set()
         for batch in batches:
             n_, class_, keys, at = [], [], [], 0
             for part in slices(batch.column("text")):
-                for s in shingle_sets(part):
+                for s in shingle_sets(part, size):
                     c = signature(s)
                     new = len(s) > 0 and c not in seen and batch.column("id")[at].is_valid
                     if len(seen) > 1_000_000:
@@ -131,12 +135,12 @@ def _index(table, boundary: int, num: int, den: int):
     return of
 
 
-def _links(num: int, den: int):
+def _links(num: int, den: int, size: int):
     """Spanning links among the classes of one group that are similar enough."""
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["class", "text"])
-        sets = shingle_sets(frame["text"].tolist())
+        sets = shingle_sets(frame["text"].tolist(), size)
         rows = {}  # an id may have other texts than its class's
         for s, c, r, b in zip(sets, frame["class"], frame["rep"], frame["block"], strict=True):
             if len(s) and signature(s) == c:
@@ -197,14 +201,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
+def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> tuple[DataFrame, DataFrame]:
     """(documents (id, n, class, rep), links (a, b) between classes' representatives, enough to connect them)."""
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts, sizes = frequencies(own, "text")
+    counts, sizes = frequencies(own, "text", size)
     table = spark.sparkContext.broadcast(counts)
     boundary = best_boundary({n: int(k) for n, k in enumerate(sizes[: 2 * MOST_SMALL]) if n and k}, num, den)
-    indexed = written(own.mapInArrow(_index(table, boundary, num, den), "id long, n long, class long, keys array<long>"), "index")
+    indexed = written(own.mapInArrow(_index(table, boundary, num, den, size), "id long, n long, class long, keys array<long>"), "index")
     members = indexed.select("id", "n", "class")
     reps = members.where("id IS NOT NULL AND n > 0").groupBy("class").agg(F.min("id").alias("rep"))
     listed = indexed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class", "n")
@@ -227,22 +231,22 @@ def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     if ids.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     met = met.join(texts.withColumnRenamed("id", "rep"), "rep")
-    links = met.groupBy("pivot", "i", "j").applyInPandas(_links(num, den), "a long, b long")
+    links = met.groupBy("pivot", "i", "j").applyInPandas(_links(num, den, size), "a long, b long")
     return members.join(reps, "class", "left"), links.distinct()
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> DataFrame:
     """(id, n, component) of every row of docs."""
-    members, links = join_links(docs, doc_id, text, num, den)
+    members, links = join_links(docs, doc_id, text, num, den, size)
     labels = components(links)
     out = members.withColumn("node", F.when(F.col("n") > 0, F.col("rep"))).join(labels, "node", "left")
     return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> DataFrame:
     """The rows of docs whose id is their component's; of repeated ids one row, and all rows without an id."""
     inner, of = masked(docs)
     key = of[doc_id]
-    kept = near_components(inner, key, of[text], num, den).where("id = component").select("id").distinct()
+    kept = near_components(inner, key, of[text], num, den, size).where("id = component").select("id").distinct()
     out = inner.join(kept, F.col(key) == F.col("id"), "left_semi").dropDuplicates([key])
     return unmasked(out.unionByName(inner.where(F.col(key).isNull())), of)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-SIZE = 3
+LONGEST = 15  # words in a shingle at most
 PIECE = 1 << 22  # bytes hashed at a time
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RNG.integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(1, 1 << 63, LONGEST + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Lower-cases A-Z only, and turns the six white-space characters into spaces.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -53,21 +53,21 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; of fewer than SIZE words the whole sequence is the shingle."""
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; of fewer than `size` words the whole sequence is the shingle."""
     raw = [t.encode() for t in texts]
     lengths = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     h, places = word_hashes(b" ".join(raw))
     bounds = np.searchsorted(places, np.r_[0, np.cumsum(lengths)])
-    parts = [h[i : len(h) - (SIZE - 1 - i)] * _MIX[i] if len(h) >= SIZE else h[:0] for i in range(SIZE)]
+    parts = [h[i : len(h) - (size - 1 - i)] * _MIX[i] if len(h) >= size else h[:0] for i in range(size)]
     joined = mixed(sum(parts[1:], parts[0]))
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= SIZE:
-            s = np.sort(joined[a : b - SIZE + 1])
+        if b - a >= size:
+            s = np.sort(joined[a : b - size + 1])
             out.append(s[np.r_[True, s[1:] != s[:-1]]])
         elif b > a:
-            out.append(mixed((h[a:b] * _MIX[: b - a]).sum(keepdims=True) + np.uint64(b - a) * _MIX[3]))
+            out.append(mixed((h[a:b] * _MIX[: b - a]).sum(keepdims=True) + np.uint64(b - a) * _MIX[LONGEST]))
         else:
             out.append(h[:0])
     return out
@@ -75,5 +75,5 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 
 def signature(s: np.ndarray) -> int:
     """A 64-bit hash of the set, as a signed integer."""
-    total = mixed(s + _MIX[3]).sum() + np.uint64(len(s)) * _MIX[0]
+    total = mixed(s + _MIX[LONGEST]).sum() + np.uint64(len(s)) * _MIX[0]
     return int(mixed(np.array([total]))[0].astype(np.int64))
