@@ -6,8 +6,8 @@ classes with a common subset meet. Large sets are put into inverted lists under
 as many as a linked partner must share one of; lists are scanned for members of compatible sizes. The boundary is
 where enumerating gets dearer than scanning, by the sizes that the corpus has.
 
-Each list names a pivot; all members of a pivot's lists meet in one group, or, beyond BLOCK members, in pairs of
-blocks. There sets are compared exactly, pairs that are connected already or that a bitmap rules out not at all,
+Short lists give their pairs, sifted by sketches that bound how much two sets differ; each longer list names a pivot.
+All members of a pivot's lists or pairs meet in one group, or, beyond BLOCK members, in pairs of blocks. There sets are compared exactly, pairs that are connected already or that a bitmap rules out not at all,
 so a group gives back fewer links than it has members. Components come from those links.
 
 A row without doc_id keeps its size and has no component. Null or empty texts have empty sets, linked with
@@ -33,7 +33,9 @@ from palisade.llm.shingles import mixed, shingle_sets, signature
 from palisade.llm.token_counts import slices
 
 #: Buckets of the table that tells rare elements from frequent ones (fixed, so it may be broadcast).
-BUCKETS, CHUNK = 1 << 18, 1 << 13
+BUCKETS, CHUNK = 1 << 20, 1 << 15
+#: Lists up to this length give their pairs, which a sketch of each class then sifts; longer ones a pivot.
+PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
 #: Classes compared in one group, and ids (8 bytes each) up to which the routed ones are broadcast.
 BLOCK, BROADCAST_IDS = 384, 1 << 20
 #: Largest set for which subsets may be enumerated, whatever the costs; rows that an element's list is taken to have.
@@ -113,11 +115,17 @@ def _keys(s: np.ndarray, table: np.ndarray, boundary: int, num: int, den: int) -
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """For each of the sketch's bits whether an odd number of elements falls there: where two sketches differ, so do the sets."""
+    odd = np.bincount(((s >> np.uint64(33)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _index(table, boundary: int, num: int, den: int, size: int):
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = table.value, set()
         for batch in batches:
-            n_, class_, keys, at = [], [], [], 0
+            n_, class_, keys, sketches, at = [], [], [], [], 0
             for part in slices(batch.column("text")):
                 for s in shingle_sets(part, size):
                     c = signature(s)
@@ -129,8 +137,9 @@ def _index(table, boundary: int, num: int, den: int, size: int):
                     n_.append(len(s))
                     class_.append(c)
                     keys.append(_keys(s, counts, boundary, num, den) if new else None)  # copies in this partition: once
+                    sketches.append(_sketch(s) if new else None)
                     at += 1
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_, pa.int64()), pa.array(class_, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_, pa.int64()), pa.array(class_, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "class", "keys", "sketch"])
 
     return of
 
@@ -208,7 +217,7 @@ def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     counts, sizes = frequencies(own, "text", size)
     table = spark.sparkContext.broadcast(counts)
     boundary = best_boundary({n: int(k) for n, k in enumerate(sizes[: 2 * MOST_SMALL]) if n and k}, num, den)
-    indexed = written(own.mapInArrow(_index(table, boundary, num, den, size), "id long, n long, class long, keys array<long>"), "index")
+    indexed = written(own.mapInArrow(_index(table, boundary, num, den, size), "id long, n long, class long, keys array<long>, sketch array<long>"), "index")
     members = indexed.select("id", "n", "class")
     reps = members.where("id IS NOT NULL AND n > 0").groupBy("class").agg(F.min("id").alias("rep"))
     listed = indexed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class", "n")
@@ -219,8 +228,19 @@ def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     runs = listed.join(shared, "key", "left_semi").withColumn("new", F.coalesce(F.lag("n").over(order) * den < F.col("n") * num, F.lit(False)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     lists = runs.groupBy("key", "run").agg(F.min(F.xxhash64("class")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = runs.join(lists.select("key", "run", "pivot"), ["key", "run"]).select("pivot", "class").distinct()
-    met = written(met.join(reps, "class"), "met")
+    runs = runs.select("key", "run", "class").join(lists, ["key", "run"])
+    long_ = runs.where(F.col("m") > PAIRED).select("pivot", "class").distinct()
+    short = runs.where(F.col("m") <= PAIRED).groupBy("key", "run").agg(F.sort_array(F.collect_set("class")).alias("c"))
+    pairs = short.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> struct(x AS x, y AS y))))")).alias("p")).select("p.*").distinct()
+    words_ = [f"s{i}" for i in range(SKETCH)]
+    drawn = indexed.where("keys IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), *[F.min(F.col("sketch")[i]).alias(w) for i, w in enumerate(words_)])
+    side = lambda name: drawn.toDF(name, *[f"{c}_{name}" for c in drawn.columns[1:]])
+    pairs = pairs.join(side("x"), "x").join(side("y"), "y")
+    differ = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words_[1:]), F.bit_count(F.col("s0_x").bitwiseXOR(F.col("s0_y"))))
+    total = F.col("n_x") + F.col("n_y")
+    near = pairs.where(differ <= total - 2 * F.ceil(total * num / (num + den)))
+    near = near.select(F.xxhash64("x").alias("pivot"), F.explode(F.array("x", "y")).alias("class"))
+    met = written(long_.unionByName(near).distinct().join(reps, "class"), "met")
     blocks = met.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     met = met.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
     # Every block meets itself and every other one.
