@@ -1 +1 @@
-
+"""Screening of package corpora on Spark."""

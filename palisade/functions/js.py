@@ -1,0 +1,22 @@
+"""JavaScript structure, as far as column expressions can tell it: comments, strings and templates."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TOKEN = r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`"""
+
+
+def inside_token(text: Column, at: Column) -> Column:
+    """Whether the (0-based) offset lies in a comment, string or template literal.
+
+    Gaps between tokens and tokens laid end to end give the tokens' places. Regular-expression literals and code in
+    templates aren't told apart from text, so the answer is an approximation there.
+    """
+    gaps, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    sized = F.zip_with(F.slice(gaps, 1, F.size(tokens)), tokens, lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("own")))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        return F.struct((start + x["own"]).alias("at"), (a["hit"] | ((at >= start) & (at < start + x["own"]))).alias("hit"))
+
+    return F.aggregate(sized, F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit")), step, lambda a: a["hit"])

@@ -1,4 +1,471 @@
-"""The registered queries of the package analyzer, and their SQL."""
+"""The registered queries of the package analyzer over derived tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.functions import fixed
+from palisade.functions.rulespec import TEXT_RULES, Scope, TextRule
+from palisade.operators import history, rules, scoring, stage2
+from palisade.plans import planted
+from palisade.sources import catalog
+from palisade.streaming import feed
+
+AS_OF = "2024-02-01 00:00:00"
+COLUMNS = ["ecosystem", "name", "version", "rule_id", "severity", "category", "location", "excerpt", "defers", "capabilities"]
+#: Rules whose hits in comments and strings don't count have no SQL counterpart; tests hold them.
+PLAIN = [r for r in TEXT_RULES if not r.suppress]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def shown(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("capabilities", F.array_join("capabilities", ",")).select(*COLUMNS)
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each planted package of documents."""
+    i, eco = F.col("doc_id"), planted._pick(F.col("doc_id") % planted.MODULUS, planted.ENTRIES, lambda p: p.ecosystem, "npm")
+    raw = (
+        F.when(eco == "cargo", F.when(F.expr(f"doc_id div {planted.MODULUS}") % 3 == 2, "{}").otherwise('{"lib":{"proc-macro":true}}'))
+        .when(i % 17 == 3, '{"bundleDependencies":["a","b"]}')
+        .when(i % 17 == 4, '{"bundledDependencies":true}')
+        .when(i % 17 == 5, '{"files":["dist","lib/*.js"]}')
+        .otherwise("{}")
+    )
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    bins = F.create_map(F.lit("x"), F.concat(F.lit("./bin/"), i.cast("string")))
+    return docs.select(eco.alias("ecosystem"), F.concat(F.lit("pkg-"), i.cast("string")).alias("name"), F.lit("1.0.0").alias("version"), bins.alias("bin"), raw.alias("raw"))
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.units(planted.entries(spark, sf_dir), planted.lifecycle(spark, sf_dir))
+
+
+# --- text rules ---------------------------------------------------------------------------------------------------
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _scope_sql(scope: Scope) -> str:
+    docs = ", ".join(map(_quoted, fixed.ROOT_DOCUMENTS))
+    of = {
+        "S": "unit = 'entry'", "J": "unit = 'entry' AND kind IN ('js_source', 'text')", "L": "unit = 'hook'", "LI": "unit = 'hook' AND kind = 'install_time'",
+        "LP": "unit = 'hook' AND kind = 'publish_time'", "D": f"unit = 'entry' AND lower(location) IN ({docs})",
+        "R": f"unit = 'entry' AND kind = 'rust_source' AND (CAST(substr(name, 5) AS BIGINT) // {planted.MODULUS}) % 3 <> 2",
+    }
+    return " OR ".join(f"({of[u]})" for u in scope.units)
+
+
+def _match_sql(pattern: str, group: int = 0) -> str:
+    return f"CASE WHEN regexp_matches(text, {_quoted(pattern)}) THEN regexp_extract(text, {_quoted(pattern)}, {group}) END"
+
+
+def rule_sql(rule: TextRule) -> str:
+    hit = _match_sql(rule.pattern, rule.group)
+    if rule.also:
+        hit = f"({hit}) || ' … ' || ({_match_sql(rule.also)})"
+    if rule.instead:
+        hit = f"coalesce({hit}, CASE WHEN unit = 'entry' THEN {_match_sql(rule.instead)} END)"
+    ecos = ", ".join(map(_quoted, rule.ecosystems))
+    parts = []
+    for scope in rule.scopes:
+        caps = ",".join(sorted(scope.capabilities, key=fixed.CAPABILITIES.index))
+        parts.append(
+            f"SELECT ecosystem, name, version, '{rule.id}' AS rule_id, '{scope.severity}' AS severity, '{rule.category}' AS category, location, {hit} AS excerpt, "
+            f"{str(rule.defers).lower()} AS defers, '{caps}' AS capabilities FROM units WHERE ecosystem IN ({ecos}) AND ({_scope_sql(scope)})"
+        )
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE excerpt IS NOT NULL"
+
+
+def _with_units(sql: str) -> str:
+    return f"WITH units AS ({planted.units_sql()}) {sql}"
+
+
+def one_rule(rule: TextRule) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        crates = rules.macro_crates(manifests(spark, sf_dir)) if any("R" in s.units for s in rule.scopes) else None
+        return shown(rules.text_findings(scanned(spark, sf_dir), crates, [rule]))
+
+    return run
+
+
+def plain_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.text_findings(scanned(spark, sf_dir), rules.macro_crates(manifests(spark, sf_dir)), PLAIN)
+
+
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over the planted packages."""
+    return shown(rules.evaluate(planted.entries(spark, sf_dir), planted.lifecycle(spark, sf_dir), manifests(spark, sf_dir), registry(spark, sf_dir), as_of()))
+
+
+PLAIN_SQL = " UNION ALL ".join(rule_sql(r) for r in PLAIN)
+
+
+def stage1_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scoring.stage1(plain_findings(spark, sf_dir), scanned(spark, sf_dir))
+    return out.withColumn("capabilities", F.array_join("capabilities", ","))
+
+
+def _caps_sql(listed: str) -> str:
+    order = ", ".join(map(_quoted, fixed.CAPABILITIES))
+    return f"array_to_string(list_filter([{order}], lambda c: list_contains({listed}, c)), ',')"
+
+
+STAGE1_SQL = _with_units(f""", f AS ({PLAIN_SQL}), w AS (SELECT *, CASE severity {" ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.SEVERITY_WEIGHTS.items())} END AS w FROM f),
+ s AS (SELECT u.ecosystem, u.name, u.version, CAST(coalesce(sum(w.w), 0) AS BIGINT) AS score, coalesce(bool_or(NOT defers AND severity = 'critical'), false) AS critical,
+   coalesce(bool_or(NOT defers AND w.w > 0), false) AS decisive, coalesce(bool_or(defers), false) AS deferring, string_split(coalesce(string_agg(w.capabilities, ','), ''), ',') AS caps
+   FROM (SELECT DISTINCT ecosystem, name, version FROM units) u LEFT JOIN w ON u.ecosystem = w.ecosystem AND u.name = w.name AND u.version = w.version GROUP BY ALL)
+SELECT ecosystem, name, version, score, CASE WHEN critical THEN 'malicious' WHEN score = 0 THEN 'clean' WHEN score >= 7 AND decisive THEN 'malicious' ELSE 'suspicious' END AS verdict,
+  {_caps_sql("caps")} AS capabilities, deferring FROM s""").replace(") , f AS", "), f AS")
+
+
+# --- other rules --------------------------------------------------------------------------------------------------
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows of packages named after customers; versions are their orders, moved to the weeks before AS_OF."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("int").alias("total_versions"), F.max("o_orderkey").alias("k"))
+    day = lambda n: F.timestamp_add("DAY", -n, as_of())
+    eco = F.element_at(rules.strings(["npm", "cargo", "pypi", "nuget"]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    name = F.when(F.col("o_custkey") % 9 == 0, F.element_at(rules.strings(["loadash", "reakt", "expres", "lodash", "axois"]), (F.col("o_custkey") % 5 + 1).cast("int"))).otherwise(F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")))
+    return orders.select(
+        eco.alias("ecosystem"), name.alias("name"), F.col("o_custkey").cast("string").alias("version"), day((F.col("o_custkey") % 13).cast("int")).alias("published_at"),
+        day((F.col("k") % 120).cast("int")).alias("package_created_at"), "total_versions",
+    )
+
+
+REGISTRY_SQL = f"""SELECT ['npm', 'cargo', 'pypi', 'nuget'][CAST(o_custkey % 4 + 1 AS INT)] AS ecosystem,
+  CASE WHEN o_custkey % 9 = 0 THEN ['loadash', 'reakt', 'expres', 'lodash', 'axois'][CAST(o_custkey % 5 + 1 AS INT)] ELSE 'customer-' || CAST(o_custkey AS VARCHAR) END AS name,
+  CAST(o_custkey AS VARCHAR) AS version, o_custkey % 13 AS version_days, max(o_orderkey) % 120 AS package_days, count(*) AS total_versions FROM orders GROUP BY o_custkey"""
+
+
+def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.recency(registry(spark, sf_dir), as_of()))
+
+
+_FIXED_COLUMNS = "ecosystem, name, version, '{rule}' AS rule_id, '{severity}' AS severity, '{category}' AS category, {location} AS location, {excerpt} AS excerpt, {defers} AS defers, '{caps}' AS capabilities"
+
+
+def _found_sql(rule: str, severity: str, category: str, location: str, excerpt: str, defers: bool, caps: str = "") -> str:
+    return _FIXED_COLUMNS.format(rule=rule, severity=severity, category=category, location=location, excerpt=excerpt, defers=str(defers).lower(), caps=caps)
+
+
+RECENCY_SQL = f"""WITH r AS ({REGISTRY_SQL}) SELECT {_found_sql("NPM016", "medium", "maintainer", "'registry'", "CAST(NULL AS VARCHAR)", True)} FROM r WHERE ecosystem IN ('npm', 'cargo') AND package_days < 30 AND total_versions <= 3
+ UNION ALL SELECT {_found_sql("NPM016", "high", "maintainer", "'registry'", "CAST(NULL AS VARCHAR)", True)} FROM r WHERE ecosystem IN ('npm', 'cargo') AND version_days < 7 AND total_versions >= 20"""
+
+
+def lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.lookalikes(registry(spark, sf_dir), as_of()))
+
+
+_TOP = ", ".join(map(_quoted, fixed.TOP_PACKAGES))
+LOOKALIKES_SQL = f"""WITH r AS ({REGISTRY_SQL}), t AS (SELECT unnest([{_TOP}]) AS top, generate_subscripts([{_TOP}], 1) AS ordinal),
+ m AS (SELECT r.ecosystem, r.name, r.version, arg_min(top, levenshtein(lower(name), top) * 100000 + ordinal) AS top FROM r, t
+   WHERE ecosystem = 'npm' AND package_days < 90 AND lower(name) NOT IN ({_TOP}) AND levenshtein(lower(name), top) BETWEEN 1 AND 2 GROUP BY ALL)
+SELECT {_found_sql("NPM014", "high", "typosquat", "'package.json'", "top", True)} FROM m"""
+
+
+def setuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.setuid_files(planted.entries(spark, sf_dir)))
+
+
+SETUID_SQL = _with_units(f"""SELECT {_found_sql("NPM046", "critical", "persistence", "location", "'0o4755'", False, "setuid_binary")} FROM units WHERE ecosystem IN ('npm', 'cargo', 'pypi') AND mode & {0o6000} <> 0""")
+
+
+def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.presence_findings(planted.lifecycle(spark, sf_dir)))
+
+
+PRESENCE_SQL = _with_units("""SELECT ecosystem, name, version, CASE ecosystem WHEN 'npm' THEN 'NPM001' WHEN 'cargo' THEN 'CARGO001' WHEN 'pypi' THEN 'PYPI001' ELSE 'NUGET001' END AS rule_id,
+ 'info' AS severity, 'lifecycle_script' AS category, location, CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END AS excerpt, false AS defers,
+ CASE ecosystem WHEN 'npm' THEN 'lifecycle_install' ELSE '' END AS capabilities FROM units WHERE unit = 'hook' AND kind = 'install_time'""")
+
+
+def bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.bundled_dependencies(manifests(spark, sf_dir)))
+
+
+BUNDLED_SQL = f"""WITH p AS ({planted.ENTRIES_SQL}), q AS (SELECT *, CAST(substr(name, 5) AS BIGINT) AS i FROM p)
+SELECT {_found_sql("NPM012", "high", "other", "'package.json'", "CASE i % 17 WHEN 3 THEN 'a, b' ELSE '*' END", True)} FROM q WHERE ecosystem = 'npm' AND i % 17 IN (3, 4)"""
+
+
+def macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.macro_findings(manifests(spark, sf_dir)))
+
+
+MACROS_SQL = f"""WITH p AS ({planted.ENTRIES_SQL}) SELECT {_found_sql("CARGO003", "high", "other", "'Cargo.toml'", "'proc-macro = true'", True)} FROM p
+ WHERE ecosystem = 'cargo' AND (CAST(substr(name, 5) AS BIGINT) // {planted.MODULUS}) % 3 <> 2"""
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of packages made of parts: binaries, maps and minified files by key."""
+    k = F.col("p_partkey")
+    path = F.when(k % 6 == 0, F.concat(F.lit("bin/"), k.cast("string"))).when(k % 6 == 1, "tools/install.ps1").when(k % 6 == 2, "tools/native.dll").when(k % 6 == 3, F.concat(F.lit("dist/a"), k.cast("string"), F.lit(".min.js"))).when(k % 6 == 4, "build/x.node").otherwise(F.concat(F.lit("dist/a"), (k - 2).cast("string"), F.lit(".min.js.map")))
+    kind = F.when(k % 6 == 3, "js_source").when((k % 6).isin(0, 2, 4), "native_binary").otherwise("text")
+    text = F.when(k % 6 == 3, F.repeat(F.lit("var a=1;"), 200))
+    group = F.expr("p_partkey div 6")
+    eco = F.when(group % 3 == 2, "nuget").otherwise("npm")
+    return table(spark, sf_dir, "part").select(eco.alias("ecosystem"), F.concat(F.lit("part-"), group.cast("string")).alias("name"), F.lit("1.0.0").alias("version"), k.alias("ordinal"), path.alias("path"), kind.alias("kind"), text.alias("text"))
+
+
+PART_SQL = """SELECT CASE WHEN (p_partkey // 6) % 3 = 2 THEN 'nuget' ELSE 'npm' END AS ecosystem, 'part-' || CAST(p_partkey // 6 AS VARCHAR) AS name, '1.0.0' AS version, p_partkey AS k,
+  CASE p_partkey % 6 WHEN 0 THEN 'bin/' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'tools/install.ps1' WHEN 2 THEN 'tools/native.dll' WHEN 3 THEN 'dist/a' || CAST(p_partkey AS VARCHAR) || '.min.js'
+    WHEN 4 THEN 'build/x.node' ELSE 'dist/a' || CAST(p_partkey - 2 AS VARCHAR) || '.min.js.map' END AS path FROM part"""
+
+
+def part_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_files(spark, sf_dir).where("path LIKE 'bin/%'")
+    return files.select(*rules.PACKAGE, F.create_map(F.lit("x"), F.concat(F.lit("./"), "path")).alias("bin"), F.lit("{}").alias("raw"))
+
+
+def native_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.native_binaries(part_files(spark, sf_dir), part_manifests(spark, sf_dir)))
+
+
+NATIVE_SQL = f"""WITH p AS ({PART_SQL}) SELECT {_found_sql("NPM009", "high", "native_binary", "path", "CAST(NULL AS VARCHAR)", True, "native_binary")} FROM p
+ WHERE ecosystem = 'npm' AND k % 6 IN (0, 2, 4) AND NOT EXISTS (SELECT 1 FROM p b WHERE b.name = p.name AND b.path LIKE 'bin/%' AND ends_with(p.path, b.path))"""
+
+
+def tool_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.tool_libraries(part_files(spark, sf_dir)))
+
+
+TOOLS_SQL = f"""WITH p AS ({PART_SQL}) SELECT {_found_sql("NUGET003", "high", "native_binary", "path", "CAST(NULL AS VARCHAR)", True)} FROM p
+ WHERE ecosystem = 'nuget' AND path = 'tools/native.dll' AND EXISTS (SELECT 1 FROM p b WHERE b.name = p.name AND b.path = 'tools/install.ps1')"""
+
+
+def minified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.minified_only(part_files(spark, sf_dir)))
+
+
+MINIFIED_SQL = f"""WITH p AS ({PART_SQL}) SELECT {_found_sql("NPM050", "medium", "source_divergence", "path", "CAST(NULL AS VARCHAR)", True, "minified_no_source")} FROM p
+ WHERE ecosystem = 'npm' AND k % 6 = 3 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.name = p.name AND b.path = p.path || '.map')"""
+
+
+def unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.unlisted_files(planted.entries(spark, sf_dir), manifests(spark, sf_dir)))
+
+
+UNLISTED_SQL = f"""WITH p AS ({planted.ENTRIES_SQL}) SELECT {_found_sql("NPM021", "high", "other", "'package.json'", "path", True)} FROM p
+ WHERE ecosystem = 'npm' AND CAST(substr(name, 5) AS BIGINT) % 17 = 5 AND lower(path) NOT IN ({", ".join(map(_quoted, fixed.IMPLICIT_FILES))})"""
+
+
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(rules.blob_near_execution(scanned(spark, sf_dir)))
+
+
+def unicode_tricks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = F.concat("text", F.element_at(rules.strings(["", "‮ x", "a​b", " vаlue "]), (F.pmod(F.xxhash64("name"), F.lit(4)) + 1).cast("int")))
+    return shown(rules.hidden_unicode(scanned(spark, sf_dir).withColumn("text", tricky)))
+
+
+def time_bombs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("name", 5, 20).cast("long")
+    snippet = F.when(k % 5 == 0, "if (Date.now() > 1999999999999) x()").when(k % 5 == 1, "if (Date.now() > 1600000000000) x()").when(k % 5 == 2, "d = '2031-01-01'").otherwise("d = '2019-01-01'")
+    units = scanned(spark, sf_dir).where("unit = 'entry'").withColumn("text", F.concat(snippet, F.lit("\n"), "text"))
+    return shown(rules.time_bombs(units, as_of()))
+
+
+TIME_SQL = _with_units(f""", q AS (SELECT *, CAST(substr(name, 5) AS BIGINT) % 5 AS k FROM units WHERE unit = 'entry' AND ecosystem = 'npm' AND kind IN ('js_source', 'text'))
+ SELECT {_found_sql("NPM028", "high", "other", "location", "'Date.now() > 1999999999999'", True, "time_bomb")} FROM q WHERE k = 0
+ UNION ALL SELECT {_found_sql("NPM028", "medium", "other", "location", "'2031-01-01'", True, "time_bomb")} FROM q WHERE k = 2""")
+
+
+# --- history and differences --------------------------------------------------------------------------------------
+
+
+def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of packages: customers' orders; capabilities are the flags and statuses of their lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("capabilities"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    caps = F.coalesce("capabilities", F.array().cast("array<string>"))
+    status = F.when(F.col("o_orderkey") % 11 == 0, "malicious").otherwise("clean")
+    return orders.select(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("published_at"), caps.alias("capabilities"), status.alias("status"), (F.col("o_orderkey") % 13 != 0).alias("complete"))
+
+
+def _diff(versions: DataFrame) -> DataFrame:
+    out = history.outcome(versions)
+    return out.select("name", "version", "outcome", F.array_join(F.sort_array("introduced"), ",").alias("introduced"))
+
+
+def diff_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(history.strict_baselines(order_versions(spark, sf_dir)))
+
+
+def diff_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(history.parity_baselines(order_versions(spark, sf_dir)))
+
+
+_VERSIONS_SQL = """v AS (SELECT o_custkey AS name, o_orderkey AS version, o_orderdate AS ts, CASE WHEN o_orderkey % 11 = 0 THEN 'malicious' ELSE 'clean' END AS status, o_orderkey % 13 <> 0 AS complete,
+  coalesce(list_distinct(list(l_returnflag || l_linestatus) FILTER (l_orderkey IS NOT NULL)), []) AS caps FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
+_OUTCOME_SQL = """SELECT name, version, CASE WHEN prev = 'malicious' THEN 'abstained_poisoned_baseline' WHEN n = 0 THEN 'not_attempted' WHEN NOT (n = 5 AND ok) THEN 'abstained_baseline_incomplete' ELSE 'produced' END AS outcome,
+  CASE WHEN coalesce(prev, '') <> 'malicious' AND n = 5 AND ok THEN array_to_string(list_sort(list_filter(caps, lambda c: NOT list_contains(base, c))), ',') ELSE '' END AS introduced FROM b"""
+STRICT_SQL = f"""WITH {_VERSIONS_SQL}, b AS (SELECT name, version, caps, lag(status) OVER o AS prev, count(*) OVER f AS n, coalesce(bool_and(complete) OVER f, false) AS ok, coalesce(flatten(list(caps) OVER f), []) AS base FROM v
+  WINDOW o AS (PARTITION BY name ORDER BY ts, version), f AS (PARTITION BY name ORDER BY ts, version ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) {_OUTCOME_SQL}"""
+PARITY_SQL = f"""WITH {_VERSIONS_SQL}, x AS (SELECT a.name, a.version, a.caps, o.status, o.complete, o.caps AS ocaps, row_number() OVER (PARTITION BY a.name, a.version ORDER BY o.ts DESC, o.version DESC) AS r
+   FROM v a LEFT JOIN v o ON o.name = a.name AND o.version <> a.version),
+ b AS (SELECT name, version, any_value(caps) AS caps, max(status) FILTER (r = 1) AS prev, count(status) AS n, coalesce(bool_and(complete), false) AS ok, coalesce(flatten(list(ocaps) FILTER (ocaps IS NOT NULL)), []) AS base
+   FROM x WHERE r <= 5 GROUP BY name, version) {_OUTCOME_SQL}"""
+
+
+def order_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings of each order (lines are findings) and of the same customer's next one."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("R"), F.col("l_linenumber").cast("string")).alias("rule_id"), F.element_at(rules.strings(list(fixed.SEVERITY_WEIGHTS)), (F.col("l_suppkey") % 5 + 1).cast("int")).alias("severity"))
+    order = rules.Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("before_key"), F.lead("o_orderkey").over(order).alias("after_key")).where("after_key IS NOT NULL")
+    side = lambda key: pairs.join(lines, F.col(key) == F.col("l_orderkey")).select("before_key", "rule_id", "severity")
+    return side("before_key"), side("after_key")
+
+
+def verdict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.side_by_side(*order_sides(spark, sf_dir), ["before_key"])
+
+
+DIFF_SQL = """WITH l AS (SELECT l_orderkey, 'R' || CAST(l_linenumber AS VARCHAR) AS rule_id, max(l_suppkey % 5) AS s FROM lineitem GROUP BY ALL),
+ p AS (SELECT o_orderkey AS before_key, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after_key FROM orders),
+ a AS (SELECT before_key, rule_id, s FROM p JOIN l ON l_orderkey = before_key WHERE after_key IS NOT NULL), b AS (SELECT before_key, rule_id, s FROM p JOIN l ON l_orderkey = after_key),
+ n AS (SELECT ['info', 'low', 'medium', 'high', 'critical'] AS names)
+SELECT coalesce(a.before_key, b.before_key) AS before_key, coalesce(a.rule_id, b.rule_id) AS rule_id, names[a.s + 1] AS before, names[b.s + 1] AS after,
+  CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'severity_changed' ELSE 'same' END AS change
+FROM (SELECT * FROM a, n) a FULL OUTER JOIN (SELECT * FROM b) b ON a.before_key = b.before_key AND a.rule_id = b.rule_id, n""".replace("(SELECT * FROM a, n) a", "a")
+
+
+# --- second stage, catalog, feed ----------------------------------------------------------------------------------
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of first and second stage that the labels give."""
+    labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL")
+    i = F.col("doc_id")
+    pick = lambda values, k: F.element_at(rules.strings(values), (k + 1).cast("int"))
+    verdict, second = pick(["clean", "suspicious", "malicious"], i % 3), F.when(i % 4 > 0, pick(["clean", "suspicious", "malicious"], i % 5 % 3))
+    confidence = ((i % 10) / 10).cast("float")
+    m = scoring.merged(verdict, second, confidence, pick(["allow", "warn", "block"], i % 7 % 3))
+    return labels.select("doc_id", m.alias("m")).select("doc_id", "m.status", F.round(F.col("m.confidence").cast("double"), 4).alias("confidence"), "m.source")
+
+
+MERGED_SQL = """WITH i AS (SELECT doc_id, doc_id % 3 AS own, CASE WHEN doc_id % 4 > 0 THEN doc_id % 5 % 3 END AS second, (doc_id % 10) / 10.0 AS c, doc_id % 7 % 3 AS act FROM labels WHERE doc_id IS NOT NULL),
+ u AS (SELECT *, second IS NOT NULL AND c >= 0.5 AS ok FROM i)
+SELECT doc_id, ['clean', 'warn', 'block'][CAST(CASE WHEN NOT ok THEN own WHEN own = 2 AND act = 0 THEN 1 ELSE greatest(own, act) END + 1 AS INT)] AS status,
+  round(CAST(CASE WHEN ok THEN c ELSE [0.9, 0.5, 0.85][CAST(own + 1 AS INT)] END AS DOUBLE), 4) AS confidence, CASE WHEN ok AND NOT (own = 0 AND second = 0) THEN 'stage_merged' ELSE 'stage1' END AS source FROM u"""
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage2.gate(stage1_verdicts(spark, sf_dir)).select("ecosystem", "name", "version", "score", "verdict")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = plain_findings(spark, sf_dir).withColumn("ordinal", F.col("rule_id"))
+    s1 = scoring.stage1(found, scanned(spark, sf_dir))
+    out = stage2.user_message(stage2.contexts(s1, found, planted.lifecycle(spark, sf_dir)))
+    return out.select("ecosystem", "name", "version", "approx_chars", "message")
+
+
+def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select("ts", F.col("event_id").alias("call_id"), (F.col("event_id") % 97 + 1).alias("tokens"))
+    return stage2.within_budget(calls, 600, 12_000).select("call_id", "hour_tokens", "day_tokens", "admitted")
+
+
+BUDGET_SQL = """WITH c AS (SELECT ts, event_id AS call_id, event_id % 97 + 1 AS tokens FROM events),
+ s AS (SELECT call_id, CAST(sum(tokens) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, call_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hour_tokens,
+   CAST(sum(tokens) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, call_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS day_tokens FROM c)
+SELECT *, hour_tokens <= 600 AND day_tokens <= 12000 AS admitted FROM s"""
+
+
+def feed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as change lines, back through their JSON form: the last live change of each user."""
+    row = F.struct(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("id"), (F.col("event_type") == "error").alias("deleted"))
+    lines = table(spark, sf_dir, "events").select(F.to_json(row).alias("value"))
+    return feed.pending(feed.changes(lines), since=100)
+
+
+PENDING_SQL = "SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS seq FROM events WHERE event_type <> 'error' AND event_id > 100 GROUP BY user_id"
+
+
+def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog paths by content (SHA-256 form) and by name."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    b64 = F.regexp_replace(F.base64(F.unhex(F.sha2("t", 256))), r"[\r\n]", "")
+    name = F.concat(F.lit("@scope/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return docs.select("doc_id", catalog.integrity_path(F.lit("sha256"), b64).alias("by_content"), catalog.pointer_path(F.lit("npm"), name, F.lit("1.0.0")).alias("by_name"))
+
+
+INTEGRITY_SQL = """SELECT doc_id, 'verdicts/by-integrity/sha256/' || substr(sha256(coalesce(text, '')), 1, 2) || '/' || substr(sha256(coalesce(text, '')), 3) || '.json' AS by_content,
+  'verdicts/npm/%40scope%2F' || coalesce(CAST(doc_id AS VARCHAR), '') || '/1.0.0.json' AS by_name FROM documents"""
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as puts: the newest verdict of each user and type stays."""
+    puts = table(spark, sf_dir, "events").select(F.lit("npm").alias("ecosystem"), F.col("user_id").alias("name"), F.col("event_type").alias("version"), F.col("ts").alias("analyzed_at"), F.col("event_id").alias("integrity"))
+    return catalog.latest(puts).select("name", "version", "integrity")
+
+
+UPSERTED_SQL = "SELECT user_id AS name, event_type AS version, arg_max(event_id, (ts, event_id)) AS integrity FROM events GROUP BY ALL"
+
+
+def to_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").select(F.lit("npm").alias("ecosystem"), F.col("c_custkey").alias("name"), F.lit("1").alias("version"))
+    done = table(spark, sf_dir, "orders").select(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name"), F.lit("1").alias("version"))
+    return catalog.missing(wanted, done).select("name")
+
+
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "orders").select(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name"), F.lit("1").alias("version"), "o_orderkey")
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("npm").alias("ecosystem"), F.col("c_custkey").alias("name"), F.lit("1").alias("version"), F.col("c_mktsegment").alias("status"))
+    return catalog.lookup(known, wanted).select("o_orderkey", "name", "status")
+
+
+def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit(" @s/"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("@1."), F.col("p_size").cast("string"))))
+    return catalog.specs(table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 5 == 0, "# note").otherwise(line).alias("value")))
+
+
+BACKFILL_SQL = "SELECT 'npm' AS ecosystem, '@s/' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 3 <> 0 THEN '1.' || CAST(p_size AS VARCHAR) END AS version FROM part WHERE p_partkey % 5 <> 0"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"rule_{r.id.lower()}": one_rule(r) for r in TEXT_RULES}
+ORACLES: dict[str, str] = {f"rule_{r.id.lower()}": _with_units(rule_sql(r)) for r in PLAIN}
+_MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "stage1_verdicts": (stage1_verdicts, STAGE1_SQL),
+    "all_findings": (all_findings, None),
+    "rule_presence": (presence, PRESENCE_SQL),
+    "rule_npm005_blob_near_execution": (blobs, None),
+    "rule_npm009_native_binaries": (native_binaries, NATIVE_SQL),
+    "rule_npm012_bundled": (bundled, BUNDLED_SQL),
+    "rule_npm014_lookalikes": (lookalikes, LOOKALIKES_SQL),
+    "rule_npm016_recency": (recency, RECENCY_SQL),
+    "rule_npm021_unlisted_files": (unlisted, UNLISTED_SQL),
+    "rule_npm022_hidden_unicode": (unicode_tricks, None),
+    "rule_npm028_time_bombs": (time_bombs, TIME_SQL),
+    "rule_npm046_setuid": (setuid, SETUID_SQL),
+    "rule_npm050_minified": (minified, MINIFIED_SQL),
+    "rule_cargo003_macros": (macros, MACROS_SQL),
+    "rule_nuget003_tool_libraries": (tool_libraries, TOOLS_SQL),
+    "capability_diff_strict": (diff_strict, STRICT_SQL),
+    "capability_diff_parity": (diff_parity, PARITY_SQL),
+    "verdict_diff": (verdict_diff, DIFF_SQL),
+    "stage2_gate": (gated, f"SELECT ecosystem, name, version, score, verdict FROM ({STAGE1_SQL}) WHERE verdict = 'suspicious' OR deferring"),
+    "stage2_messages": (messages, None),
+    "stage2_merge": (merged, MERGED_SQL),
+    "stage2_budget": (budget, BUDGET_SQL),
+    "feed_pending": (feed_pending, PENDING_SQL),
+    "catalog_paths": (integrity, INTEGRITY_SQL),
+    "catalog_upsert": (upserted, UPSERTED_SQL),
+    "catalog_missing": (to_analyze, "SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "catalog_lookup": (lookups, "SELECT o_orderkey, o_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS status FROM orders LEFT JOIN customer ON c_custkey = o_custkey"),
+    "backfill_specs": (backfill, BACKFILL_SQL),
+}
+QUERIES |= {name: query for name, (query, _) in _MORE.items()}
+ORACLES |= {name: sql for name, (_, sql) in _MORE.items() if sql}
