@@ -212,7 +212,7 @@ MACROS_SQL = f"""WITH p AS ({planted.ENTRIES_SQL}) SELECT {_found_sql("CARGO003"
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of packages made of parts: binaries, maps and minified files by key."""
     k = F.col("p_partkey")
-    path = F.when(k % 6 == 0, F.concat(F.lit("bin/"), k.cast("string"))).when(k % 6 == 1, "tools/install.ps1").when(k % 6 == 2, "tools/native.dll").when(k % 6 == 3, F.concat(F.lit("dist/a"), k.cast("string"), F.lit(".min.js"))).when(k % 6 == 4, "build/x.node").otherwise(F.concat(F.lit("dist/a"), (k - 2).cast("string"), F.lit(".min.js.map")))
+    path = F.when(k % 6 == 0, F.concat(F.lit("bin/"), k.cast("string"))).when(k % 6 == 1, "tools/install.ps1").when(k % 6 == 2, "tools/native.dll").when(k % 6 == 3, F.concat(F.lit("dist/a"), k.cast("string"), F.lit(".min.js"))).when(k % 6 == 4, "build/x.node").when(k % 12 == 5, F.concat(F.lit("dist/a"), (k - 2).cast("string"), F.lit(".min.js.map"))).otherwise("dist/notes.txt")
     kind = F.when(k % 6 == 3, "js_source").when((k % 6).isin(0, 2, 4), "native_binary").otherwise("text")
     text = F.when(k % 6 == 3, F.repeat(F.lit("var a=1;"), 200))
     group = F.expr("p_partkey div 6")
@@ -222,7 +222,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PART_SQL = """SELECT CASE WHEN (p_partkey // 6) % 3 = 2 THEN 'nuget' ELSE 'npm' END AS ecosystem, 'part-' || CAST(p_partkey // 6 AS VARCHAR) AS name, '1.0.0' AS version, p_partkey AS k,
   CASE p_partkey % 6 WHEN 0 THEN 'bin/' || CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'tools/install.ps1' WHEN 2 THEN 'tools/native.dll' WHEN 3 THEN 'dist/a' || CAST(p_partkey AS VARCHAR) || '.min.js'
-    WHEN 4 THEN 'build/x.node' ELSE 'dist/a' || CAST(p_partkey - 2 AS VARCHAR) || '.min.js.map' END AS path FROM part"""
+    WHEN 4 THEN 'build/x.node' ELSE CASE WHEN p_partkey % 12 = 5 THEN 'dist/a' || CAST(p_partkey - 2 AS VARCHAR) || '.min.js.map' ELSE 'dist/notes.txt' END END AS path FROM part"""
 
 
 def part_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,6 @@ def _package_json(text: str) -> dict:
 MANIFEST = "name string, version string, repository string, homepage string, bin map<string,string>, scripts map<string,string>, dependencies map<string,string>, raw string, scan_error string"
 
 
-@F.udf(MANIFEST)
 def _manifest(path: str, text: str):
     try:
         if path == "package.json":
@@ -179,7 +178,7 @@ def manifests(files: DataFrame) -> DataFrame:
     eco, path = F.col("ecosystem"), F.col("path")
     rank = F.when((eco == "npm") & (path == "package.json"), 1).when((eco == "cargo") & (path == "Cargo.toml"), 1).when((eco == "nuget") & path.rlike(r"\A[^/]+\.nuspec\z"), 1)
     rank = rank.when((eco == "pypi") & (path == "pyproject.toml"), 1).when((eco == "pypi") & (path == "PKG-INFO"), 2)
-    rows = files.withColumn("rank", rank).where("rank IS NOT NULL AND text IS NOT NULL").withColumn("m", _manifest("path", "text"))
+    rows = files.withColumn("rank", rank).where("rank IS NOT NULL AND text IS NOT NULL").withColumn("m", F.udf(_manifest, MANIFEST)("path", "text"))
     best = rows.groupBy("ecosystem", "source").agg(F.min_by("m", F.struct(F.col("m.name").isNull().cast("int"), "rank")).alias("m"))
     return best.select("ecosystem", "source", "m.*")
 
