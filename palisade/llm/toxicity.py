@@ -32,7 +32,7 @@ FIT_ROWS, LEXICON = 12_000, 4_000
 STEMS = range(4, 9)  # lengths of the word beginnings that may become entries
 LEAST_DOCS = 3
 #: Look-alikes of Latin letters among Cyrillic and Greek ones; full-width and styled letters fall to NFKC.
-HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝɑοανιρτυκ", "aeopcyxijshdqwaoaviptuk", strict=True))
+HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝтвмнкɑοανιρτυκ", "aeopcyxijshdqwtbmhkaoaviptuk", strict=True))
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 #: Phrases in which a lexicon word is harmless; learnt ones are added.
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pond scum")
@@ -49,9 +49,10 @@ def _plain(m: re.Match) -> str:
 
 def fold(text: str) -> str:
     """The folded words of the text, joined by single spaces."""
+    text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_GLYPHS)
-    return " ".join(map(_plain, _TOKEN.finditer(text.lower())))
+        text = unicodedata.normalize("NFKC", text).lower().translate(_GLYPHS)
+    return " ".join(map(_plain, _TOKEN.finditer(text)))
 
 
 @dataclass
