@@ -6,8 +6,9 @@ classes with a common subset meet. Large sets are put into inverted lists under
 as many as a linked partner must share one of; lists are scanned for members of compatible sizes. The boundary is
 where enumerating gets dearer than scanning, by the sizes that the corpus has.
 
-Short lists give their pairs, sifted by sketches that bound how much two sets differ; each longer list names a pivot.
-All members of a pivot's lists or pairs meet in one group, or, beyond BLOCK members, in pairs of blocks. There sets are compared exactly, pairs that are connected already or that a bitmap rules out not at all,
+Short lists give their pairs, sifted by sketches that bound how much two sets differ, and a pair joins the pivot of its
+cluster; each longer list names a pivot. All members of a pivot's lists or pairs meet in one group, or, beyond BLOCK
+members, in pairs of blocks. There sets are compared exactly, pairs that are connected already or that a bitmap rules out not at all,
 so a group gives back fewer links than it has members. Components come from those links.
 
 A row without doc_id keeps its size and has no component. Null or empty texts have empty sets, linked with
@@ -36,8 +37,8 @@ from palisade.llm.token_counts import slices
 BUCKETS, CHUNK = 1 << 20, 1 << 15
 #: Lists up to this length give their pairs, which a sketch of each class then sifts; longer ones a pivot.
 PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
-#: Classes compared in one group, and ids (8 bytes each) up to which the routed ones are broadcast.
-BLOCK, BROADCAST_IDS = 384, 1 << 20
+#: Classes compared in one group, and rows (about 60 bytes each) up to which the table of who goes where is broadcast.
+BLOCK, BROADCAST_ROWS = 384, 1 << 18
 #: Largest set for which subsets may be enumerated, whatever the costs; rows that an element's list is taken to have.
 MOST_SMALL, LIST_ROWS = 24, 3.0
 
@@ -221,36 +222,44 @@ def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     members = indexed.select("id", "n", "class")
     reps = members.where("id IS NOT NULL AND n > 0").groupBy("class").agg(F.min("id").alias("rep"))
     listed = indexed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class", "n")
-    listed = listed.repartition("key").distinct()
-    shared = listed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    # Along a list in order of size, a step that no similarity can bridge ends a run.
+    # Along a list in order of size, a step that no similarity can bridge ends a run; who has nobody within reach, and second rows of a class, go at once.
     order = Window.partitionBy("key").orderBy("n", "class")
-    runs = listed.join(shared, "key", "left_semi").withColumn("new", F.coalesce(F.lag("n").over(order) * den < F.col("n") * num, F.lit(False)).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    lists = runs.groupBy("key", "run").agg(F.min(F.xxhash64("class")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    runs = runs.select("key", "run", "class").join(lists, ["key", "run"])
-    long_ = runs.where(F.col("m") > PAIRED).select("pivot", "class").distinct()
-    short = runs.where(F.col("m") <= PAIRED).groupBy("key", "run").agg(F.sort_array(F.collect_set("class")).alias("c"))
-    pairs = short.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> struct(x AS x, y AS y))))")).alias("p")).select("p.*").distinct()
+    bridged = lambda a, b: F.coalesce(F.col(a) * den >= F.col(b) * num, F.lit(False))
+    runs = listed.withColumns({"was": F.lag("class").over(order), "below": F.lag("n").over(order), "above": F.lead("n").over(order)})
+    runs = runs.where((bridged("below", "n") | bridged("n", "above")) & ~F.coalesce(F.col("was") == F.col("class"), F.lit(False)))
+    runs = runs.withColumn("run", F.sum((~bridged("below", "n")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy("key", "run")
+    after = F.collect_list("class").over(run.orderBy("class").rowsBetween(1, PAIRED - 1))
+    runs = runs.withColumns({"pivot": F.min(F.xxhash64("class")).over(run), "m": F.count(F.lit(1)).over(run), "after": after}).where("m > 1")
+    # One pass over the lists gives both: (pivot, class) of long ones and the pairs (x < y) of short ones.
+    row = lambda x, y, long_: F.struct(x.alias("x"), y.alias("y"), F.lit(long_).alias("long"))
+    given = F.when(F.col("m") > PAIRED, F.array(row(F.col("pivot"), F.col("class"), True))).otherwise(F.transform("after", lambda y: row(F.col("class"), y, False)))
+    given = written(runs.select(F.explode(given).alias("r")).select("r.*").distinct(), "listed")
+    long_ = given.where("long").select(F.col("x").alias("pivot"), F.col("y").alias("class"))
+    pairs = given.where("NOT long").select("x", "y")
     words_ = [f"s{i}" for i in range(SKETCH)]
     drawn = indexed.where("keys IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), *[F.min(F.col("sketch")[i]).alias(w) for i, w in enumerate(words_)])
     side = lambda name: drawn.toDF(name, *[f"{c}_{name}" for c in drawn.columns[1:]])
     pairs = pairs.join(side("x"), "x").join(side("y"), "y")
     differ = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words_[1:]), F.bit_count(F.col("s0_x").bitwiseXOR(F.col("s0_y"))))
     total = F.col("n_x") + F.col("n_y")
-    near = pairs.where(differ <= total - 2 * F.ceil(total * num / (num + den)))
-    near = near.select(F.xxhash64("x").alias("pivot"), F.explode(F.array("x", "y")).alias("class"))
+    near = written(pairs.where(differ <= total - 2 * F.ceil(total * num / (num + den))).select("x", "y"), "near")
+    # A pair meets under the least pivot that either knows of, so the pairs of one cluster meet together and each text moves about once.
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    known = both.groupBy("x").agg(F.min(F.xxhash64("y")).alias("p")).select("x", F.least("p", F.xxhash64("x")).alias("p"))
+    near = near.join(known.toDF("x", "p_x"), "x").join(known.toDF("y", "p_y"), "y")
+    near = near.select(F.least("p_x", "p_y").alias("pivot"), F.explode(F.array("x", "y")).alias("class"))
     met = written(long_.unionByName(near).distinct().join(reps, "class"), "met")
     blocks = met.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     met = met.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
     # Every block meets itself and every other one.
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("pivot", "class", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    ids = met.select(F.col("rep").alias("id")).distinct()
-    texts = own.where("id IS NOT NULL")
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    met = met.join(texts.withColumnRenamed("id", "rep"), "rep")
+    texts = own.where("id IS NOT NULL").withColumnRenamed("id", "rep")
+    if met.count() <= BROADCAST_ROWS:
+        met = texts.join(F.broadcast(met), "rep")
+    else:
+        met = met.join(texts.join(met.select("rep").distinct(), "rep", "left_semi"), "rep")
     links = met.groupBy("pivot", "i", "j").applyInPandas(_links(num, den, size), "a long, b long")
     return members.join(reps, "class", "left"), links.distinct()
 
