@@ -169,6 +169,7 @@ def test_join_is_complete(spark, monkeypatch, num, den, size, block):
     rows = corpus()
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "PAIRED", 8 if block > 4 else 2)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 1 << 18 if block > 4 else 0)
     got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), num=num, den=den, size=size).collect()
     want = brute_components(rows, num, den, size)
     assert {r["id"]: (r["n"], r["component"]) for r in got} == want
