@@ -37,16 +37,13 @@ class RankQueue:
         self.middle: dict[int, int] = {}
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word, group = rank >> 6, rank >> 12
-            self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-            self.middle[group] = self.middle.get(group, 0) | 1 << (word & 63)
-            self.top |= 1 << group
-        else:
-            bucket.append(position)
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Start the bucket of a rank that has none; further positions are appended to it."""
+        self.buckets[rank] = positions
+        word, group = rank >> 6, rank >> 12
+        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
+        self.middle[group] = self.middle.get(group, 0) | 1 << (word & 63)
+        self.top |= 1 << group
 
     def first(self) -> int:
         """The lowest rank with a bucket, or -1."""
@@ -83,26 +80,37 @@ class Codec:
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.pair_ranks = np.full(1 << 16, -1, dtype=np.int64)  # of two bytes
+        for token, r in self.rank.items():
+            if len(token) == 2:
+                self.pair_ranks[token[0] << 8 | token[1]] = r
         self.pieces = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each (non-empty) piece as int32 bytes; all pieces share one queue, no pair spans two of them."""
-        data, rank, longest = b"".join(pieces), self.rank, self.longest
+        data, rank, longest = b"".join(pieces), self.rank.get, self.longest
         n = len(data)
+        if not n:
+            return []
         starts = [0, *accumulate(map(len, pieces))]
         head = bytearray(n + 1)  # where a piece starts, and the end
         for i in starts:
             head[i] = 1
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair_rank = [-1] * (n + 1)  # of the part that starts here with the part after it; -1: none
+        first_byte = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+        ranks = np.full(n + 1, -1, dtype=np.int64)
+        ranks[: n - 1] = self.pair_ranks[first_byte[:-1] << 8 | first_byte[1:]]
+        ranks[np.array(starts[1:]) - 1] = -1
+        pair_rank = ranks.tolist()  # of the part that starts here with the part after it; -1: none
         queue = RankQueue()
-        for i in range(n - 1):
-            if not head[i + 1]:
-                r = rank.get(data[i : i + 2])
-                if r is not None:
-                    pair_rank[i] = r
-                    queue.push(r, i)
+        queued = np.flatnonzero(ranks >= 0)
+        queued = queued[np.argsort(ranks[queued], kind="stable")]
+        edges = np.flatnonzero(np.diff(ranks[queued], prepend=-1, append=-1)).tolist()
+        for low, high in pairwise(edges):
+            positions = queued[low:high].tolist()
+            queue.open(pair_rank[positions[0]], positions)
+        bucket_of = queue.buckets.get
         while (r := queue.first()) >= 0:
             bucket = sorted(queue.take(r))
             for done, i in enumerate(bucket, 1):
@@ -115,30 +123,36 @@ class Codec:
                 lower = False
                 if not head[k]:
                     end = after[k]
-                    new = rank.get(data[i:end]) if end <= i + longest else None
+                    new = rank(data[i:end]) if end <= i + longest else None
                     if new is not None:
                         pair_rank[i] = new
-                        queue.push(new, i)
+                        if (b := bucket_of(new)) is None:
+                            queue.open(new, [i])
+                        else:
+                            b.append(i)
                         lower = new < r
                 if not head[i]:
                     p = before[i]
-                    new = rank.get(data[p:k]) if k <= p + longest else None
+                    new = rank(data[p:k]) if k <= p + longest else None
                     if new is None:
                         pair_rank[p] = -1
                     elif new != pair_rank[p]:
                         pair_rank[p] = new
-                        queue.push(new, p)
+                        if (b := bucket_of(new)) is None:
+                            queue.open(new, [p])
+                        else:
+                            b.append(p)
                         lower = lower or new < r
                 if lower:  # not in vocabularies whose longer tokens all rank behind their parts
-                    for p in bucket[done:]:
-                        queue.push(r, p)
+                    if rest := bucket[done:] + queue.buckets.get(r, []):
+                        queue.open(r, rest)
                     break
         out = []
         for i, end in pairwise(starts):
             ids = array("i")
             while i < end:
                 k = after[i]
-                ids.append(rank[data[i:k]])
+                ids.append(rank(data[i:k]))
                 i = k
             out.append(ids.tobytes())
         return out
@@ -148,7 +162,7 @@ class Codec:
         if len(self.cache) > CACHE:
             self.cache.clear()
         known = self.cache
-        unseen = list({p for pieces in split for p in pieces if p not in known})
+        unseen = list(set().union(*split).difference(known))
         raw = [p.encode() for p in unseen]
         whole = [self.rank.get(b) for b in raw]  # a piece that is a token stays whole
         merged = iter(self.encode_pieces([b for b, r in zip(raw, whole, strict=True) if r is None]))
