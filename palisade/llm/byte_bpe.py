@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from palisade.llm.token_counts import slices
 
-#: Pre-tokens a worker remembers before it starts afresh; longer ones are never kept.
-CACHE, KEPT = 900_000, 64
+#: Pre-tokens a worker remembers before it starts afresh, and the longest of those that it keeps.
+CACHE, KEPT = 600_000, 64
 
 
 class RankQueue:
@@ -159,10 +160,11 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        distinct = set().union(*split)
+        if len(self.cache) > CACHE:  # starts afresh with those in use
+            self.cache = {p: self.cache[p] for p in distinct if p in self.cache}
         known = self.cache
-        unseen = list(set().union(*split).difference(known))
+        unseen = list(distinct.difference(known))
         raw = [p.encode() for p in unseen]
         whole = [self.rank.get(b) for b in raw]  # a piece that is a token stays whole
         merged = iter(self.encode_pieces([b for b, r in zip(raw, whole, strict=True) if r is None]))
@@ -183,6 +185,12 @@ class Codec:
         return self.bytes[at].tobytes()
 
 
+@lru_cache(maxsize=2)
+def codec(rank_file: bytes, pattern: str) -> Codec:
+    """The codec of a worker process, with what it remembers: it serves the tasks that the worker runs one by one."""
+    return Codec(rank_file, pattern)
+
+
 def _codec_source(spark: SparkSession, rank_path: str):
     """The rank file (bounded: a vocabulary), read by the driver and broadcast."""
     with open(rank_path, "rb") as f:
@@ -200,9 +208,9 @@ def encoder(spark: SparkSession, rank_path: str, pattern: str):
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(source.value, pattern)
+        own = codec(source.value, pattern)
         for batch in batches:
-            yield _lists([ids for part in slices(batch) for ids in codec.encode(part)])
+            yield _lists([ids for part in slices(batch) for ids in own.encode(part)])
 
     return lambda col: encoded(F.coalesce(col, F.lit("")))
 
@@ -213,9 +221,9 @@ def decoder(spark: SparkSession, rank_path: str, pattern: str):
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(source.value, pattern)
+        own = codec(source.value, pattern)
         for batch in batches:
-            yield pa.array([codec.decode(np.array(x.as_py() or [], dtype=np.int32)) for x in batch], pa.binary())
+            yield pa.array([own.decode(np.array(x.as_py() or [], dtype=np.int32)) for x in batch], pa.binary())
 
     return decoded
 
@@ -226,10 +234,10 @@ def round_trip(spark: SparkSession, rank_path: str, pattern: str):
 
     @F.arrow_udf("ids array<int>, decoded binary")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(source.value, pattern)
+        own = codec(source.value, pattern)
         for batch in batches:
-            ids = [ids for part in slices(batch) for ids in codec.encode(part)]
-            yield pa.StructArray.from_arrays([_lists(ids), pa.array([codec.decode(x) for x in ids], pa.binary())], ["ids", "decoded"])
+            ids = [ids for part in slices(batch) for ids in own.encode(part)]
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array([own.decode(x) for x in ids], pa.binary())], ["ids", "decoded"])
 
     return lambda col: both(F.coalesce(col, F.lit("")))
 
