@@ -39,7 +39,7 @@ def stage1_verdict(score: Column, decisive_critical: Column, decisive_any: Colum
 def stage1(findings: DataFrame, packages: DataFrame) -> DataFrame:
     """(package, score, verdict, capabilities, deferring): one row for each package, with or without findings.
 
-    Findings are summed before they meet the packages; their capabilities are unions of at most 29 labels.
+    Findings are read once and summed before they meet the packages; their capabilities are unions of at most 29 labels.
     """
     w, decides = weight(F.col("severity")), ~F.col("defers")
     sums = findings.groupBy(*PACKAGE).agg(
@@ -47,9 +47,9 @@ def stage1(findings: DataFrame, packages: DataFrame) -> DataFrame:
         F.bool_or(decides & (F.col("severity") == "critical")).alias("critical"),
         F.bool_or(decides & (w > 0)).alias("decisive"),
         F.bool_or("defers").alias("deferring"),
+        F.flatten(F.collect_set("capabilities")).alias("capabilities"),
     )
-    caps = findings.select(*PACKAGE, F.explode("capabilities").alias("c")).groupBy(*PACKAGE).agg(F.collect_set("c").alias("capabilities"))
-    out = packages.select(*PACKAGE).distinct().join(sums, PACKAGE, "left").join(caps, PACKAGE, "left")
+    out = packages.select(*PACKAGE).distinct().join(sums, PACKAGE, "left")
     score, false = F.coalesce("score", F.lit(0).cast("long")), F.lit(False)
     return out.select(
         *PACKAGE,

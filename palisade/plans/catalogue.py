@@ -16,7 +16,7 @@ from palisade.streaming import feed
 
 AS_OF = "2024-02-01 00:00:00"
 COLUMNS = ["ecosystem", "name", "version", "rule_id", "severity", "category", "location", "excerpt", "defers", "capabilities"]
-#: Rules whose hits in comments and strings don't count have no SQL counterpart; tests hold them.
+#: Rules that SQL can say: those whose hits in comments and strings don't count have no SQL counterpart; tests hold them.
 PLAIN = [r for r in TEXT_RULES if not r.suppress]
 
 
@@ -105,15 +105,34 @@ def plain_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.text_findings(scanned(spark, sf_dir), rules.macro_crates(manifests(spark, sf_dir)), PLAIN)
 
 
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every rule over the planted packages."""
+    return rules.evaluate(planted.entries(spark, sf_dir), planted.lifecycle(spark, sf_dir), manifests(spark, sf_dir), registry(spark, sf_dir), as_of())
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every package that a rule may look at: those with files or hooks, and those known from the registry alone."""
+    own = [planted.entries(spark, sf_dir), planted.lifecycle(spark, sf_dir), registry(spark, sf_dir)]
+    files, hooks, known = (df.select(*rules.PACKAGE) for df in own)
+    return files.unionByName(hooks).unionByName(known)
+
+
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule over the planted packages."""
-    return shown(rules.evaluate(planted.entries(spark, sf_dir), planted.lifecycle(spark, sf_dir), manifests(spark, sf_dir), registry(spark, sf_dir), as_of()))
+    return shown(evaluated(spark, sf_dir))
 
 
 PLAIN_SQL = " UNION ALL ".join(rule_sql(r) for r in PLAIN)
 
 
 def stage1_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by all rules. SQL can't say some of them; a test holds the query against brute force."""
+    out = scoring.stage1(evaluated(spark, sf_dir), packages(spark, sf_dir))
+    return out.withColumn("capabilities", F.array_join("capabilities", ","))
+
+
+def stage1_plain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by the rules that SQL can say alone, for comparison with STAGE1_SQL."""
     out = scoring.stage1(plain_findings(spark, sf_dir), scanned(spark, sf_dir))
     return out.withColumn("capabilities", F.array_join("capabilities", ","))
 
@@ -366,9 +385,13 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage2.gate(stage1_verdicts(spark, sf_dir)).select("ecosystem", "name", "version", "score", "verdict")
 
 
+def gated_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage2.gate(stage1_plain_verdicts(spark, sf_dir)).select("ecosystem", "name", "version", "score", "verdict")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plain_findings(spark, sf_dir).withColumn("ordinal", F.col("rule_id"))
-    s1 = scoring.stage1(found, scanned(spark, sf_dir))
+    found = evaluated(spark, sf_dir).withColumn("ordinal", F.col("rule_id"))
+    s1 = scoring.stage1(found, packages(spark, sf_dir))
     out = stage2.user_message(stage2.contexts(s1, found, planted.lifecycle(spark, sf_dir)))
     return out.select("ecosystem", "name", "version", "approx_chars", "message")
 
@@ -438,7 +461,8 @@ BACKFILL_SQL = "SELECT 'npm' AS ecosystem, '@s/' || CAST(p_partkey AS VARCHAR) A
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"rule_{r.id.lower()}": one_rule(r) for r in TEXT_RULES}
 ORACLES: dict[str, str] = {f"rule_{r.id.lower()}": _with_units(rule_sql(r)) for r in PLAIN}
 _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "stage1_verdicts": (stage1_verdicts, STAGE1_SQL),
+    "stage1_verdicts": (stage1_verdicts, None),
+    "stage1_plain_verdicts": (stage1_plain_verdicts, STAGE1_SQL),
     "all_findings": (all_findings, None),
     "rule_presence": (presence, PRESENCE_SQL),
     "rule_npm005_blob_near_execution": (blobs, None),
@@ -456,7 +480,8 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "capability_diff_strict": (diff_strict, STRICT_SQL),
     "capability_diff_parity": (diff_parity, PARITY_SQL),
     "verdict_diff": (verdict_diff, DIFF_SQL),
-    "stage2_gate": (gated, f"SELECT ecosystem, name, version, score, verdict FROM ({STAGE1_SQL}) WHERE verdict = 'suspicious' OR deferring"),
+    "stage2_gate": (gated, None),
+    "stage2_gate_plain": (gated_plain, f"SELECT ecosystem, name, version, score, verdict FROM ({STAGE1_SQL}) WHERE verdict = 'suspicious' OR deferring"),
     "stage2_messages": (messages, None),
     "stage2_merge": (merged, MERGED_SQL),
     "stage2_budget": (budget, BUDGET_SQL),
