@@ -14,6 +14,8 @@ from palisade.llm.common import table, written
 #: Parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SPAM_LABELS = ["spam-farm", "cheap-pills"]
+#: All host families of the pages tables that are taken as bad ones, by their names.
+BAD_FAMILIES = [*SPAM_LABELS, "casino-win", "free-bets", "ads-track", "adult-x"]
 TOKEN_LIMIT = 512
 
 
@@ -48,10 +50,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS)
 
 
-def listed_urls(pages: DataFrame) -> DataFrame:
-    """The list that the query filters by: every canonical URL seen on hosts with a spam label."""
+def listed_urls(pages: DataFrame, labels: list[str] = SPAM_LABELS) -> DataFrame:
+    """The list that the query filters by: every canonical URL seen on hosts with one of the labels."""
     parts = url_filters.with_parts(pages.select("url"))
-    spam = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, SPAM_LABELS)))
+    spam = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, labels)))
     return parts.where(spam).select(url_filters.canonical(F.col("host"), F.col("path")).alias("canon"))
 
 
@@ -60,6 +62,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_url_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_url_filters with the list of all bad families."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, listed_urls(pages, BAD_FAMILIES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -116,6 +124,8 @@ SELECT page_id, host, path, rule,
     CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
          WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
+FAMILIES_SQL = URL_SQL.replace("['spam-farm', 'cheap-pills']", str(BAD_FAMILIES))
+
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
  s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
@@ -129,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_sharding": op4_sharding,
     "op5_url_filters": op5_url_filters,
+    "op5_url_families": op5_url_families,
     "op6_top_k": op6_top_k,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
@@ -138,4 +149,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": _shard_sql(), "op5_url_filters": URL_SQL, "op6_top_k": TOP_K_SQL}
+    return {"op4_sharding": _shard_sql(), "op5_url_filters": URL_SQL, "op5_url_families": FAMILIES_SQL, "op6_top_k": TOP_K_SQL}

@@ -59,6 +59,14 @@ def test_url_verdicts(spark, monkeypatch, limit):
     assert url_filters.judge(pages.limit(0), listed).collect() == []
 
 
+def test_all_bad_families_are_listed(spark, tmp_path):
+    hosts = ["spam-farm.a.net", "m.cheap-pills.a.net", "www.casino-win.a.net", "free-bets.a.net:80", "m.ads-track.a.net", "adult-x.a.net", "good.a.net", "adult-xy.a.net"]
+    rows = [(i, f"http://{h}/p/{i}.html") for i, h in enumerate(hosts)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.QUERIES["op5_url_families"](spark, f"file://{tmp_path}").collect()}
+    assert got == {i: "block" if i < 6 else "allow" for i in range(8)}
+
+
 def brute_top_k(rows, k=10):
     out = set()
     for q, v in rows:
