@@ -401,6 +401,14 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage2.within_budget(calls, 600, 12_000).select("call_id", "hour_tokens", "day_tokens", "admitted")
 
 
+def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls, a pool for each type; every tenth fails, and the others use a little less or more than estimated."""
+    i = F.col("event_id")
+    est, worked = i % 97 + 1, i % 10 != 0
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("pool"), "ts", i.alias("call_id"), est.alias("est_in"), F.when(worked, F.greatest(F.lit(0), est + i % 7 - 3)).alias("used_in"), F.when(worked, i % 50).alias("used_out"))
+    return stage2.greedy_budget(calls, stage2.Caps(600, 400, 12_000, 6_000, 40))
+
+
 BUDGET_SQL = """WITH c AS (SELECT ts, event_id AS call_id, event_id % 97 + 1 AS tokens FROM events),
  s AS (SELECT call_id, CAST(sum(tokens) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, call_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hour_tokens,
    CAST(sum(tokens) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, call_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS day_tokens FROM c)
@@ -485,6 +493,7 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "stage2_messages": (messages, None),
     "stage2_merge": (merged, MERGED_SQL),
     "stage2_budget": (budget, BUDGET_SQL),
+    "stage2_budget_greedy": (greedy_budget, None),
     "feed_pending": (feed_pending, PENDING_SQL),
     "catalog_paths": (integrity, INTEGRITY_SQL),
     "catalog_upsert": (upserted, UPSERTED_SQL),

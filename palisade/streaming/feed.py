@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palisade.operators import stage2
+
 CHANGE = "seq LONG, id STRING, deleted BOOLEAN"
 
 
@@ -36,26 +38,13 @@ def follow(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[Da
     return changes(stream).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _spend(cap: int, seconds: int):
-    """Greedy admission: a window starts at the first call after the last one's end; a call over the cap is refused, later ones may pass."""
+def budget(calls: DataFrame, caps: stage2.Caps = stage2.Caps()) -> DataFrame:
+    """stage2.greedy_budget of streaming calls, by state for each pool; batches must come in time order."""
 
     def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (-1, 0)
-        for frame in frames:
-            frame = frame.sort_values(["ts", "call_id"])
-            admitted = []
-            for at, tokens in zip(frame["ts"].astype("int64") // 10**9 if frame["ts"].dtype == "datetime64[ns]" else frame["ts"].astype("datetime64[s]").astype("int64"), frame["tokens"], strict=True):
-                if start < 0 or at - start >= seconds:
-                    start, used = int(at), 0
-                ok = used + int(tokens) <= cap
-                used += int(tokens) if ok else 0
-                admitted.append(ok)
-            yield pd.DataFrame({"pool": key[0], "call_id": frame["call_id"], "admitted": admitted})
-        state.update((start, used))
-
-    return of
-
-
-def budget(calls: DataFrame, cap: int, seconds: int) -> DataFrame:
-    """Streaming calls (pool, ts, call_id, tokens) with admitted, by state for each pool; batches must come in time order."""
-    return calls.groupBy("pool").applyInPandasWithState(_spend(cap, seconds), "pool string, call_id long, admitted boolean", "start long, used long", "append", GroupStateTimeout.NoTimeout)
+        pool = stage2.Pool(caps, state.get if state.exists else None)
+        rows = pd.concat(list(frames)).sort_values(["at", "call_id"])  # of one batch
+        yield pd.DataFrame({"pool": key[0], "call_id": rows["call_id"], "admitted": pool.admit(rows)})
+        state.update(pool.state())
+
+    return stage2.timed(calls).groupBy("pool").applyInPandasWithState(of, stage2.ADMITTED, stage2.Pool.STATE, "append", GroupStateTimeout.NoTimeout)
