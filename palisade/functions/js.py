@@ -3,20 +3,37 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`"""
+from palisade.functions.spans import given, spans
+
+# All repetitions are possessive: the regular-expression engine then needs no stack, however long a token is.
+_QUOTED = r""""(?:[^"\\\n]++|\\[\s\S])*+"|'(?:[^'\\\n]++|\\[\s\S])*+'"""
+_TEMPLATE = r"`(?:[^`\\]++|\\[\s\S])*+`"
+#: Code in a template, with one template, strings and one level of braces inside.
+_CODE = rf"\$\{{(?:[^`{{}}\"']++|{_QUOTED}|{_TEMPLATE}|\{{[^`{{}}]*+\}})*+\}}"
+COMMENT_OR_STRING = rf"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|{_QUOTED}|`(?:[^`\\$]++|\\[\s\S]|{_CODE}|\$)*+`"
+#: A regular-expression literal: a slash where an operand may stand. It is code, but its quotes begin no string.
+_LITERAL = r"/(?<=(?:\A|[(,=:\[!&|?{};]|return)\s{0,8}/)(?![*/])(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/"
+TOKEN = f"{COMMENT_OR_STRING}|{_LITERAL}"
+
+
+def tokens(text: Column) -> Column:
+    """array<struct<start, end>> of comments, strings and whole templates; regular-expression literals are left out."""
+    all_ = spans(text, TOKEN)
+    heads = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.startswith(t, F.lit("/")) & ~F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("/*")))
+    both = F.arrays_zip(all_.alias("s"), heads.alias("literal"))
+    return F.transform(F.filter(both, lambda x: ~x["literal"]), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end")))
 
 
 def inside_token(text: Column, at: Column) -> Column:
-    """Whether the (0-based) offset lies in a comment, string or template literal.
+    """Whether the (0-based) offset lies in a comment, string or template literal."""
+    return F.exists(tokens(text), lambda t: (at >= t["start"]) & (at < t["end"]))
+
 
-    Gaps between tokens and tokens laid end to end give the tokens' places. Regular-expression literals and code in
-    templates aren't told apart from text, so the answer is an approximation there.
-    """
-    gaps, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    sized = F.zip_with(F.slice(gaps, 1, F.size(tokens)), tokens, lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("own")))
+def outside_tokens(text: Column, places: Column) -> Column:
+    """Those of the spans that begin in code; the tokens are found once."""
+    return given(tokens(text), lambda ts: F.filter(places, lambda p: ~F.exists(ts, lambda t: (p["start"] >= t["start"]) & (p["start"] < t["end"]))))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        return F.struct((start + x["own"]).alias("at"), (a["hit"] | ((at >= start) & (at < start + x["own"]))).alias("hit"))
 
-    return F.aggregate(sized, F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit")), step, lambda a: a["hit"])
+def without_strings(text: Column) -> Column:
+    """The text with a blank for each comment, string and template."""
+    return F.regexp_replace(text, TOKEN, " ")

@@ -1,4 +1,4 @@
-"""Rules over tables of packages: every text rule in one projection over one scan, the others as joins and predicates.
+"""Rules over tables of packages: all that look at one text in one projection over one scan, the others as joins and predicates.
 
 Inputs are entries (ecosystem, name, version, ordinal, path, kind, text, mode), lifecycle (.., hook, kind, body, path),
 manifests (.., raw as JSON text, bin as map) and registry (.., published_at, package_created_at, total_versions).
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed
-from palisade.functions.js import inside_token
+from palisade.functions.js import inside_token, outside_tokens
 from palisade.functions.rulespec import BINARY_KINDS, PRESENCE_RULES, TEXT_RULES, Scope, TextRule, alternatives
+from palisade.functions.spans import given, spans
 
 PACKAGE = ["ecosystem", "name", "version"]
 FINDING = [*PACKAGE, "rule_id", "severity", "category", "location", "excerpt", "message", "defers", "capabilities"]
@@ -34,9 +35,12 @@ def units(entries: DataFrame, lifecycle: DataFrame) -> DataFrame:
     """Texts to scan: (package, unit, kind, location, text, ordinal); unit is entry or hook."""
     e = entries.where(F.col("text").isNotNull() & ~F.col("kind").isin(*BINARY_KINDS))
     e = e.select(*PACKAGE, F.lit("entry").alias("unit"), "kind", F.col("path").alias("location"), "text", F.col("ordinal").cast("long").alias("ordinal"))
+    return e.unionByName(_hooks(lifecycle))
+
+
+def _hooks(lifecycle: DataFrame) -> DataFrame:
     place = F.coalesce("path", F.concat(F.lit("package.json#scripts."), F.col("hook")))
-    h = lifecycle.select(*PACKAGE, F.lit("hook").alias("unit"), "kind", place.alias("location"), F.col("body").alias("text"), F.lit(0).cast("long").alias("ordinal"))
-    return e.unionByName(h)
+    return lifecycle.select(*PACKAGE, F.lit("hook").alias("unit"), "kind", place.alias("location"), F.col("body").alias("text"), F.lit(0).cast("long").alias("ordinal"))
 
 
 def _in_scope(code: str) -> Column:
@@ -66,10 +70,20 @@ def first_match(pattern: str, group: int = 0) -> Column:
     return F.when(F.col("text").rlike(f"(?d){pattern}"), F.regexp_extract("text", f"(?d){pattern}", group))
 
 
+def _hinted(rule: TextRule) -> Column:
+    """Whether a literal that every match holds is there: looked for first, as that is much cheaper than the pattern."""
+    text = F.col("low") if rule.pattern.startswith("(?i)") else F.col("text")
+    out = F.lit(not rule.hints)
+    for hint in rule.hints:
+        out = out | F.contains(text, F.lit(hint))
+    return out
+
+
 def _excerpt(rule: TextRule) -> Column:
     hit = first_match(rule.pattern, rule.group)
     if rule.also:
         hit = F.when(F.col("text").rlike(f"(?d){rule.also}"), F.concat(hit, F.lit(" … "), first_match(rule.also)))
+    hit = F.when(_hinted(rule), hit) if rule.hints else hit
     if rule.instead:
         other = first_match(rule.instead)
         hit = F.coalesce(hit, F.when(F.col("unit") == "entry", other))
@@ -80,61 +94,94 @@ def _excerpt(rule: TextRule) -> Column:
     return hit
 
 
-def text_findings(scanned: DataFrame, macro_crates: DataFrame | None = None, rules: list[TextRule] | None = None) -> DataFrame:
-    """scanned: of units. macro_crates: packages whose Rust sources are those of a procedural macro."""
-    rules = TEXT_RULES if rules is None else rules
-    if macro_crates is not None:
-        scanned = scanned.join(macro_crates.select(*PACKAGE).distinct().withColumn("macro_crate", F.lit(True)), PACKAGE, "left")
-        scanned = scanned.withColumn("macro_crate", F.coalesce("macro_crate", F.lit(False)))
-    else:
-        scanned = scanned.withColumn("macro_crate", F.lit(False))
+def _present(found: list[Column]) -> Column:
+    """Those findings that have an excerpt."""
+    return F.filter(F.array(*found), lambda f: f["excerpt"].isNotNull())
+
+
+def _text_findings(rules: list[TextRule]) -> Column:
     found = []
     for rule in rules:
         for scope in rule.scopes:
             excerpt = F.when(F.col("ecosystem").isin(*rule.ecosystems) & _where(scope), _excerpt(rule))
             found.append(finding(rule.id, scope.severity, rule.category, F.col("location"), excerpt, rule.message, rule.defers, scope.capabilities))
-    hits = scanned.select(*PACKAGE, "ordinal", F.explode(F.filter(F.array(*found), lambda f: f["excerpt"].isNotNull())).alias("f"))
-    hits = hits.select(*PACKAGE, "ordinal", "f.*")
-    if any(r.id == "NPM035" for r in rules):  # of one package, the first file only
-        rest = hits.where("rule_id <> 'NPM035'").drop("ordinal")
-        row = F.struct("ordinal", *FINDING[3:])
-        first = hits.where("rule_id = 'NPM035'").groupBy(*PACKAGE).agg(F.min_by(row, F.struct("ordinal", "location")).alias("f"))
-        return rest.unionByName(first.select(*PACKAGE, "f.*").drop("ordinal"))
-    return hits.drop("ordinal")
+    return _present(found)
+
+
+def _exploded(scanned: DataFrame, found: list[Column], macro_crates: DataFrame | None = None) -> DataFrame:
+    """The findings of all arrays, each text read once. Of one package, NPM035 counts in the first file only."""
+    if macro_crates is not None:
+        scanned = scanned.join(macro_crates.select(*PACKAGE).distinct().withColumn("macro_crate", F.lit(True)), PACKAGE, "left")
+        scanned = scanned.withColumn("macro_crate", F.coalesce("macro_crate", F.lit(False)))
+    else:
+        scanned = scanned.withColumn("macro_crate", F.lit(False))
+    scanned = scanned.withColumn("low", F.lower("text"))
+    return scanned.select(*PACKAGE, "ordinal", F.explode(F.concat(*found)).alias("f")).select(*PACKAGE, "ordinal", "f.*")
+
+
+def _first_file_only(hits: DataFrame) -> DataFrame:
+    once = F.col("rule_id") == "NPM035"
+    place = F.row_number().over(Window.partitionBy(*PACKAGE).orderBy(once, "ordinal", "location"))
+    before = F.count_if(~once).over(Window.partitionBy(*PACKAGE))
+    return hits.withColumns({"place": place, "before": before}).where(~once | (F.col("place") == F.col("before") + 1)).select(*FINDING)
+
+
+def text_findings(scanned: DataFrame, macro_crates: DataFrame | None = None, rules: list[TextRule] | None = None) -> DataFrame:
+    """scanned: of units. macro_crates: packages whose Rust sources are those of a procedural macro."""
+    rules = TEXT_RULES if rules is None else rules
+    hits = _exploded(scanned, [_text_findings(rules)], macro_crates)
+    return _first_file_only(hits) if any(r.id == "NPM035" for r in rules) else hits.select(*FINDING)
+
+
+def unit_findings(scanned: DataFrame, macro_crates: DataFrame, as_of: Column) -> DataFrame:
+    """Findings of all rules that look at one text: one scan, one projection."""
+    found = [_text_findings(TEXT_RULES), _presence(), _blobs(), _unicode(), _bombs(as_of)]
+    return _first_file_only(_exploded(scanned, found, macro_crates))
+
+
+def _presence() -> Column:
+    short = F.when(F.length("text") > 240, F.concat(F.substring("text", 1, 240), F.lit("…"))).otherwise(F.col("text"))
+    installs = (F.col("unit") == "hook") & (F.col("kind") == "install_time")
+    found = [finding(rule, "info", "lifecycle_script", F.col("location"), F.when(installs & (F.col("ecosystem") == eco), short), "runs code at install time", False, caps) for eco, (rule, caps) in PRESENCE_RULES.items()]
+    return _present(found)
 
 
 def presence_findings(lifecycle: DataFrame) -> DataFrame:
     """NPM001, CARGO001, PYPI001, NUGET001: an install hook exists."""
-    place = F.coalesce("path", F.concat(F.lit("package.json#scripts."), F.col("hook")))
-    short = F.when(F.length("body") > 240, F.concat(F.substring("body", 1, 240), F.lit("…"))).otherwise(F.col("body"))
-    out = None
-    for eco, (rule, caps) in PRESENCE_RULES.items():
-        f = finding(rule, "info", "lifecycle_script", place, short, "runs code at install time", False, caps)
-        out = F.when(F.col("ecosystem") == eco, f) if out is None else out.when(F.col("ecosystem") == eco, f)
-    rows = lifecycle.where("kind = 'install_time'").select(*PACKAGE, out.alias("f")).where("f IS NOT NULL")
-    return rows.select(*PACKAGE, "f.*")
+    return _exploded(_hooks(lifecycle), [_presence()]).select(*FINDING)
 
 
 def _rows(df: DataFrame, f: Column) -> DataFrame:
     return df.select(*PACKAGE, f.alias("f")).select(*PACKAGE, "f.*")
 
 
+def _blobs() -> Column:
+    """NPM005. Distances run from the call's start, in bytes; the first blob with a call near it counts."""
+    text, entry = F.col("text"), F.col("unit") == "entry"
+    exec_re = alternatives("execution")
+    of_interest = (F.col("ecosystem") == "npm") & (~entry | F.col("kind").isin("js_source", "text"))
+    likely = F.contains(text, F.lit("eval")) | F.contains(text, F.lit("Function")) | F.contains(text, F.lit("runIn"))
+    blobs = F.concat(*[spans(text, alternatives(name)) for name in ("base64_blob", "hex_blob")])
+    calls = spans(text, exec_re)
+    calls = F.when(entry, outside_tokens(text, calls)).otherwise(calls)
+
+    def near(b: Column, x: Column) -> Column:
+        at = F.when(x["start"] > b["end"], b["end"]).otherwise(x["start"])
+        chars = F.when(x["start"] > b["end"], x["start"] - b["end"]).when(b["start"] > x["start"], b["start"] - x["start"]).otherwise(0)
+        plain = F.octet_length(text) == F.length(text)
+        return (chars <= fixed.BLOB_GAP) & (plain | (F.octet_length(F.substring(text, at + 1, chars)) <= fixed.BLOB_GAP))
+
+    both = F.struct(blobs.alias("blobs"), calls.alias("calls"))
+    hit = given(both, lambda s: F.get(F.filter(s["blobs"], lambda b: F.exists(s["calls"], lambda x: near(b, x))), F.lit(0)))
+    around = lambda h: F.substring(text, F.greatest(h["start"] - 40, F.lit(0)) + 1, F.least(F.lit(200), h["end"] + 40 - F.greatest(h["start"] - 40, F.lit(0))))
+    excerpt = given(hit, lambda h: F.when(h.isNotNull(), F.concat(F.lit("…"), around(h), F.lit("…"))))
+    excerpt = F.when(of_interest & likely & text.rlike("[A-Za-z0-9+/]{1000}"), excerpt)
+    return _present([finding("NPM005", "critical", "obfuscation", F.col("location"), excerpt, "encoded blob next to code that executes it", False, ("dynamic_eval", "encoded_payload"))])
+
+
 def blob_near_execution(scanned: DataFrame) -> DataFrame:
-    """NPM005: an encoded run within BLOB_GAP bytes of code that executes text. Spans of both kinds are compared in the row."""
-    from palisade.functions.spans import spans
-
-    exec_re, blobs = alternatives("execution"), [alternatives("base64_blob"), alternatives("hex_blob")]
-    js = F.col("kind").isin("js_source", "text") & (F.col("unit") == "entry")
-    df = scanned.where((F.col("ecosystem") == "npm") & (js | (F.col("unit") == "hook")))
-    df = df.where(F.col("text").rlike(exec_re) & F.col("text").rlike("[A-Za-z0-9+/]{1000}"))
-    df = df.withColumns({"blobs": F.concat(*[spans(F.col("text"), b) for b in blobs]), "execs": spans(F.col("text"), exec_re)})
-    df = df.withColumn("execs", F.when(js, F.filter("execs", lambda x: ~inside_token(F.col("text"), x["start"]))).otherwise(F.col("execs")))
-    gap = lambda b, x: F.greatest(F.lit(0), b["start"] - x["end"], x["start"] - b["end"])
-    near = F.filter("blobs", lambda b: F.exists("execs", lambda x: gap(b, x) <= fixed.BLOB_GAP))
-    df = df.withColumn("hit", F.get(near, F.lit(0))).where("hit IS NOT NULL")
-    around = F.expr("substring(text, greatest(hit.start - 40, 0) + 1, hit.end - hit.start + 80)")
-    excerpt = F.concat(F.lit("…"), F.substring(around, 1, 200), F.lit("…"))
-    return _rows(df, finding("NPM005", "critical", "obfuscation", F.col("location"), excerpt, "encoded blob next to code that executes it", False, ("dynamic_eval", "encoded_payload")))
+    """NPM005: an encoded run within BLOB_GAP bytes of code that executes text."""
+    return _exploded(scanned, [_blobs()]).select(*FINDING)
 
 
 def native_binaries(entries: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -145,13 +192,31 @@ def native_binaries(entries: DataFrame, manifests: DataFrame) -> DataFrame:
     return _rows(rows, finding("NPM009", "high", "native_binary", F.col("path"), F.lit(None).cast("string"), "native binary that no bin entry declares", True, ("native_binary",)))
 
 
+def _member(key: str) -> Column:
+    return F.try_variant_get(F.try_parse_json("raw"), f"$.{key}", "variant")
+
+
+def _is(member: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(member) == kind, F.lit(False))
+
+
+def _strings_of(key: str) -> Column:
+    """The strings of a list in the manifest, in order; null if it is no list."""
+    items = F.try_variant_get(F.try_parse_json("raw"), f"$.{key}", "array<variant>")
+    return F.transform(F.filter(items, lambda v: _is(v, "STRING")), lambda v: F.try_variant_get(v, "$", "string"))
+
+
+def _string_of(key: str) -> Column:
+    return F.when(_is(_member(key), "STRING"), F.try_variant_get(F.try_parse_json("raw"), f"$.{key}", "string"))
+
+
 def bundled_dependencies(manifests: DataFrame) -> DataFrame:
-    """NPM012: bundleDependencies or bundledDependencies, a list of names or true."""
-    pick = lambda key: F.coalesce(*[F.get_json_object("raw", f"$.{k}") for k in key])
-    raw = pick(["bundleDependencies", "bundledDependencies"])
-    names = F.when(raw == "true", F.lit("*")).otherwise(F.array_join(F.from_json(raw, "array<string>"), ", "))
-    rows = manifests.where("ecosystem = 'npm'").withColumn("names", names).where("names <> ''")
-    return _rows(rows, finding("NPM012", "high", "other", F.lit("package.json"), F.col("names"), "bundles its dependencies", True))
+    """NPM012: bundleDependencies and bundledDependencies, each a list of names or true; both count."""
+    true = lambda key: F.when(_is(_member(key), "BOOLEAN") & (F.try_variant_get(F.try_parse_json("raw"), f"$.{key}", "boolean")), strings(["*"]))
+    none = strings([])
+    both = [F.coalesce(_strings_of(key), true(key), none) for key in ("bundleDependencies", "bundledDependencies")]
+    rows = manifests.where("ecosystem = 'npm'").withColumn("names", F.concat(*both)).where(F.size("names") > 0)
+    return _rows(rows, finding("NPM012", "high", "other", F.lit("package.json"), F.array_join("names", ", "), "bundles its dependencies", True))
 
 
 def lookalikes(packages: DataFrame, as_of: Column, top: list[str] | None = None) -> DataFrame:
@@ -167,8 +232,9 @@ def lookalikes(packages: DataFrame, as_of: Column, top: list[str] | None = None)
     names = spark.range(1).select(F.posexplode(strings(listed)).alias("ordinal", "top"))
     near = F.levenshtein(F.col("own"), F.col("top"), 2)
     rows = rows.join(F.broadcast(names), F.abs(F.length("own") - F.length("top")) <= 2).withColumn("d", near).where("d BETWEEN 1 AND 2")
-    best = rows.groupBy(*PACKAGE).agg(F.min_by("top", F.struct("d", "ordinal")).alias("top"))
-    return _rows(best, finding("NPM014", "high", "typosquat", F.lit("package.json"), F.col("top"), "name looks like a well-known package's", True))
+    best = rows.groupBy(*PACKAGE).agg(F.min(F.struct("d", "ordinal", "top")).alias("best"))
+    excerpt = F.concat(F.lower("name"), F.lit(" ~= "), F.col("best.top"), F.lit(" (distance "), F.col("best.d").cast("string"), F.lit(")"))
+    return _rows(best, finding("NPM014", "high", "typosquat", F.lit("package.json"), excerpt, "name looks like a well-known package's", True))
 
 
 def recency(registry: DataFrame, as_of: Column) -> DataFrame:
@@ -184,22 +250,26 @@ def recency(registry: DataFrame, as_of: Column) -> DataFrame:
 
 
 def _glob(pattern: Column) -> Column:
-    """A files pattern as a regular expression on paths: a plain one is a file or a folder; `*` stays in a segment."""
-    p = F.regexp_replace(F.regexp_replace(pattern, r"^\./", ""), r"/+$", "")
-    safe = F.regexp_replace(p, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    deep = F.regexp_replace(F.regexp_replace(safe, r"\*\*/", "\u0001"), r"\*\*", "\u0002")
-    one_segment = F.regexp_replace(deep, r"\*", "[^/]*")
-    body = F.regexp_replace(F.regexp_replace(one_segment, "\u0001", "(?:.*/)?"), "\u0002", ".*")
-    return F.concat(F.lit(r"\A(?:"), body, F.lit(r")(?:/.*)?\z"))
+    """A files pattern as a regular expression on paths: a plain one is a file or a folder; `*` crosses folders, `?` is itself."""
+    p = F.regexp_replace(F.regexp_replace(pattern, r"\A(?:\./)+", ""), r"/+\z", "")
+    quoted = lambda t: F.regexp_replace(t, r"([.+*?^${}()|\[\]\\])", r"\\$1")
+    loose = lambda t: F.replace(quoted(t), F.lit(r"\*"), F.lit(".*"))
+    rest, folder = F.substring(p, F.lit(4), F.length(p)), F.substring(p, F.lit(1), F.length(p) - 3)
+    body = (
+        F.when(~p.rlike(r"[*?]"), F.concat(quoted(p), F.lit("(?:/.*)?")))
+        .when(F.startswith(p, F.lit("**/")), F.concat(F.lit(".*"), quoted(rest), F.lit("|"), loose(rest)))
+        .when(F.endswith(p, F.lit("/**")), F.concat(quoted(folder), F.lit("(?:/.*)?")))
+        .otherwise(loose(p))
+    )
+    return F.concat(F.lit(r"(?s)\A(?:"), body, F.lit(r")\z"))
 
 
 def unlisted_files(entries: DataFrame, manifests: DataFrame, most: int = 10) -> DataFrame:
     """NPM021: shipped files that the manifest's files list doesn't cover."""
-    path = lambda key: F.regexp_replace(F.get_json_object("raw", f"$.{key}"), r"^\./", "")
-    listed = F.from_json(F.get_json_object("raw", "$.files"), "array<string>")
-    bins = F.transform(F.map_values("bin"), lambda p: F.regexp_replace(p, r"^\./", ""))
-    named = F.transform(F.array_compact(F.concat(F.array(path("main"), path("module"), path("types")), F.coalesce(bins, F.array().cast("array<string>")))), F.lower)
-    allow = manifests.where("ecosystem = 'npm'").select(*PACKAGE, listed.alias("listed"), named.alias("named")).where("listed IS NOT NULL")
+    bare = lambda p: F.regexp_replace(p, r"\A(?:\./)+", "")
+    bins = F.transform(F.map_values("bin"), bare)
+    named = F.array_compact(F.concat(F.array(*[bare(_string_of(k)) for k in ("main", "module", "types")]), F.coalesce(bins, strings([]))))
+    allow = manifests.where("ecosystem = 'npm'").select(*PACKAGE, _strings_of("files").alias("listed"), F.transform(named, F.lower).alias("named")).where("listed IS NOT NULL")
     allow = allow.withColumn("patterns", F.transform("listed", _glob))
     rows = entries.join(allow, PACKAGE).where(~F.lower("path").isin(*fixed.IMPLICIT_FILES))
     covered = F.array_contains("named", F.lower("path")) | F.exists("patterns", lambda p: F.regexp_like(F.col("path"), p))
@@ -209,36 +279,46 @@ def unlisted_files(entries: DataFrame, manifests: DataFrame, most: int = 10) ->
     return _rows(rows, finding("NPM021", "high", "other", F.lit("package.json"), excerpt, "ships files that its list leaves out", True))
 
 
-def hidden_unicode(scanned: DataFrame) -> DataFrame:
-    """NPM022: bidirectional controls; zero-width characters; identifiers that mix alphabets (JavaScript only, outside strings)."""
-    entry = scanned.where("unit = 'entry'")
-    bidi, zero = "[‪-‮⁦-⁩]", "[​-‍⁠﻿]"
-    blank = F.regexp_replace("text", r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`""", " ")
-    word = r"[\p{L}\p{N}_$]*(?:[A-Za-z][\p{L}\p{N}_$]*[\p{L}\p{N}&&[^\x00-\x7F]]|[\p{L}\p{N}&&[^\x00-\x7F]][\p{L}\p{N}_$]*[A-Za-z])[\p{L}\p{N}_$]*"
+def _unicode() -> Column:
+    """NPM022. Strings are what lies between equal quotes not preceded by a backslash; one that isn't closed runs to the end."""
+    bidi, zero = "[\u202a-\u202e\u2066-\u2069]", "[\u200b-\u200d\u2060\ufeff]"
+    blank = F.regexp_replace("text", "|".join(rf"{q}(?:[^{q}]++|(?<=\\){q})*+(?:{q}|\z)" for q in "\"'`"), " ")
+    letter, other = r"[\p{IsAlphabetic}\p{N}_$]", r"[[\p{IsAlphabetic}\p{N}]&&[^\x00-\x7F]]"
+    word = rf"(?<!{letter})(?={letter}*[A-Za-z])(?={letter}*{other}){letter}+"
 
-    def at(pattern: str) -> Column:
+    def at(what: str, pattern: str) -> Column:
         hit = F.regexp_substr("text", F.lit(pattern))
         before = F.octet_length(F.substring(F.col("text"), F.lit(1), F.regexp_instr("text", F.lit(pattern)) - 1))
         code = F.lpad(F.hex(F.encode(hit, "UTF-16BE")), 4, "0")
-        return F.when(hit.isNotNull(), F.concat(F.lit("U+"), code, F.lit(" at offset "), before.cast("string")))
+        return F.when(odd & F.col("text").rlike(pattern), F.concat(F.lit(f"{what} U+"), code, F.lit(" at offset "), before.cast("string")))
 
-    mixed_ = F.when(F.col("kind") == "js_source", F.regexp_substr(blank, F.lit(word)))
+    odd = (F.col("unit") == "entry") & (F.octet_length("text") != F.length("text"))
+    mixed = F.when(odd & (F.col("kind") == "js_source"), F.regexp_substr(blank, F.lit(word)))
     make = lambda severity, excerpt, defers, message: finding("NPM022", severity, "obfuscation", F.col("location"), excerpt, message, defers, ("trojan_source",))
-    all_ = F.array(make("critical", at(bidi), False, "bidirectional control"), make("high", at(zero), True, "zero-width character"), make("high", mixed_, True, "identifier of mixed alphabets"))
-    return entry.select(*PACKAGE, F.explode(F.filter(all_, lambda f: f["excerpt"].isNotNull())).alias("f")).select(*PACKAGE, "f.*")
+    return _present([make("critical", at("bidi override", bidi), False, "bidirectional control"), make("high", at("zero-width", zero), True, "zero-width character"), make("high", mixed, True, "identifier of mixed alphabets")])
 
 
-def time_bombs(scanned: DataFrame, as_of: Column) -> DataFrame:
-    """NPM028: comparisons of the clock with a future time, and date literals of future years; every match counts."""
+def hidden_unicode(scanned: DataFrame) -> DataFrame:
+    """NPM022: bidirectional controls; zero-width characters; identifiers that mix alphabets (JavaScript only, outside strings)."""
+    return _exploded(scanned, [_unicode()]).select(*FINDING)
+
+
+def _bombs(as_of: Column) -> Column:
     where = (F.col("ecosystem") == "npm") & ((F.col("unit") == "hook") | F.col("kind").isin("js_source", "text"))
     clock, date = alternatives("date_now"), alternatives("date_literal")
-    rows = scanned.where(where)
-    times = rows.select(*PACKAGE, "location", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(clock), F.lit(0)).alias("hit"), F.regexp_extract_all("text", F.lit(clock), F.lit(2)).alias("value"))).alias("x"))
-    times = times.where(F.col("x.value").cast("long") > F.unix_millis(as_of))
-    dates = rows.select(*PACKAGE, "location", F.explode(F.regexp_extract_all("text", F.lit(date), F.lit(1))).alias("hit"))
-    dates = dates.where(F.substring("hit", 1, 4).cast("int") > F.year(as_of))
     make = lambda severity, hit, message: finding("NPM028", severity, "other", F.col("location"), hit, message, True, ("time_bomb",))
-    return _rows(times, make("high", F.col("x.hit"), "waits for a time to come")).unionByName(_rows(dates, make("medium", F.col("hit"), "names a year to come")))
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(clock), F.lit(0)).alias("hit"), F.regexp_extract_all("text", F.lit(clock), F.lit(2)).alias("value"))
+    times = F.filter(pairs, lambda x: x["value"].cast("long") > F.unix_millis(as_of))
+    times = F.transform(times, lambda x: make("high", x["hit"], "waits for a time to come"))
+    dates = F.filter(F.regexp_extract_all("text", F.lit(date), F.lit(1)), lambda x: F.substring(x, 1, 4).cast("int") > F.year(as_of))
+    dates = F.transform(dates, lambda x: make("medium", x, "names a year to come"))
+    none = F.filter(F.array(make("high", F.lit("x"), "")), lambda x: F.lit(False))
+    return F.concat(F.when(where & F.contains("text", F.lit("Date")), times).otherwise(none), F.when(where & F.col("text").rlike("['\"](?:19|20)"), dates).otherwise(none))
+
+
+def time_bombs(scanned: DataFrame, as_of: Column) -> DataFrame:
+    """NPM028: comparisons of the clock with a future time, and date literals of future years; every match counts."""
+    return _exploded(scanned, [_bombs(as_of)]).select(*FINDING)
 
 
 def setuid_files(entries: DataFrame) -> DataFrame:
@@ -249,21 +329,30 @@ def setuid_files(entries: DataFrame) -> DataFrame:
 
 
 def minified_only(entries: DataFrame) -> DataFrame:
-    """NPM050: minified files in distribution folders with neither a source map nor a readable source of the same stem."""
-    m = fixed.MINIFIED
-    js = entries.where("ecosystem = 'npm' AND kind = 'js_source' AND text IS NOT NULL")
-    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)
-    sizes = F.transform(lines, lambda x: F.octet_length(x))
-    long_ = (F.array_max(sizes) >= m["longest_line"]) & (F.expr("aggregate(sizes, 0L, (a, x) -> a + x) div size(sizes)") >= m["mean_line"])
-    dense = F.regexp_count("text", F.lit(r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}")) * 1024 >= m["escapes_per_kib"] * F.octet_length("text")
-    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"(?i)(?:\.min)?\.[cm]?[jt]sx?\z", "")
-    js = js.withColumns({"sizes": sizes, "stem": stem}).withColumn("minified", (long_ | dense) & (F.octet_length("text") > 0))
-    dist = F.lower("path").rlike(r"(?:\A|/)(?:dist|build|lib|out|bundle|umd|cjs|esm)/|\.min\.[cm]?js\z|\.bundle\.js\z")
-    rows = js.where(F.col("minified") & dist)
-    maps = entries.select(*PACKAGE, F.regexp_replace("path", r"\.map\z", "").alias("path")).where(entries["path"].endswith(".map"))
-    readable = js.where(~F.col("minified")).select(*PACKAGE, "stem")
-    rows = rows.join(maps, [*PACKAGE, "path"], "left_anti").join(readable, [*PACKAGE, "stem"], "left_anti")
-    return _rows(rows, finding("NPM050", "medium", "source_divergence", F.col("path"), F.lit(None).cast("string"), "minified without a source", True, ("minified_no_source",)))
+    """NPM050: minified files in distribution folders with neither a source map nor a readable source of the same stem.
+
+    One pass over the texts leaves a narrow row for each file that matters; a package's rows meet once.
+    """
+    m, path, low = fixed.MINIFIED, F.col("path"), F.lower("path")
+    script = (F.col("kind") == "js_source") & F.col("text").isNotNull()
+    rows = entries.where((F.col("ecosystem") == "npm") & (script | F.endswith(path, F.lit(".map"))))
+    sizes = F.transform(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1), lambda x: F.octet_length(F.regexp_replace(x, r"\r\z", "")))
+    total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x)
+    long_ = given(sizes, lambda s: (F.array_max(s) >= m["longest_line"]) & (F.floor(total(s) / F.size(s)) >= m["mean_line"]))
+    dense = F.regexp_count("text", F.lit(r"\\[xu]")) * 1024 >= m["escapes_per_kib"] * F.octet_length("text")
+    minified = script & (F.octet_length("text") > 0) & (long_ | dense)
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?\z", 1)
+    dist = low.rlike(r"\A(?:dist|build|out|lib)/|/(?:dist|build)/|/bundle|\.min\.js|\.bundle\.js")
+    source = F.endswith(path, F.lit(".ts")) | (F.endswith(path, F.lit(".js")) & ~low.rlike(r"\.min\.js|\.bundle\.js"))
+    rows = rows.select(*PACKAGE, "path", stem.alias("stem"), script.alias("script"), dist.alias("dist"), source.alias("source"), F.coalesce(minified, F.lit(False)).alias("minified"))
+    bare = F.when(F.endswith(path, F.lit(".map")), F.regexp_replace("path", r"\.map\z", ""))
+    met = rows.groupBy(*PACKAGE).agg(
+        F.collect_list(F.when(F.col("minified") & F.col("dist"), F.struct("path", "stem"))).alias("suspects"),
+        F.collect_set(bare).alias("maps"),
+        F.collect_set(F.when(F.col("script") & F.col("source") & ~F.col("minified"), F.col("stem"))).alias("readable"),
+    )
+    left = met.select(*PACKAGE, F.explode(F.filter("suspects", lambda x: ~F.array_contains("maps", x["path"]) & ~F.array_contains("readable", x["stem"]))).alias("x"))
+    return _rows(left, finding("NPM050", "medium", "source_divergence", F.col("x.path"), F.lit(None).cast("string"), "minified without a source", True, ("minified_no_source",)))
 
 
 def macro_crates(manifests: DataFrame) -> DataFrame:
@@ -287,11 +376,10 @@ def tool_libraries(entries: DataFrame) -> DataFrame:
 
 def evaluate(entries: DataFrame, lifecycle: DataFrame, manifests: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
     """Findings of all rules."""
-    scanned = units(entries, lifecycle)
     parts = [
-        text_findings(scanned, macro_crates(manifests)), presence_findings(lifecycle), blob_near_execution(scanned), native_binaries(entries, manifests),
-        bundled_dependencies(manifests), lookalikes(registry, as_of), recency(registry, as_of), unlisted_files(entries, manifests), hidden_unicode(scanned),
-        time_bombs(scanned, as_of), setuid_files(entries), minified_only(entries), macro_findings(manifests), tool_libraries(entries),
+        unit_findings(units(entries, lifecycle), macro_crates(manifests), as_of), native_binaries(entries, manifests), bundled_dependencies(manifests),
+        lookalikes(registry, as_of), recency(registry, as_of), unlisted_files(entries, manifests), setuid_files(entries), minified_only(entries),
+        macro_findings(manifests), tool_libraries(entries),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -299,6 +387,7 @@ def evaluate(entries: DataFrame, lifecycle: DataFrame, manifests: DataFrame, reg
     return out
 
 
-def latest_first(df: DataFrame, *order: Column) -> DataFrame:
-    """df with its place among the versions of its package, newest first."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("ecosystem", "name").orderBy(*order)))
+def in_report_order(findings: DataFrame) -> DataFrame:
+    """findings with ordinal: the place of their rule in a report."""
+    order = F.array_position(strings(fixed.RULE_ORDER), F.col("rule_id"))
+    return findings.withColumn("ordinal", F.when(order > 0, order).otherwise(len(fixed.RULE_ORDER) + 1).cast("int"))

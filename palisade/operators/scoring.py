@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import fixed
+from palisade.functions.spans import given
 from palisade.operators.rules import PACKAGE, strings
 
 MIN_CONFIDENCE = 0.5
@@ -28,8 +29,19 @@ def rank(severity: Column) -> Column:
 
 def in_order(capabilities: Column) -> Column:
     """A set of capabilities in the order in which they are listed; unknown ones last, by name."""
-    known = F.filter(strings(fixed.CAPABILITIES), lambda c: F.array_contains(capabilities, c))
-    return F.concat(known, F.array_sort(F.array_except(F.array_distinct(capabilities), strings(fixed.CAPABILITIES))))
+    listed = strings(fixed.CAPABILITIES)
+    rest = lambda own: F.array_sort(F.array_except(F.array_distinct(own), listed))
+    return given(capabilities, lambda own: F.concat(F.filter(listed, lambda c: F.array_contains(own, c)), rest(own)))
+
+
+def mask(capabilities: Column) -> Column:
+    """The set as bits, in the order of the list; the capabilities of rules are all listed."""
+    bits = [F.when(F.array_contains(capabilities, c), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(fixed.CAPABILITIES)]
+    return sum(bits[1:], bits[0]).cast("long")
+
+
+def unmasked(bits: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(fixed.CAPABILITIES)]))
 
 
 def stage1_verdict(score: Column, decisive_critical: Column, decisive_any: Column) -> Column:
@@ -39,7 +51,7 @@ def stage1_verdict(score: Column, decisive_critical: Column, decisive_any: Colum
 def stage1(findings: DataFrame, packages: DataFrame) -> DataFrame:
     """(package, score, verdict, capabilities, deferring): one row for each package, with or without findings.
 
-    Findings are read once and summed before they meet the packages; their capabilities are unions of at most 29 labels.
+    Findings are read once and summed before they meet the packages; sets of capabilities are bits meanwhile.
     """
     w, decides = weight(F.col("severity")), ~F.col("defers")
     sums = findings.groupBy(*PACKAGE).agg(
@@ -47,7 +59,7 @@ def stage1(findings: DataFrame, packages: DataFrame) -> DataFrame:
         F.bool_or(decides & (F.col("severity") == "critical")).alias("critical"),
         F.bool_or(decides & (w > 0)).alias("decisive"),
         F.bool_or("defers").alias("deferring"),
-        F.flatten(F.collect_set("capabilities")).alias("capabilities"),
+        F.bit_or(mask(F.col("capabilities"))).alias("bits"),
     )
     out = packages.select(*PACKAGE).distinct().join(sums, PACKAGE, "left")
     score, false = F.coalesce("score", F.lit(0).cast("long")), F.lit(False)
@@ -55,7 +67,7 @@ def stage1(findings: DataFrame, packages: DataFrame) -> DataFrame:
         *PACKAGE,
         score.alias("score"),
         stage1_verdict(score, F.coalesce("critical", false), F.coalesce("decisive", false)).alias("verdict"),
-        in_order(F.coalesce("capabilities", F.array().cast("array<string>"))).alias("capabilities"),
+        unmasked(F.coalesce("bits", F.lit(0).cast("long"))).alias("capabilities"),
         F.coalesce("deferring", false).alias("deferring"),
     )
 

@@ -191,7 +191,7 @@ def lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOP = ", ".join(map(_quoted, fixed.TOP_PACKAGES))
 LOOKALIKES_SQL = f"""WITH r AS ({REGISTRY_SQL}), t AS (SELECT unnest([{_TOP}]) AS top, generate_subscripts([{_TOP}], 1) AS ordinal),
- m AS (SELECT r.ecosystem, r.name, r.version, arg_min(top, levenshtein(lower(name), top) * 100000 + ordinal) AS top FROM r, t
+ m AS (SELECT r.ecosystem, r.name, r.version, arg_min(lower(name) || ' ~= ' || top || ' (distance ' || CAST(levenshtein(lower(name), top) AS VARCHAR) || ')', levenshtein(lower(name), top) * 100000 + ordinal) AS top FROM r, t
    WHERE ecosystem = 'npm' AND package_days < 90 AND lower(name) NOT IN ({_TOP}) AND levenshtein(lower(name), top) BETWEEN 1 AND 2 GROUP BY ALL)
 SELECT {_found_sql("NPM014", "high", "typosquat", "'package.json'", "top", True)} FROM m"""
 
@@ -352,13 +352,14 @@ def verdict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.side_by_side(*order_sides(spark, sf_dir), ["before_key"])
 
 
-DIFF_SQL = """WITH l AS (SELECT l_orderkey, 'R' || CAST(l_linenumber AS VARCHAR) AS rule_id, max(l_suppkey % 5) AS s FROM lineitem GROUP BY ALL),
+_NAMED = "['info', 'low', 'medium', 'high', 'critical'][CAST({} AS INT) + 1]"
+DIFF_SQL = f"""WITH l AS (SELECT l_orderkey, 'R' || CAST(l_linenumber AS VARCHAR) AS rule_id, max(l_suppkey % 5) AS s FROM lineitem GROUP BY ALL),
  p AS (SELECT o_orderkey AS before_key, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after_key FROM orders),
- a AS (SELECT before_key, rule_id, s FROM p JOIN l ON l_orderkey = before_key WHERE after_key IS NOT NULL), b AS (SELECT before_key, rule_id, s FROM p JOIN l ON l_orderkey = after_key),
- n AS (SELECT ['info', 'low', 'medium', 'high', 'critical'] AS names)
-SELECT coalesce(a.before_key, b.before_key) AS before_key, coalesce(a.rule_id, b.rule_id) AS rule_id, names[a.s + 1] AS before, names[b.s + 1] AS after,
-  CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'severity_changed' ELSE 'same' END AS change
-FROM (SELECT * FROM a, n) a FULL OUTER JOIN (SELECT * FROM b) b ON a.before_key = b.before_key AND a.rule_id = b.rule_id, n""".replace("(SELECT * FROM a, n) a", "a")
+ a AS (SELECT before_key, rule_id, s, 1 AS side FROM p JOIN l ON l_orderkey = before_key WHERE after_key IS NOT NULL),
+ b AS (SELECT before_key, rule_id, s, 2 AS side FROM p JOIN l ON l_orderkey = after_key),
+ u AS (SELECT before_key, rule_id, max(s) FILTER (side = 1) AS x, max(s) FILTER (side = 2) AS y FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT before_key, rule_id, {_NAMED.format("x")} AS before, {_NAMED.format("y")} AS after,
+  CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN x <> y THEN 'severity_changed' ELSE 'same' END AS change FROM u"""
 
 
 # --- second stage, catalog, feed ----------------------------------------------------------------------------------
@@ -390,7 +391,7 @@ def gated_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluated(spark, sf_dir).withColumn("ordinal", F.col("rule_id"))
+    found = rules.in_report_order(evaluated(spark, sf_dir))
     s1 = scoring.stage1(found, packages(spark, sf_dir))
     out = stage2.user_message(stage2.contexts(s1, found, planted.lifecycle(spark, sf_dir)))
     return out.select("ecosystem", "name", "version", "approx_chars", "message")
@@ -416,13 +417,13 @@ SELECT *, hour_tokens <= 600 AND day_tokens <= 12000 AS admitted FROM s"""
 
 
 def feed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as change lines, back through their JSON form: the last live change of each user."""
+    """Events as change lines, back through their JSON form: the last live change of each user, from the feed's beginning."""
     row = F.struct(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("id"), (F.col("event_type") == "error").alias("deleted"))
     lines = table(spark, sf_dir, "events").select(F.to_json(row).alias("value"))
-    return feed.pending(feed.changes(lines), since=100)
+    return feed.pending(feed.changes(lines))
 
 
-PENDING_SQL = "SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS seq FROM events WHERE event_type <> 'error' AND event_id > 100 GROUP BY user_id"
+PENDING_SQL = "SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS seq FROM events WHERE event_type <> 'error' GROUP BY user_id"
 
 
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,14 +448,15 @@ UPSERTED_SQL = "SELECT user_id AS name, event_type AS version, arg_max(event_id,
 
 
 def to_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of whom no supplier has the key, as packages without a verdict."""
     wanted = table(spark, sf_dir, "customer").select(F.lit("npm").alias("ecosystem"), F.col("c_custkey").alias("name"), F.lit("1").alias("version"))
-    done = table(spark, sf_dir, "orders").select(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name"), F.lit("1").alias("version"))
+    done = table(spark, sf_dir, "supplier").select(F.lit("npm").alias("ecosystem"), F.col("s_suppkey").alias("name"), F.lit("1").alias("version"))
     return catalog.missing(wanted, done).select("name")
 
 
 def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "orders").select(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name"), F.lit("1").alias("version"), "o_orderkey")
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("npm").alias("ecosystem"), F.col("c_custkey").alias("name"), F.lit("1").alias("version"), F.col("c_mktsegment").alias("status"))
+    known = table(spark, sf_dir, "supplier").select(F.lit("npm").alias("ecosystem"), F.col("s_suppkey").alias("name"), F.lit("1").alias("version"), F.col("s_nationkey").alias("status"))
     return catalog.lookup(known, wanted).select("o_orderkey", "name", "status")
 
 
@@ -497,8 +499,8 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "feed_pending": (feed_pending, PENDING_SQL),
     "catalog_paths": (integrity, INTEGRITY_SQL),
     "catalog_upsert": (upserted, UPSERTED_SQL),
-    "catalog_missing": (to_analyze, "SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "catalog_lookup": (lookups, "SELECT o_orderkey, o_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS status FROM orders LEFT JOIN customer ON c_custkey = o_custkey"),
+    "catalog_missing": (to_analyze, "SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"),
+    "catalog_lookup": (lookups, "SELECT o_orderkey, o_custkey AS name, s_nationkey AS status FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey"),
     "backfill_specs": (backfill, BACKFILL_SQL),
 }
 QUERIES |= {name: query for name, (query, _) in _MORE.items()}

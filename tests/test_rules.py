@@ -76,7 +76,7 @@ def test_setuid_and_ages(spark):
 def test_lookalikes(spark):
     reg = spark.createDataFrame([("npm", n, "1", None) for n in ("loadash", "lodash", "reakt", "zzzzzzzz")], "ecosystem string, name string, version string, package_created_at timestamp")
     found = rules.lookalikes(reg, F.lit("2024-02-01").cast("timestamp")).collect()
-    assert {(r["name"], r["excerpt"]) for r in found} == {("loadash", "lodash"), ("reakt", "react")}
+    assert {(r["name"], r["excerpt"]) for r in found} == {("loadash", "loadash ~= lodash (distance 1)"), ("reakt", "reakt ~= react (distance 1)")}
 
 
 def test_files_list(spark):
