@@ -43,55 +43,55 @@ def _hooks(lifecycle: DataFrame) -> DataFrame:
     return lifecycle.select(*PACKAGE, F.lit("hook").alias("unit"), "kind", place.alias("location"), F.col("body").alias("text"), F.lit(0).cast("long").alias("ordinal"))
 
 
-def _in_scope(code: str) -> Column:
-    entry, kind = F.col("unit") == "entry", F.col("kind")
-    return {
-        "S": entry,
-        "J": entry & kind.isin("js_source", "text"),
-        "R": entry & (kind == "rust_source") & F.col("macro_crate"),
-        "D": entry & F.lower("location").isin(*fixed.ROOT_DOCUMENTS),
-        "L": F.col("unit") == "hook",
-        "LI": (F.col("unit") == "hook") & (kind == "install_time"),
-        "LP": (F.col("unit") == "hook") & (kind == "publish_time"),
-    }[code]
-
-
-def _where(scope: Scope) -> Column:
-    out = _in_scope(scope.units[0])
-    for code in scope.units[1:]:
-        out = out | _in_scope(code)
-    return out
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def first_match(pattern: str, group: int = 0) -> Column:
-    """The first match (or its group), null without one; `.` stops at line feeds only."""
-    if not group:
-        return F.regexp_substr("text", F.lit(f"(?d){pattern}"))
-    return F.when(F.col("text").rlike(f"(?d){pattern}"), F.regexp_extract("text", f"(?d){pattern}", group))
+def _listed(values) -> str:
+    return ", ".join(map(quoted, values))
 
 
-def _hinted(rule: TextRule) -> Column:
-    """Whether a literal that every match holds is there: looked for first, as that is much cheaper than the pattern."""
-    text = F.col("low") if rule.pattern.startswith("(?i)") else F.col("text")
-    out = F.lit(not rule.hints)
-    for hint in rule.hints:
-        out = out | F.contains(text, F.lit(hint))
-    return out
+_SCOPES = {
+    "S": "unit = 'entry'",
+    "J": "unit = 'entry' AND kind IN ('js_source', 'text')",
+    "R": "unit = 'entry' AND kind = 'rust_source' AND macro_crate",
+    "D": f"unit = 'entry' AND lower(location) IN ({_listed(fixed.ROOT_DOCUMENTS)})",
+    "L": "unit = 'hook'",
+    "LI": "unit = 'hook' AND kind = 'install_time'",
+    "LP": "unit = 'hook' AND kind = 'publish_time'",
+}
+
+
+def _where(rule: TextRule, scope: Scope) -> str:
+    return f"ecosystem IN ({_listed(rule.ecosystems)}) AND (" + " OR ".join(f"({_SCOPES[u]})" for u in scope.units) + ")"
+
 
+def first_match(pattern: str, group: int = 0) -> str:
+    """SQL of the first match (or its group), null without one; `.` stops at line feeds only."""
+    p = quoted(f"(?d){pattern}")
+    return f"CASE WHEN text RLIKE {p} THEN regexp_extract(text, {p}, {group}) END"
 
-def _excerpt(rule: TextRule) -> Column:
+
+def hinted(rule: TextRule) -> str:
+    """SQL of whether a literal that every match holds is there: looked for first, as that is much cheaper than the pattern."""
+    text = "low" if rule.pattern.startswith("(?i)") else "text"
+    return " OR ".join(f"contains({text}, {quoted(h)})" for h in rule.hints) or "true"
+
+
+def _excerpt(rule: TextRule) -> str:
     hit = first_match(rule.pattern, rule.group)
     if rule.also:
-        hit = F.when(F.col("text").rlike(f"(?d){rule.also}"), F.concat(hit, F.lit(" … "), first_match(rule.also)))
-    hit = F.when(_hinted(rule), hit) if rule.hints else hit
-    if rule.instead:
-        other = first_match(rule.instead)
-        hit = F.coalesce(hit, F.when(F.col("unit") == "entry", other))
-    if rule.suppress:
-        gated = (F.col("unit") == "entry") & (F.lit(True) if rule.suppress == "all" else F.col("kind") == "js_source")
-        at = F.regexp_instr("text", F.lit(f"(?d){rule.pattern}")) - 1
-        hit = F.when(hit.isNotNull() & F.when(gated & hit.isNotNull(), ~inside_token(F.col("text"), at)).otherwise(True), hit)
-    return hit
+        hit = f"CASE WHEN text RLIKE {quoted(f'(?d){rule.also}')} THEN concat({hit}, ' … ', {first_match(rule.also)}) END"
+    hit = f"CASE WHEN {hinted(rule)} THEN {hit} END"
+    return f"coalesce({hit}, CASE WHEN unit = 'entry' THEN {first_match(rule.instead)} END)" if rule.instead else hit
+
+
+def _in_code(rule: TextRule, hit: Column) -> Column:
+    """The hit, null if it lies in a comment, string or template where such hits don't count."""
+    gated = (F.col("unit") == "entry") & (F.lit(True) if rule.suppress == "all" else F.col("kind") == "js_source")
+    at = F.regexp_instr("text", F.lit(f"(?d){rule.pattern}")) - 1
+    return given(hit, lambda h: F.when(h.isNotNull(), F.when(~gated, h).when(~inside_token(F.col("text"), at), h)))
 
 
 def _present(found: list[Column]) -> Column:
@@ -100,11 +100,19 @@ def _present(found: list[Column]) -> Column:
 
 
 def _text_findings(rules: list[TextRule]) -> Column:
+    """As SQL text, since there are many."""
     found = []
     for rule in rules:
         for scope in rule.scopes:
-            excerpt = F.when(F.col("ecosystem").isin(*rule.ecosystems) & _where(scope), _excerpt(rule))
-            found.append(finding(rule.id, scope.severity, rule.category, F.col("location"), excerpt, rule.message, rule.defers, scope.capabilities))
+            excerpt = f"CASE WHEN {_where(rule, scope)} THEN {_excerpt(rule)} END"
+            if rule.suppress:
+                found.append(finding(rule.id, scope.severity, rule.category, F.col("location"), _in_code(rule, F.expr(excerpt)), rule.message, rule.defers, scope.capabilities))
+                continue
+            caps = _listed(sorted(scope.capabilities, key=fixed.CAPABILITIES.index))
+            found.append(F.expr(
+                f"named_struct('rule_id', {quoted(rule.id)}, 'severity', {quoted(scope.severity)}, 'category', {quoted(rule.category)}, 'location', location, 'excerpt', {excerpt}, "
+                f"'message', {quoted(rule.message)}, 'defers', {str(rule.defers).lower()}, 'capabilities', CAST(array({caps}) AS array<string>))"
+            ))
     return _present(found)
 
 

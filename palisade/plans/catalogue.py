@@ -456,7 +456,7 @@ def to_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "orders").select(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name"), F.lit("1").alias("version"), "o_orderkey")
-    known = table(spark, sf_dir, "supplier").select(F.lit("npm").alias("ecosystem"), F.col("s_suppkey").alias("name"), F.lit("1").alias("version"), F.col("s_nationkey").alias("status"))
+    known = table(spark, sf_dir, "supplier").select(F.lit("npm").alias("ecosystem"), F.col("s_suppkey").alias("name"), F.lit("1").alias("version"), F.col("s_nationkey").cast("string").alias("status"))
     return catalog.lookup(known, wanted).select("o_orderkey", "name", "status")
 
 
@@ -500,7 +500,7 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "catalog_paths": (integrity, INTEGRITY_SQL),
     "catalog_upsert": (upserted, UPSERTED_SQL),
     "catalog_missing": (to_analyze, "SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"),
-    "catalog_lookup": (lookups, "SELECT o_orderkey, o_custkey AS name, s_nationkey AS status FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey"),
+    "catalog_lookup": (lookups, "SELECT o_orderkey, o_custkey AS name, CAST(s_nationkey AS VARCHAR) AS status FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey"),
     "backfill_specs": (backfill, BACKFILL_SQL),
 }
 QUERIES |= {name: query for name, (query, _) in _MORE.items()}

@@ -57,10 +57,10 @@ HOOKS = [(i, p) for i, p in enumerate(PLANTS) if p.where == "h"]
 
 
 def _pick(slot, plants, value, default):
-    out = F.lit(default)
-    for i, p in reversed(plants):
-        out = F.when(slot == i, F.lit(value(p))).otherwise(out)
-    return out
+    values = [default] * MODULUS
+    for i, p in plants:
+        values[i] = value(p)
+    return F.coalesce(F.get(F.lit(values), slot.cast("int")), F.lit(default))
 
 
 def _pick_sql(slot: str, plants, value, default: str) -> str:
