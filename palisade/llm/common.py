@@ -27,22 +27,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests on one machine)."""
+    """The folder all executors share. Only on one machine may a session name none: a temporary one is then made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="palisade-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Folders that this process has written and not yet removed.
+_made: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palisade-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """Folders of tables that are there now, oldest first."""
+    return list(_made)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(folder)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df doesn't have (Spark compares them without regard to case)."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import SPACES, fresh, masked, text_or_empty, unmasked, words
+from palisade.llm.common import SPACES, fresh, masked, text_or_empty, unmasked, words, written
 
 #: Words of the windows whose repetition is counted.
 WINDOW = 8
@@ -139,6 +139,7 @@ def judged(voted: DataFrame, model: DataFrame | None = None) -> DataFrame:
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df that are kept, with df's columns."""
+    """The rows of df that are kept, with df's columns. Rows are written once with their votes, so that measures are taken once."""
     inner, of = masked(df)
-    return unmasked(judged(add_votes(inner, of[text])).where("kept"), of)
+    voted = add_votes(inner, of[text]).select(*inner.columns, "votes", "base_failed")
+    return unmasked(judged(written(voted, "voted")).where("kept"), of)

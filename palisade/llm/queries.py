@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import byte_bpe, cover_search, jaccard_join, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
-from palisade.llm.common import table, written
+from palisade.llm.common import shared_dir, table, written
 
 #: Parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -83,8 +83,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(voted).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def ledger(spark: SparkSession) -> str:
+    """Folder of the secret scans' ledger, which all scans of a cluster share."""
+    return f"{shared_dir(spark)}/palisade-secret-ledger"
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = secrets_ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = secrets_ledger.scan_with(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger(spark))
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["ord"] < 3)
     return docs.select(

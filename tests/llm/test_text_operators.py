@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import re
+import time
 
 import public_tokenizers as P
 import pytest
@@ -186,10 +188,61 @@ def test_secret_spans_and_ledger(spark):
     again, new = secrets_ledger.scan(more, ledger=ledger)
     assert [r["blob"] for r in new.collect()] == [hashlib.sha256(b"token=zzzzzzzzzzzzzz").hexdigest()]
     assert {r["doc_id"]: len(r["spans"]) for r in again.collect()} == {100: 1, 101: 1, 102: 0}
-    assert secrets_ledger.scan(more, ledger=ledger, version="2")[1].count() == 3  # other rules: all anew
+    assert secrets_ledger.scan(more, ledger=ledger, version="another")[1].count() == 3  # other rules: all anew
     assert secrets_ledger.scan(docs(spark, []))[0].collect() == []
 
 
+def test_ledger_table(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    table = docs(spark, list(enumerate(SECRETS)))
+    first = secrets_ledger.scan_with(table, folder).select("doc_id", secrets_ledger.joined(F.col("spans")).alias("s")).collect()
+    n = len({t or "" for t in SECRETS})
+    assert secrets_ledger.read_ledger(spark, folder).count() == n
+    more = table.unionByName(docs(spark, [(100, "token=zzzzzzzzzzzzzz")]))
+    again = secrets_ledger.scan_with(more, folder).select("doc_id", secrets_ledger.joined(F.col("spans")).alias("s")).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in first} | {(100, "assign:0:20")} and secrets_ledger.read_ledger(spark, folder).count() == n + 1
+    secrets_ledger.scan_with(more, folder, version="other")
+    assert secrets_ledger.read_ledger(spark, folder).count() == 2 * (n + 1)
+    # An entry is what counts: a blob that the ledger holds is not scanned again.
+    spark.createDataFrame([(hashlib.sha256(b"x").hexdigest(), secrets_ledger.RULES_VERSION, [(0, 2, 1, "hex")])], secrets_ledger.LEDGER).write.mode("append").parquet(folder)
+    assert [r["spans"][0]["kind"] for r in secrets_ledger.scan_with(docs(spark, [(1, "x")]), folder).collect()] == ["hex"]
+
+
+def test_long_texts_with_secrets(spark):
+    """No pattern needs stack, and 200,000 hits take steps in proportion."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nabc+/=\n-----END RSA PRIVATE KEY-----"
+    texts = ["-----BEGIN " + "A " * 500_000, "x 0123456789abcdef " * 200_000, "token=" + "a" * 1_000_000, key + " tail", "-----BEGIN PRIVATE KEY-----\n" * 30_000, "-----BEGIN PRIVATE KEY----- then prose! -----END"]
+    table = docs(spark, list(enumerate(texts)))
+    start = time.time()
+    spans = {r["doc_id"]: r["spans"] for r in secrets_ledger.scan(table)[0].collect()}
+    assert spans[0] == [] and len(spans[1]) == 200_000 and tuple(spans[1][-1])[:3] == (3_799_983, 2, 3_799_999) and len(spans[4]) == 30_000
+    assert [tuple(x) for x in spans[3]] == [(0, 3, len(key), "pem")] and [(x["start"], x["end"]) for x in spans[5]] == [(0, 27)]
+    got = {r["doc_id"]: r["text"] for r in secrets_ledger.redact(table).collect()}
+    assert got[0] == texts[0] and got[1] == "x [hex] " * 200_000 and got[2] == "[assign]" and got[3] == "[pem] tail" and got[4] == "[pem]\n" * 30_000
+    assert time.time() - start < 150
+
+
+def naive_redacted(text, spans):
+    out, at = "", 0
+    for s, _, e, kind in spans:
+        if s >= at:
+            out += text[at:s] + f"[{kind}]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_redaction_of_any_spans(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choices("ab😀\n ", k=rng.choice([5, 1023, 1024, 1025, 4000])))
+        cuts = [sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.randint(0, 6))]
+        rows.append((i, text, sorted((a, k % 2, b, "hex") for k, (a, b) in enumerate(cuts))))
+    table = spark.createDataFrame(rows, f"doc_id int, text string, spans {secrets_ledger.SPANS}")
+    got = {r["doc_id"]: r["t"] for r in table.select("doc_id", secrets_ledger.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: naive_redacted(t, s) for i, t, s in rows}
+
+
 def test_redaction(spark):
     table = docs(spark, list(enumerate(SECRETS))).withColumn("n_chars", F.lit(7).cast("long"))
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets_ledger.redact(table, length="n_chars").collect()}
