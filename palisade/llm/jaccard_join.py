@@ -4,16 +4,20 @@ Documents with equal sets are one class. Two classes link when their sets' Jacca
 Small sets (up to a boundary) and their partners enumerate the subsets of exactly the size that a link must share;
 classes with a common subset meet. Large sets are put into inverted lists under the rarest elements of their sets,
 as many as a linked partner must share one of; lists are scanned for members of compatible sizes. The boundary is
-where enumerating gets dearer than scanning, by the sizes that the corpus has.
+where enumerating gets dearer than scanning, by the sizes and the list lengths that the corpus has.
 
 Short lists give their pairs, sifted by sketches that bound how much two sets differ, and a pair joins the pivot of its
-cluster; each longer list names a pivot. All members of a pivot's lists or pairs meet in one group, or, beyond BLOCK
-members, in pairs of blocks. There sets are compared exactly, pairs that are connected already or that a bitmap rules out not at all,
-so a group gives back fewer links than it has members. Components come from those links.
-
-A row without doc_id keeps its size and has no component. Null or empty texts have empty sets, linked with
-nothing. Repeated rows are copies; of equal ids with different texts all links count. An empty table gives an
-empty result. Only the id and text columns are read.
+cluster; each longer list names a pivot. Lists that may be very long (by a bound known before they are made) are never
+sorted whole: their histograms by size give the same pivots. All members of a pivot's lists or pairs meet in one group
+or, beyond BLOCK members, in blocks that share some leaders. There sets are compared exactly; pairs that are connected
+already, or that a bitmap rules out, are not compared at all. Blocks meet each other only where members are still in
+different components afterwards: those outside a pivot's largest component meet all others. Components come from
+those links.
+
+Ids must be integers (text ids that are no numbers fail). A row without doc_id keeps its size and has no component.
+Null or empty texts have empty sets, linked with nothing. Repeated rows are copies; of equal ids with different texts
+all links count. An empty table gives an empty result. Only the id and text columns are read. Words and shingles are
+compared by 64-bit hashes, sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import masked, unmasked, written
+from palisade.llm.common import made, masked, remove, unmasked, written
 from palisade.llm.shingles import mixed, shingle_sets, signature
 from palisade.llm.token_counts import slices
 
@@ -37,10 +42,14 @@ from palisade.llm.token_counts import slices
 BUCKETS, CHUNK = 1 << 20, 1 << 15
 #: Lists up to this length give their pairs, which a sketch of each class then sifts; longer ones a pivot.
 PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
-#: Classes compared in one group, and rows (about 60 bytes each) up to which the table of who goes where is broadcast.
-BLOCK, BROADCAST_ROWS = 384, 1 << 18
-#: Largest set for which subsets may be enumerated, whatever the costs; rows that an element's list is taken to have.
-MOST_SMALL, LIST_ROWS = 24, 3.0
+#: Classes compared in one group; leaders that the blocks of a larger group share (as expected).
+BLOCK, LEADERS = 384, 12
+#: Rows that a list may have, by the counts of its elements, for it to be sorted in one task.
+LISTED = 100_000
+#: Bits of the table that tells whose texts are needed (8 MB, fixed), and salts that spread the rows of one key.
+MARKS, SALTS = 1 << 26, 32
+#: Largest set for which subsets may be enumerated, whatever the costs.
+MOST_SMALL = 24
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -60,12 +69,19 @@ def subset_sizes(n: int, boundary: int, num: int, den: int) -> set[int]:
     return {least_overlap(n, m, num, den) for m in partner_sizes(n, num, den) if min(n, m) <= boundary and m > 0}
 
 
-def best_boundary(sizes: dict[int, int], num: int, den: int) -> int:
-    """The boundary with the least rows enumerated and scanned; sizes: documents by the sizes that come into question."""
+def list_length(counts: np.ndarray, num: int, den: int) -> float:
+    """How long the lists are on average that rare elements, the share 1 - num / den of all, are found in."""
+    held = np.sort(counts[counts > 0]).astype(np.float64)
+    upto = np.searchsorted(np.cumsum(held), held.sum() * (1 - num / den)) + 1
+    return float((held[:upto] ** 2).sum() / held[:upto].sum()) if len(held) else 1.0
+
+
+def best_boundary(sizes: dict[int, int], num: int, den: int, length: float) -> int:
+    """The boundary with the least rows enumerated and scanned; sizes: documents by the sizes that come into question; length: of a list."""
 
     def cost(x: int) -> float:
         small = sum(k * sum(math.comb(n, c) for c in subset_sizes(n, x, num, den)) for n, k in sizes.items())
-        return small + sum(k * prefix_length(n, num, den) * LIST_ROWS for n, k in sizes.items() if n > x)
+        return small + sum(k * prefix_length(n, num, den) * length for n, k in sizes.items() if n > x)
 
     return min(range(MOST_SMALL + 1), key=lambda x: (cost(x), -x))
 
@@ -102,18 +118,21 @@ def frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.n
     return out[:-1].reshape(-1), out[-1]
 
 
-def _keys(s: np.ndarray, table: np.ndarray, boundary: int, num: int, den: int) -> np.ndarray:
-    """The keys under which a set's class is listed: hashes of subsets, and its rarest elements."""
-    n, out = len(s), []
+def _keys(s: np.ndarray, table: np.ndarray, boundary: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set's class is listed (hashes of subsets, and its rarest elements), and bounds of those lists' lengths."""
+    n, out, most = len(s), [], []
+    held = table[(s % np.uint64(BUCKETS)).astype(np.int64)]
     for c in subset_sizes(n, boundary, num, den):
         spread = mixed(s)
-        sums = [spread[list(x)].sum() for x in combinations(range(n), c)]
-        out.append(mixed(np.array(sums, dtype=np.uint64) + np.uint64(2 * c + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        at = np.array(list(combinations(range(n), c)), dtype=np.int64).reshape(-1, c)
+        out.append(mixed(spread[at].sum(axis=1, dtype=np.uint64) + np.uint64(2 * c + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        most.append(held[at].min(axis=1))
     if n > boundary:
-        k = prefix_length(n, num, den)
-        order = np.lexsort((s, table[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:k]
+        order = np.lexsort((s, held))[: prefix_length(n, num, den)]
         out.append(s[order])
-    return np.unique(np.concatenate(out)).view(np.int64)
+        most.append(held[order])
+    keys, first = np.unique(np.concatenate(out), return_index=True)
+    return keys.view(np.int64), np.concatenate(most)[first]
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
@@ -122,59 +141,74 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+INDEX = "id long, n long, class long, more long, part int, keys array<long>, hot array<long>, sketch array<long>"
+
+
 def _index(table, boundary: int, num: int, den: int, size: int):
+    """A row for each document; keys and sketch at the first of a set in its partition only."""
+
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = table.value, set()
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            n_, class_, keys, sketches, at = [], [], [], [], 0
-            for part in slices(batch.column("text")):
-                for s in shingle_sets(part, size):
+            n_, class_, more_, keys, hot, sketches, at = [], [], [], [], [], [], 0
+            for texts in slices(batch.column("text")):
+                for s in shingle_sets(texts, size):
                     c = signature(s)
                     new = len(s) > 0 and c not in seen and batch.column("id")[at].is_valid
                     if len(seen) > 1_000_000:
                         seen.clear()
-                    if new:
-                        seen.add(c)
-                    n_.append(len(s))
-                    class_.append(c)
-                    keys.append(_keys(s, counts, boundary, num, den) if new else None)  # copies in this partition: once
-                    sketches.append(_sketch(s) if new else None)
                     at += 1
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_, pa.int64()), pa.array(class_, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "class", "keys", "sketch"])
+                    n_.append(len(s))
+                    class_.append(c[0])
+                    more_.append(c[1])
+                    if not new:  # copies in this partition: once
+                        keys.append(None), hot.append(None), sketches.append(None)
+                        continue
+                    seen.add(c)
+                    own, most = _keys(s, counts, boundary, num, den)
+                    keys.append(own[most <= LISTED])
+                    hot.append(own[most > LISTED])
+                    sketches.append(_sketch(s))
+            longs, lists = pa.int64(), pa.list_(pa.int64())
+            columns = [batch.column("id"), pa.array(n_, longs), pa.array(class_, longs), pa.array(more_, longs), pa.array([part] * at, pa.int32()), pa.array(keys, lists), pa.array(hot, lists), pa.array(sketches, lists)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "class", "more", "part", "keys", "hot", "sketch"])
 
     return of
 
 
 def _links(num: int, den: int, size: int):
-    """Spanning links among the classes of one group that are similar enough."""
+    """Spanning links among the sets of one group (text, class, more, rep, side, comp) that are similar enough.
+
+    Sets of one component need no link; where there are two sides, pairs within one meet elsewhere.
+    """
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["class", "text"])
-        sets = shingle_sets(frame["text"].tolist(), size)
+        frame = frame.drop_duplicates(["rep", "text"])
         rows = {}  # an id may have other texts than its class's
-        for s, c, r, b in zip(sets, frame["class"], frame["rep"], frame["block"], strict=True):
-            if len(s) and signature(s) == c:
-                rows[c] = (s, r, b)
+        for s, c, more, r, side, comp in zip(shingle_sets(frame["text"].tolist(), size), *(frame[x] for x in ("class", "more", "rep", "side", "comp")), strict=True):
+            if len(s) and signature(s) == (c, more):
+                rows[c, more] = (s, r, side, comp)
         rows = sorted(rows.values(), key=lambda x: (len(x[0]), x[1]))
-        n = np.array([len(s) for s, _, _ in rows], dtype=np.int64)
-        block = np.array([b for _, _, b in rows])
-        across = len(set(block.tolist())) > 1  # two blocks: pairs inside each meet elsewhere, too
+        n = np.array([len(x[0]) for x in rows], dtype=np.int64)
+        side = np.array([x[2] for x in rows])
+        across = len(set(side.tolist())) > 1
         # One bitmap width for all, so that they compare: bits in which two differ are elements in which they differ.
         width = 1 << max(9, min(16, int(n.max() * 4).bit_length() if len(n) else 9))
         maps = np.zeros((len(rows), width // 8), dtype=np.uint8)
-        for i, (s, _, _) in enumerate(rows):
+        for i, (s, *_) in enumerate(rows):
             bits = np.zeros(width, dtype=np.uint8)
             bits[(s >> np.uint64(20)) % np.uint64(width)] = 1
             maps[i] = np.packbits(bits)
         maps = maps.view(np.uint64)
-        root = np.arange(len(rows))  # component of each, always the label of its first member
+        root = np.unique(np.array([x[3] for x in rows], dtype=np.int64), return_inverse=True)[1]  # label of each one's component
         out = []
         for i in range(len(rows) - 1):
             end = int(np.searchsorted(n, den * n[i] // num, side="right"))
             todo = np.arange(i + 1, end)
             todo = todo[root[todo] != root[i]]
             if across:
-                todo = todo[block[todo] != block[i]]
+                todo = todo[side[todo] != side[i]]
             if not len(todo):
                 continue
             differ = np.bitwise_count(maps[todo] ^ maps[i]).sum(axis=1).astype(np.int64)
@@ -187,8 +221,7 @@ def _links(num: int, den: int, size: int):
                 shared = len(np.intersect1d(rows[i][0], rows[j][0], assume_unique=True))
                 if shared * den >= num * (n[i] + n[j] - shared):
                     out.append((rows[i][1], rows[j][1]))
-                    a, b = sorted((root[i], root[j]))
-                    root[root == b] = a
+                    root[root == root[j]] = root[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return of
@@ -196,6 +229,7 @@ def _links(num: int, den: int, size: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable; edges (a, b). Large and small stars in turn, until nothing changes."""
+    spark, before = edges.sparkSession, len(made())
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -206,22 +240,16 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = written(small.where("u <> v").distinct(), "small")
         check = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if check(after) == check(edges):
+        done = check(after) == check(edges)
+        remove(spark, made()[before:-1])
+        if done:
             return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
         edges = after
 
 
-def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(documents (id, n, class, rep), links (a, b) between classes' representatives, enough to connect them)."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts, sizes = frequencies(own, "text", size)
-    table = spark.sparkContext.broadcast(counts)
-    boundary = best_boundary({n: int(k) for n, k in enumerate(sizes[: 2 * MOST_SMALL]) if n and k}, num, den)
-    indexed = written(own.mapInArrow(_index(table, boundary, num, den, size), "id long, n long, class long, keys array<long>, sketch array<long>"), "index")
-    members = indexed.select("id", "n", "class")
-    reps = members.where("id IS NOT NULL AND n > 0").groupBy("class").agg(F.min("id").alias("rep"))
-    listed = indexed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "class", "n")
+def _cold_lists(indexed: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, long): pivot and class of long lists, pairs of classes of short ones. A list here has LISTED rows at most."""
+    listed = indexed.where("size(keys) > 0").select(F.explode("keys").alias("key"), "class", "n")
     # Along a list in order of size, a step that no similarity can bridge ends a run; who has nobody within reach, and second rows of a class, go at once.
     order = Window.partitionBy("key").orderBy("n", "class")
     bridged = lambda a, b: F.coalesce(F.col(a) * den >= F.col(b) * num, F.lit(False))
@@ -234,48 +262,168 @@ def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     # One pass over the lists gives both: (pivot, class) of long ones and the pairs (x < y) of short ones.
     row = lambda x, y, long_: F.struct(x.alias("x"), y.alias("y"), F.lit(long_).alias("long"))
     given = F.when(F.col("m") > PAIRED, F.array(row(F.col("pivot"), F.col("class"), True))).otherwise(F.transform("after", lambda y: row(F.col("class"), y, False)))
-    given = written(runs.select(F.explode(given).alias("r")).select("r.*").distinct(), "listed")
-    long_ = given.where("long").select(F.col("x").alias("pivot"), F.col("y").alias("class"))
-    pairs = given.where("NOT long").select("x", "y")
+    return runs.select(F.explode(given).alias("r")).select("r.*")
+
+
+def _hot_lists(indexed: DataFrame, num: int, den: int) -> DataFrame:
+    """The same of lists that may be longer: only their histograms (a row for each size, summed before they move) are put in order."""
+    listed = indexed.where("size(hot) > 0").select(F.explode("hot").alias("key"), "class", "n")
+    sums = listed.groupBy("key", "n").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.xxhash64("class")).alias("pivot"))
+    order = Window.partitionBy("key").orderBy("n")
+    bridged = lambda a, b: F.coalesce(F.col(a) * den >= F.col(b) * num, F.lit(False))
+    sums = sums.withColumns({"below": F.lag("n").over(order), "above": F.lead("n").over(order)})
+    sums = sums.withColumn("run", F.sum((~bridged("below", "n")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sums = sums.where(bridged("below", "n") | bridged("n", "above") | (F.col("low") != F.col("high")))
+    run = Window.partitionBy("key", "run")
+    sums = sums.withColumns({"pivot": F.min("pivot").over(run), "several": F.min("low").over(run) != F.max("high").over(run)}).where("several")
+    sums = sums.select("key", "n", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = listed.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return salted.join(sums, ["key", "n", "salt"]).select(F.col("pivot").alias("x"), F.col("class").alias("y"), F.lit(True).alias("long"))
+
+
+def _sifted(pairs: DataFrame, indexed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that their sketches don't rule out. Two sets that share a class's number, if ever, have no sketch."""
     words_ = [f"s{i}" for i in range(SKETCH)]
-    drawn = indexed.where("keys IS NOT NULL").groupBy("class").agg(F.min("n").alias("n"), *[F.min(F.col("sketch")[i]).alias(w) for i, w in enumerate(words_)])
+    firsts = indexed.where("sketch IS NOT NULL")
+    same = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
+    drawn = firsts.groupBy("class").agg(same(F.col("n")).alias("n"), *[same(F.col("sketch")[i]).alias(w) for i, w in enumerate(words_)])
     side = lambda name: drawn.toDF(name, *[f"{c}_{name}" for c in drawn.columns[1:]])
     pairs = pairs.join(side("x"), "x").join(side("y"), "y")
     differ = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words_[1:]), F.bit_count(F.col("s0_x").bitwiseXOR(F.col("s0_y"))))
     total = F.col("n_x") + F.col("n_y")
-    near = written(pairs.where(differ <= total - 2 * F.ceil(total * num / (num + den))).select("x", "y"), "near")
+    return pairs.where(F.coalesce(differ <= total - 2 * F.ceil(total * num / (num + den)), F.lit(True))).select("x", "y")
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(MARKS)
+
+
+def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(MARKS // 8, dtype=np.uint8)
+    for batch in batches:
+        at = _bit(batch.column(0).to_numpy(zero_copy_only=False))
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    parts = bits.reshape(-1, CHUNK)
+    used = np.flatnonzero(parts.any(axis=1))
+    if len(used):
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used.tolist(), pa.int32()), "bits": [zlib.compress(parts[i].tobytes(), 1) for i in used]})
+
+
+def _either(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(CHUNK, np.uint8)
+    for b in frame["bits"]:
+        total |= np.frombuffer(zlib.decompress(b), dtype=np.uint8)
+    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "bits": [total.tobytes()]})
+
+
+def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts (rep, text) whose rep is among the ids, and a few more: a table of bits (fixed size) spares most others the way."""
+    bits = np.zeros((MARKS // 8 // CHUNK, CHUNK), dtype=np.uint8)
+    for row in ids.mapInArrow(_marked, "chunk int, bits binary").groupBy("chunk").applyInPandas(_either, "chunk int, bits binary").collect():
+        bits[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    table = texts.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    @F.arrow_udf("boolean")
+    def wanted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids_ in batches:
+            at = _bit(ids_.to_numpy(zero_copy_only=False))
+            yield pa.array((table.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+
+    return texts.where(wanted("rep"))
+
+
+GROUP = ["pivot", "i", "j"]
+
+
+def _compared(met: DataFrame, texts: DataFrame, links) -> DataFrame:
+    """Links (a, b) within the groups of met (GROUP, class, more, rep, side, comp)."""
+    met = written(met, "met")
+    moved = met.join(_needed(texts, met.select("rep")), "rep")
+    return written(moved.groupBy(*GROUP).applyInPandas(links, "a long, b long"), "links")
+
+
+def _salted(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """df joined with sizes, a row for each pivot at most, so that no pivot's rows meet in one task."""
+    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(SALTS)).cast("int")).join(spread, ["pivot", "salt"], "left").drop("salt")
+
+
+def _dealt(rows: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(rows, F.lit(1)), blocks).cast("int")
+
+
+def _each(blocks: Column) -> Column:
+    return F.sequence(F.lit(0), blocks - 1)
+
+
+def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(documents (id, n, rep), components (node, component) of the classes' representatives that have links)."""
+    spark = docs.sparkSession
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counts, sizes = frequencies(own, "text", size)
+    table = spark.sparkContext.broadcast(counts)
+    boundary = best_boundary({n: int(k) for n, k in enumerate(sizes[: 2 * MOST_SMALL]) if n and k}, num, den, list_length(counts, num, den))
+    indexed = written(own.mapInArrow(_index(table, boundary, num, den, size), INDEX), "index")
+    reps = written(indexed.where("id IS NOT NULL AND n > 0").groupBy("class", "more").agg(F.min("id").alias("rep")), "reps")
+    given = written(_cold_lists(indexed, num, den).unionByName(_hot_lists(indexed, num, den)).distinct(), "listed")
+    long_ = given.where("long").select(F.col("x").alias("pivot"), F.col("y").alias("class"))
+    near = written(_sifted(given.where("NOT long").select("x", "y"), indexed, num, den), "near")
     # A pair meets under the least pivot that either knows of, so the pairs of one cluster meet together and each text moves about once.
     both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
     known = both.groupBy("x").agg(F.min(F.xxhash64("y")).alias("p")).select("x", F.least("p", F.xxhash64("x")).alias("p"))
     near = near.join(known.toDF("x", "p_x"), "x").join(known.toDF("y", "p_y"), "y")
     near = near.select(F.least("p_x", "p_y").alias("pivot"), F.explode(F.array("x", "y")).alias("class"))
-    met = written(long_.unionByName(near).distinct().join(reps, "class"), "met")
-    blocks = met.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    met = met.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
-    # Every block meets itself and every other one.
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("pivot", "class", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    members = written(long_.unionByName(near).distinct().join(reps, "class"), "members")
     texts = own.where("id IS NOT NULL").withColumnRenamed("id", "rep")
-    if met.count() <= BROADCAST_ROWS:
-        met = texts.join(F.broadcast(met), "rep")
-    else:
-        met = met.join(texts.join(met.select("rep").distinct(), "rep", "left_semi"), "rep")
-    links = met.groupBy("pivot", "i", "j").applyInPandas(_links(num, den, size), "a long, b long")
-    return members.join(reps, "class", "left"), links.distinct()
+    links = _links(num, den, size)
+    # First every block by itself, with the leaders of its pivot.
+    big = written(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "big")
+    first = _salted(members, big).withColumn("blocks", F.coalesce(F.ceil(F.col("m") / BLOCK).cast("int"), F.lit(1)))
+    leads = F.coalesce(F.pmod(F.xxhash64("rep", F.lit(2)), F.col("m")) < LEADERS, F.lit(False))
+    first = first.withColumn("i", F.explode(F.when(leads, _each(F.col("blocks"))).otherwise(F.array(_dealt(F.col("rep"), F.col("blocks"))))))
+    first = first.select("pivot", "i", F.lit(0).alias("j"), "class", "more", "rep", F.lit(0).alias("side"), F.col("rep").alias("comp"))
+    found = _compared(first, texts, links)
+    labels = components(found)
+    if not big.isEmpty():
+        # Then, of pivots with several blocks, those outside the largest component (side 0) with each other and with all others (side 1).
+        apart = members.join(F.broadcast(big.select("pivot")) if big.count() <= LISTED else big.select("pivot"), "pivot", "left_semi")
+        apart = apart.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        apart = written(apart, "apart")
+        most = apart.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("m"))
+        most = most.where("in_main < m").select("pivot", "main", F.ceil((F.col("m") - F.col("in_main")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("in_main") / BLOCK).cast("int").alias("inner"))
+        second = _salted(apart, most).where("main IS NOT NULL")
+        outside = F.col("comp") != F.col("main")
+        at = F.when(outside, _dealt(F.col("rep"), F.col("outer"))).otherwise(_dealt(F.col("rep"), F.col("inner")))
+        second = second.withColumn("at", at)
+        group = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+        me = F.col("at")
+        others = F.transform(_each(F.col("outer")), lambda b: group(F.least(me, b), F.greatest(me, b), F.when(me <= b, 0).otherwise(1)))
+        inners = F.transform(_each(F.col("inner")), lambda b: group(me, -b - 1, F.lit(0)))
+        outers = F.transform(_each(F.col("outer")), lambda b: group(b, -me - 1, F.lit(1)))
+        second = second.withColumn("g", F.explode(F.when(outside, F.concat(others, inners)).otherwise(outers)))
+        second = second.select("pivot", "g.i", "g.j", "class", "more", "rep", "g.side", "comp")
+        more = _compared(second, texts, links)
+        labels = components(found.unionByName(more))
+    # A class's rows meet its representative by partition of the index, so that many copies don't meet in one task.
+    firsts = indexed.where("sketch IS NOT NULL").select("class", "more", "part").distinct().join(reps, ["class", "more"])
+    rows = indexed.where("id IS NOT NULL AND n > 0").select("id", "n", "class", "more", "part").join(firsts, ["class", "more", "part"]).select("id", "n", "rep")
+    rest = indexed.where("id IS NULL OR n = 0").select("id", "n", F.lit(None).cast("long").alias("rep"))
+    return rows.unionByName(rest), labels
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> DataFrame:
     """(id, n, component) of every row of docs."""
-    members, links = join_links(docs, doc_id, text, num, den, size)
-    labels = components(links)
-    out = members.withColumn("node", F.when(F.col("n") > 0, F.col("rep"))).join(labels, "node", "left")
-    return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component"))
+    members, labels = join_links(docs, doc_id, text, num, den, size)
+    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> DataFrame:
-    """The rows of docs whose id is their component's; of repeated ids one row, and all rows without an id."""
+    """The rows of docs whose id is their component's, and all rows without an id; of a repeated id the row with the least hash of its text, then of the others."""
     inner, of = masked(docs)
-    key = of[doc_id]
-    kept = near_components(inner, key, of[text], num, den, size).where("id = component").select("id").distinct()
-    out = inner.join(kept, F.col(key) == F.col("id"), "left_semi").dropDuplicates([key])
+    key, own = of[doc_id], of[text]
+    kept = near_components(inner, key, own, num, den, size).where("id = component").select("id").distinct()
+    out = inner.join(kept, F.col(key) == F.col("id"), "left_semi")
+    order = F.struct(F.xxhash64(own), F.col(own), F.xxhash64(*[c for c in inner.columns if c not in (key, own)], F.lit(0)))
+    out = out.groupBy(key).agg(F.min_by(F.struct(*[c for c in inner.columns if c != key]), order).alias("x")).select(key, "x.*")
     return unmasked(out.unionByName(inner.where(F.col(key).isNull())), of)

@@ -8,7 +8,7 @@ LONGEST = 15  # words in a shingle at most
 PIECE = 1 << 22  # bytes hashed at a time
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RNG.integers(1, 1 << 63, LONGEST + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(1, 1 << 63, LONGEST + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Lower-cases A-Z only, and turns the six white-space characters into spaces.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -67,13 +67,14 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
             s = np.sort(joined[a : b - size + 1])
             out.append(s[np.r_[True, s[1:] != s[:-1]]])
         elif b > a:
-            out.append(mixed((h[a:b] * _MIX[: b - a]).sum(keepdims=True) + np.uint64(b - a) * _MIX[LONGEST]))
+            out.append(mixed((h[a:b] * _MIX[: b - a]).sum(keepdims=True) + np.array([b - a], dtype=np.uint64) * _MIX[LONGEST]))
         else:
             out.append(h[:0])
     return out
 
 
-def signature(s: np.ndarray) -> int:
-    """A 64-bit hash of the set, as a signed integer."""
-    total = mixed(s + _MIX[LONGEST]).sum() + np.uint64(len(s)) * _MIX[0]
-    return int(mixed(np.array([total]))[0].astype(np.int64))
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of the set, as two signed integers."""
+    size = np.array([len(s)], dtype=np.uint64)
+    halves = [mixed(mixed(s + _MIX[k]).sum(keepdims=True, dtype=np.uint64) + size * _MIX[k + 1]) for k in (LONGEST, LONGEST - 2)]
+    return int(halves[0][0].astype(np.int64)), int(halves[1][0].astype(np.int64))

@@ -177,7 +177,8 @@ def test_join_is_complete(spark, monkeypatch, num, den, size, block):
     rows = corpus()
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "PAIRED", 8 if block > 4 else 2)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 1 << 18 if block > 4 else 0)
+    monkeypatch.setattr(jaccard_join, "LISTED", 100_000 if block > 4 else 2)  # lists that are never sorted whole, and both rounds of blocks
+    monkeypatch.setattr(jaccard_join, "LEADERS", 12 if block > 4 else 1)
     got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), num=num, den=den, size=size).collect()
     want = brute_components(rows, num, den, size)
     assert {r["id"]: (r["n"], r["component"]) for r in got} == want
@@ -195,7 +196,8 @@ def test_join_odd_rows(spark):
 
 
 def test_boundary_and_keys():
-    assert jaccard_join.best_boundary({5: 100, 300: 100}, 9, 10) >= 5
+    assert jaccard_join.best_boundary({5: 100, 300: 100}, 9, 10, 3.0) >= 5
+    assert jaccard_join.list_length(np.array([0, 1, 1, 1, 1, 6, 0]), 9, 10) == 1.0 and jaccard_join.list_length(np.zeros(4, np.int64), 9, 10) == 1.0
     assert jaccard_join.least_overlap(9, 10, 9, 10) == 9 and list(jaccard_join.partner_sizes(10, 9, 10)) == [9, 10, 11]
 
 
