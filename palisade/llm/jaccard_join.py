@@ -30,6 +30,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ BUCKETS, CHUNK = 1 << 20, 1 << 15
 #: Lists up to this length give their pairs, which a sketch of each class then sifts; longer ones a pivot.
 PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
 #: Classes compared in one group; leaders that the blocks of a larger group share (as expected).
-BLOCK, LEADERS = 384, 12
+BLOCK, LEADERS = 192, 12
 #: Rows that a list may have, by the counts of its elements, for it to be sorted in one task.
 LISTED = 100_000
 #: Bits of the table that tells whose texts are needed (8 MB, fixed), and salts that spread the rows of one key.
@@ -185,8 +186,10 @@ def _links(num: int, den: int, size: int):
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["rep", "text"])
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = [unpack(t).decode() for t in frame["text"]]
         rows = {}  # an id may have other texts than its class's
-        for s, c, more, r, side, comp in zip(shingle_sets(frame["text"].tolist(), size), *(frame[x] for x in ("class", "more", "rep", "side", "comp")), strict=True):
+        for s, c, more, r, side, comp in zip(shingle_sets(texts, size), *(frame[x] for x in ("class", "more", "rep", "side", "comp")), strict=True):
             if len(s) and signature(s) == (c, more):
                 rows[c, more] = (s, r, side, comp)
         rows = sorted(rows.values(), key=lambda x: (len(x[0]), x[1]))
@@ -317,7 +320,7 @@ def _either(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of texts (rep, text) whose rep is among the ids, and a few more: a table of bits (fixed size) spares most others the way."""
+    """Rows of texts (rep, text) whose rep is among the ids, and a few more, with their texts packed: a table of bits (fixed size) spares most others the way."""
     bits = np.zeros((MARKS // 8 // CHUNK, CHUNK), dtype=np.uint8)
     for row in ids.mapInArrow(_marked, "chunk int, bits binary").groupBy("chunk").applyInPandas(_either, "chunk int, bits binary").collect():
         bits[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint8)
@@ -329,7 +332,13 @@ def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
             at = _bit(ids_.to_numpy(zero_copy_only=False))
             yield pa.array((table.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0)
 
-    return texts.where(wanted("rep"))
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        press = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            yield pa.array([press((x.as_py() or "").encode()) for x in batch], pa.binary())
+
+    return texts.where(wanted("rep")).withColumn("text", packed("text"))
 
 
 GROUP = ["pivot", "i", "j"]
@@ -338,7 +347,7 @@ GROUP = ["pivot", "i", "j"]
 def _compared(met: DataFrame, texts: DataFrame, links) -> DataFrame:
     """Links (a, b) within the groups of met (GROUP, class, more, rep, side, comp)."""
     met = written(met, "met")
-    moved = met.join(_needed(texts, met.select("rep")), "rep")
+    moved = met.join(_needed(texts, met.select("rep")).hint("merge"), "rep")  # the same way at every size
     return written(moved.groupBy(*GROUP).applyInPandas(links, "a long, b long"), "links")
 
 
