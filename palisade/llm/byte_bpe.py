@@ -6,7 +6,8 @@ changed since it was queued is stale and skipped. All unseen pre-tokens of a sli
 is proportional to the number of merges tried, however long a pre-token is.
 
 Null text counts as empty: no ids, and nothing decoded. Strings of special tokens are ordinary text. Unknown ids
-fail the decoding. No row is dropped and other columns are kept, whatever their names.
+fail the decoding. No row is dropped; equal texts get equal ids; an empty table gives an empty result. Other columns are
+kept, but for those named like the result (letter case aside), which the result replaces.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm.common import masked, unmasked
 from palisade.llm.token_counts import slices
 
 #: Pre-tokens a worker remembers before it starts afresh, and the longest of those that it keeps.
@@ -248,4 +250,15 @@ def ids_digest(ids: Column) -> Column:
 
 
 def add_ids(df: DataFrame, rank_path: str, pattern: str, text: str = "text", name: str = "token_ids") -> DataFrame:
-    return df.withColumn(name, encoder(df.sparkSession, rank_path, pattern)(F.col(text)))
+    """df with the ids of each text."""
+    inner, of = masked(df)
+    return unmasked(inner.withColumn(name, encoder(df.sparkSession, rank_path, pattern)(F.col(of[text]))), of, name)
+
+
+def add_checked_ids(df: DataFrame, rank_path: str, pattern: str, text: str = "text", name: str = "token_ids") -> DataFrame:
+    """The same, with every text decoded again; a text that doesn't come back fails the job."""
+    inner, of = masked(df)
+    whole = F.coalesce(F.col(of[text]), F.lit(""))
+    out = inner.withColumn("trip", round_trip(df.sparkSession, rank_path, pattern)(F.col(of[text])))
+    same = F.col("trip.decoded") == whole.cast("binary")
+    return unmasked(out.withColumn(name, F.when(same, F.col("trip.ids")).otherwise(F.raise_error(F.lit("a text differs from its decoded ids")))), of, name)

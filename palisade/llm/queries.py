@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import byte_bpe, cover_search, jaccard_join, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
-from palisade.llm.common import shared_dir, table, written
+from palisade.llm.common import table, written
 
 #: Parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SPAM_LABELS = ["spam-farm", "cheap-pills"]
 #: All host families of the pages tables that are taken as bad ones, by their names.
 BAD_FAMILIES = [*SPAM_LABELS, "casino-win", "free-bets", "ads-track", "adult-x"]
+#: One in so many canonical URLs, by a hash, stands for a list of single pages that have been reported, on hosts of any kind.
+REPORTED = 32
 TOKEN_LIMIT = 512
 
 
@@ -51,15 +53,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame, labels: list[str] = SPAM_LABELS) -> DataFrame:
-    """The list that the query filters by: every canonical URL seen on hosts with one of the labels."""
+    """Every canonical URL seen on hosts with one of the labels."""
     parts = url_filters.with_parts(pages.select("url"))
     spam = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, labels)))
     return parts.where(spam).select(url_filters.canonical(F.col("host"), F.col("path")).alias("canon"))
 
 
+def reported_urls(pages: DataFrame) -> DataFrame:
+    """One in REPORTED of the canonical URLs, whatever their host."""
+    parts = url_filters.with_parts(pages.select("url")).where("host <> ''")
+    parts = parts.select(url_filters.canonical(F.col("host"), F.col("path")).alias("canon"))
+    return parts.where(F.conv(F.substring(F.md5("canon"), 1, 8), 16, 10).cast("long") % REPORTED == 0)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: all URLs of the bad families, and single reported pages, of whose hosts other pages are not listed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filters.judge(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+    listed = listed_urls(pages, BAD_FAMILIES).unionByName(reported_urls(pages))
+    return url_filters.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_url_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +94,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(voted).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-def ledger(spark: SparkSession) -> str:
-    """Folder of the secret scans' ledger, which all scans of a cluster share."""
-    return f"{shared_dir(spark)}/palisade-secret-ledger"
+def ledger(spark: SparkSession) -> str | None:
+    """Folder of a ledger that scans share, if the session names one in spark.palisade.secretLedger; else each scan starts afresh."""
+    return spark.conf.get("spark.palisade.secretLedger", None)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = secrets_ledger.scan_with(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = secrets_ledger.scan_with(docs, folder) if (folder := ledger(spark)) else secrets_ledger.scan(docs)[0]
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["ord"] < 3)
     return docs.select(
@@ -114,7 +126,7 @@ SELECT doc_id, source, n_chars, slot, 'shard-' || lpad(CAST(t[slot + 1] AS VARCH
 
 
 _HOST = r"translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-URL_SQL = rf"""
+FAMILIES_SQL = rf"""
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
  b AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path FROM a),
  c AS (SELECT *, regexp_replace(regexp_replace(host, ':\d*\z', ''), '\A(www|m)\.', '')
@@ -124,12 +136,12 @@ WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
          WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM b),
- listed AS (SELECT DISTINCT canon FROM c WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills']))
+ listed AS (SELECT DISTINCT canon FROM c WHERE list_has_any(string_split(host, '.'), {BAD_FAMILIES}))
 SELECT page_id, host, path, rule,
     CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
          WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
-FAMILIES_SQL = URL_SQL.replace("['spam-farm', 'cheap-pills']", str(BAD_FAMILIES))
+URL_SQL = FAMILIES_SQL.replace(f"{BAD_FAMILIES})", f"{BAD_FAMILIES}) OR host <> '' AND ('0x' || substr(md5(canon), 1, 8))::BIGINT % {REPORTED} = 0")
 
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),

@@ -16,6 +16,7 @@ counts once.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -38,8 +39,6 @@ class Rule:
     least: int = 0
 
 
-#: A change of any rule needs another version, so that old ledger entries no longer count.
-RULES_VERSION = "2"
 RULES = [
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", "AKIA[A-Z0-9]+", 0, 18),
@@ -48,6 +47,14 @@ RULES = [
     # From the first line to the last one where there is one, so that the key's body is covered; a header holds a few words.
     Rule("pem", "-----BEGIN (?:[A-Z0-9]{1,20} ){0,8}PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=:,. \\t\\r\\n]++|-(?!-))*+-----END (?:[A-Z0-9]{1,20} ){0,8}PRIVATE KEY-----)?", 0, 0),
 ]
+
+
+def version_of(rules: list[Rule]) -> str:
+    """A change of any rule gives another version, so that old ledger entries no longer count."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+RULES_VERSION = version_of(RULES)
 #: Characters of the pieces that a text with secrets is cut from when they are replaced.
 PIECE = 1024
 LEDGER = f"blob string, rules_version string, spans {SPANS}"

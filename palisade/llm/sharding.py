@@ -6,7 +6,8 @@ differ by one at most, and most keys stay where they are when a shard goes. A ro
 modulo the table's size, found in the broadcast table in constant time.
 
 The table has a fixed number of slots (a parameter), whatever the data. Null keys count as the empty string; equal
-keys go to one shard. All rows and other columns are kept; an empty table gives an empty result.
+keys go to one shard. All rows are kept, and other columns but for those named slot or shard (letter case aside), which
+the result replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import fresh
+from palisade.llm.common import masked, unmasked
 
 SLOTS = 16381  # prime
 
@@ -49,13 +50,13 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """df with the columns slot and shard."""
-    at, name = fresh(df, "_slot", "_shard")
+    inner, of = masked(df)
     listed = ",".join(map(str, filled(shards, slots)))
-    table = df.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(f"[{listed}]"), "array<int>")).alias(at, "n"))
+    table = df.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(f"[{listed}]"), "array<int>")).alias("slot", "n"))
     named = F.element_at(F.array(*map(F.lit, shards)), F.col("n") + 1)
-    table = table.select(F.col(at).cast("long").alias(at), named.alias(name))
-    out = df.withColumn(at, slot_of(F.col(key), slots)).join(F.broadcast(table), at)  # `slots` rows, a fixed bound
-    return out.drop("slot", "shard").withColumnsRenamed({at: "slot", name: "shard"})
+    table = table.select(F.col("slot").cast("long").alias("slot"), named.alias("shard"))
+    out = inner.withColumn("slot", slot_of(F.col(of[key]), slots)).join(F.broadcast(table), "slot")  # `slots` rows, a fixed bound
+    return unmasked(out, of, "slot", "shard")
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, files_per_shard: int = 1, slots: int = SLOTS) -> None:

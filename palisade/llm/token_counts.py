@@ -3,16 +3,18 @@
 Texts are cut into pre-tokens; those not seen before by the worker are laid out as one ragged numpy array
 (symbol ids plus the sequence each belongs to). Every round takes each sequence's lowest-rank adjacent pair and
 merges all its occurrences in all sequences at once; a sequence without a mergeable pair is finished and its
-surviving symbols are counted. Counts of pre-tokens are remembered, in a bounded cache.
+surviving symbols are counted. Counts of short pre-tokens are remembered, in a bounded cache.
 
 Null text counts as empty (0 tokens); strings of the vocabulary's special tokens inside a text count as one token
-each, as the library does by default. No row is dropped and other columns are kept, whatever their names.
+each, as the library does by default. No row is dropped; equal texts get equal counts; an empty table gives an empty
+result. Other columns are kept, but for one named like the result (letter case aside), which the result replaces.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens a worker remembers before it starts afresh, and symbols merged in one ragged array.
-CACHE, SYMBOLS = 600_000, 1 << 19
+from palisade.llm.common import masked, unmasked
+
+#: Pre-tokens a worker remembers before it starts afresh, the longest of those that it keeps, and symbols merged in one ragged array.
+CACHE, KEPT, SYMBOLS = 600_000, 64, 1 << 19
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -120,7 +124,17 @@ class Merger:
             unseen.update(t for t in tokens if t not in self.cache)
         self.learn(unseen)
         of = self.cache.__getitem__
-        return [n + sum(map(of, tokens)) for n, tokens in split]
+        out = [n + sum(map(of, tokens)) for n, tokens in split]
+        for t in unseen:
+            if len(t) > KEPT:
+                del self.cache[t]
+        return out
+
+
+@lru_cache(maxsize=2)
+def merger(spec: bytes, pattern: str) -> Merger:
+    """The merger of a worker process, with what it remembers: it serves the tasks that the worker runs one by one."""
+    return Merger(spec, pattern)
 
 
 def slices(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -147,8 +161,9 @@ def add_token_counts(df: DataFrame, vocabulary: str, pattern: str, text: str = "
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        merger = Merger(spec.value, pattern)
+        own = merger(spec.value, pattern)
         for batch in batches:
-            yield pa.array([n for part in slices(batch) for n in merger.count(part)], pa.int64())
+            yield pa.array([n for part in slices(batch) for n in own.count(part)], pa.int64())
 
-    return df.withColumn(name, counted(F.coalesce(F.col(text), F.lit(""))))
+    inner, of = masked(df)
+    return unmasked(inner.withColumn(name, counted(F.coalesce(F.col(of[text]), F.lit("")))), of, name)

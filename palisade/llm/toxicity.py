@@ -34,8 +34,6 @@ LEAST_DOCS = 3
 #: Look-alikes of Latin letters among Cyrillic and Greek ones; full-width and styled letters fall to NFKC.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝтвмнкɑοανιρτυκ", "aeopcyxijshdqwtbmhkaoaviptuk", strict=True))
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
-#: Phrases in which a lexicon word is harmless; learnt ones are added.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pond scum")
 
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _LEET = str.maketrans(LEET)
@@ -156,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n = {bool(r["label"]): r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
     if not n_toxic:
-        return Model(exceptions=EXCEPTIONS)
+        return Model()
     least = LEAST_DOCS if n_toxic >= 100 else 2
     odds = F.ln((F.col("n_toxic") + 0.1) / (n_toxic + 0.2)) - F.ln((F.col("n_clean") + 0.1) / (n_clean + 0.2))
     entries = total(rows.mapInArrow(_features, schema)).where(F.col("n_toxic") >= least).withColumn("odds", odds).where("odds > 2.5")
@@ -167,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     short = {s: e for s, e in stems.items() if not any(s[:k] in stems and stems[s[:k]]["odds"] > e["odds"] - 0.5 for k in range(STEMS[0], len(s)))}
     many = {s for s, e in short.items() if sum(w.startswith(s) for w in words) != 1}
     weight = lambda e: min(e["odds"], 8.0) / 8.0
-    model = Model({w: weight(e) for w, e in words.items()}, {s: weight(short[s]) for s in many}, EXCEPTIONS)
+    model = Model({w: weight(e) for w, e in words.items()}, {s: weight(short[s]) for s in many})
     # Neighbours that make a lexicon word harmless: pairs seen in clean texts, never in toxic ones.
     pairs = total(rows.mapInArrow(_pairs(set(model.words)), schema)).where("n_toxic = 0 AND n_clean >= 3")
     learnt = [r["entry"] for r in pairs.orderBy(F.desc("n_clean"), "entry").limit(LEXICON).collect()]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -49,6 +50,26 @@ def test_bpe_equals_the_library_and_decodes(spark, name):
     assert all(bytes(r["b"]) == (TEXTS[r["doc_id"]] or "").encode() for r in back)
 
 
+def test_clashing_names_and_empty_tables(spark):
+    """Results replace columns of their name in any letter case; other columns stay; empty tables give empty results."""
+    own = docs(spark, [(1, "a b"), (2, None)]).withColumns({"N_Tokens": F.lit("x"), "Token_IDs": F.lit("y"), "other": F.lit(3)})
+    counts = token_counts.add_token_counts(own, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert counts.columns == ["doc_id", "text", "Token_IDs", "other", "n_tokens"] and sorted(r["n_tokens"] for r in counts.collect()) == [0, 2]
+    for add in (byte_bpe.add_ids, byte_bpe.add_checked_ids):
+        ids = add(own, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        assert ids.columns == ["doc_id", "text", "N_Tokens", "other", "token_ids"] and sorted(len(r["token_ids"]) for r in ids.collect()) == [0, 2]
+        assert add(own.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(own.limit(0), labels)
+    assert toxicity.add_scores(own.limit(0), model).collect() == [] and {r["predicted"] for r in toxicity.add_scores(own, model).collect()} == {0}
+
+
+def test_long_pretokens_are_not_remembered():
+    with open(P.path("byte_bpe_50k.json"), "rb") as f:
+        own = token_counts.Merger(f.read(), P.PATTERN)
+    assert own.count(["z" * 5000, "short one"]) and max(map(len, own.cache)) <= token_counts.KEPT
+
+
 def test_bpe_takes_a_lower_rank_that_appears_later(spark):
     """A vocabulary whose longer token ranks before its parts: the queue must step back, as the library does."""
     ranks = {bytes([b]): b + 10 for b in range(256)} | {b"ab": 5, b"abc": 2, b"bc": 4, b"abab": 1, b"cab": 3}
@@ -72,6 +93,28 @@ def test_toxicity_exceptions_and_limits():
     assert 0 <= model.score(0) < 0.3 and toxicity.Model().raw("x", toxicity.Model().matcher()) == 0
 
 
+def naive_raw(model, text):
+    """The score by looking at every word with every entry."""
+    words = toxicity.fold(text).split()
+    covered = {k for i in range(len(words)) for e in model.exceptions for n in [len(e.split())] if words[i : i + n] == e.split() for k in range(i, i + n)}
+    total = 0.0
+    for i, w in enumerate(words):
+        weights = [model.words.get(w, 0.0), *[x for s, x in model.stems.items() if w.startswith(s)]]
+        total += max(weights) if i not in covered else 0.0
+    return total / (1 + math.log1p((len(words) + 1) / 200))
+
+
+def test_toxicity_equals_a_naive_scorer():
+    rng = random.Random(9)
+    model = toxicity.Model({"clown": 0.7, "scum": 1.0, "rat": 0.4}, {"clo": 0.2, "idio": 0.9, "idiot": 0.5}, ("clown fish", "pond scum", "fish rat"))
+    vocab = ["clown", "Cl0wn", "fish", "pond", "scum", "sc\u0443m", "idiots", "1d10tic", "rat", "rats", "cloud", "x", "2024", "!!", "CLOWN."]
+    a = model.matcher()
+    for _ in range(400):
+        text = " ".join(rng.choices(vocab, k=rng.randint(1, 40)))
+        if toxicity.fold(text):
+            assert abs(model.raw(text, a) - naive_raw(model, text)) < 1e-9, text
+
+
 def test_toxicity_learns(spark):
     rows = [(i, f"some words number {i} and " + ("you moron" if i % 4 == 0 else "you there")) for i in range(200)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)], "doc_id long, toxic int")
@@ -208,6 +251,18 @@ def test_ledger_table(spark, tmp_path):
     assert [r["spans"][0]["kind"] for r in secrets_ledger.scan_with(docs(spark, [(1, "x")]), folder).collect()] == ["hex"]
 
 
+def test_query_takes_the_sessions_ledger(spark, tmp_path):
+    sf, folder = "/root/testdata/sf0.001", f"file://{tmp_path}/ledger"
+    fresh = sorted(map(str, queries.op9_secret_scan(spark, sf).collect()))
+    spark.conf.set("spark.palisade.secretLedger", folder)
+    try:
+        assert sorted(map(str, queries.op9_secret_scan(spark, sf).collect())) == fresh
+        n = secrets_ledger.read_ledger(spark, folder).count()
+        assert sorted(map(str, queries.op9_secret_scan(spark, sf).collect())) == fresh and secrets_ledger.read_ledger(spark, folder).count() == n > 0
+    finally:
+        spark.conf.unset("spark.palisade.secretLedger")
+
+
 def test_long_texts_with_secrets(spark):
     """No pattern needs stack, and 200,000 hits take steps in proportion."""
     key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nabc+/=\n-----END RSA PRIVATE KEY-----"
