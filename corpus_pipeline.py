@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import byte_bpe, jaccard_join, mixing, quality, secrets_ledger
-from palisade.llm.common import written
+from palisade.llm.common import made, remove, written
+from palisade.llm.queries import ledger
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [kind] in place of each secret, and n_chars counted anew for those."""
-    return secrets_ledger.redact(docs, length="n_chars")
+    return secrets_ledger.redact(docs, length="n_chars", folder=ledger(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, which decode to the text."""
-    return byte_bpe.add_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The documents with their token ids; each text is decoded again, and one that doesn't come back fails the job."""
+    return byte_bpe.add_checked_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -48,7 +49,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table documents, each on what the one before it kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, inputs = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
+        others = set(made()) - set(inputs)
         docs = written(stage(spark, docs, sf_dir), name.split()[0].replace("-", "_"))
+        *used, result = [folder for folder in made() if folder not in others]
+        remove(spark, used)  # the stage's input and own tables
+        inputs = [result]
     return STAGES[-1][1](spark, docs, sf_dir)
