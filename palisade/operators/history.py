@@ -70,6 +70,22 @@ def introduced_findings(diffed: DataFrame) -> DataFrame:
     return rows.select(*PACKAGE, f.alias("f")).select(*PACKAGE, "f.*")
 
 
+def applied(stage1: DataFrame, diffed: DataFrame) -> DataFrame:
+    """stage1 (package, score, verdict, deferring) after the difference: outcome and introduced of diffed (of outcome), and what NPM030 adds.
+
+    Each introduced capability adds its finding's weight. A decisive one makes the package malicious, others make a clean one suspicious.
+    """
+    rows = stage1.join(diffed.select(*PACKAGE, "outcome", "introduced"), PACKAGE, "left")
+    rows = rows.withColumns({"outcome": F.coalesce("outcome", F.lit("not_attempted")), "introduced": F.coalesce("introduced", F.array().cast("array<string>"))})
+    decisive = F.size(F.filter("introduced", lambda c: c.isin(*fixed.DECISIVE)))
+    other = F.size("introduced") - decisive
+    weights = fixed.SEVERITY_WEIGHTS
+    verdict = F.when(decisive > 0, "malicious").when((other > 0) & (F.col("verdict") == "clean"), "suspicious").otherwise(F.col("verdict"))
+    return rows.withColumns(
+        {"score": (F.col("score") + decisive * weights["critical"] + other * weights["high"]).cast("long"), "verdict": verdict, "deferring": F.col("deferring") | (other > 0)}
+    )
+
+
 def side_by_side(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Findings (key, rule_id, severity) of two sides by rule: added, removed, changed or same; the worst severity of a rule counts."""
     worst = lambda df, name: df.groupBy(*key, "rule_id").agg(F.max_by("severity", rank(F.col("severity"))).alias(name))

@@ -12,6 +12,7 @@ from palisade.functions.rulespec import TEXT_RULES, Scope, TextRule
 from palisade.operators import history, rules, scoring, stage2
 from palisade.plans import planted
 from palisade.sources import catalog
+from palisade.sources import packages as packages_source
 from palisade.streaming import feed
 
 AS_OF = "2024-02-01 00:00:00"
@@ -44,7 +45,11 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     bins = F.create_map(F.lit("x"), F.concat(F.lit("./bin/"), i.cast("string")))
-    return docs.select(eco.alias("ecosystem"), F.concat(F.lit("pkg-"), i.cast("string")).alias("name"), F.lit("1.0.0").alias("version"), bins.alias("bin"), raw.alias("raw"))
+    site = F.concat(F.lit("https://x.example/"), i.cast("string"))
+    return docs.select(
+        eco.alias("ecosystem"), F.concat(F.lit("pkg-"), i.cast("string")).alias("name"), F.lit("1.0.0").alias("version"), bins.alias("bin"), raw.alias("raw"),
+        site.alias("repository"), F.lit(None).cast("string").alias("homepage"), F.create_map(F.lit("a"), F.lit("1")).alias("dependencies"),
+    )
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +166,8 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("o_custkey") % 9 == 0, F.element_at(rules.strings(["loadash", "reakt", "expres", "lodash", "axois"]), (F.col("o_custkey") % 5 + 1).cast("int"))).otherwise(F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")))
     return orders.select(
         eco.alias("ecosystem"), name.alias("name"), F.col("o_custkey").cast("string").alias("version"), day((F.col("o_custkey") % 13).cast("int")).alias("published_at"),
-        day((F.col("k") % 120).cast("int")).alias("package_created_at"), "total_versions",
+        day((F.col("k") % 120).cast("int")).alias("package_created_at"), "total_versions", F.lit(None).cast("string").alias("published_by"),
+        F.array(F.concat(F.lit("owner-"), F.col("o_custkey").cast("string"))).alias("maintainers"),
     )
 
 
@@ -339,6 +345,48 @@ PARITY_SQL = f"""WITH {_VERSIONS_SQL}, x AS (SELECT a.name, a.version, a.caps, o
    FROM x WHERE r <= 5 GROUP BY name, version) {_OUTCOME_SQL}"""
 
 
+_APPLIED = "list_filter(caps, lambda c: ok AND n = 5 AND coalesce(prev, '') <> 'malicious' AND NOT list_contains(base, c))"
+CHANGES_SQL = f"""WITH {_VERSIONS_SQL}, p AS (SELECT name, version, caps, status, lead(version) OVER o AS v2, lead(caps) OVER o AS c2, lead(status) OVER o AS s2 FROM v WINDOW o AS (PARTITION BY name ORDER BY ts, version))
+SELECT name, version, array_to_string(list_sort(list_filter(c2, lambda c: NOT list_contains(caps, c))), ',') AS introduced, array_to_string(list_sort(list_filter(caps, lambda c: NOT list_contains(c2, c))), ',') AS removed,
+  array_to_string(list_sort(list_filter(caps, lambda c: list_contains(c2, c))), ',') AS shared, (version % 3 = 0) <> (v2 % 3 = 0) AS stage1_changed, status <> s2 AS status_changed, v2 % 12 - version % 12 AS score_delta
+FROM p WHERE v2 IS NOT NULL"""
+
+
+#: Capabilities that stand for the lines' flags: two that are decisive when new, and two that are not.
+FLAGS = {"AF": "self_delete", "NF": "crypto_miner", "NO": "net_http", "RF": "net_dns"}
+
+
+def diff_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First stage verdicts of the orders as versions, after NPM030."""
+    named = F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair])
+    versions = order_versions(spark, sf_dir).withColumn("capabilities", F.transform("capabilities", lambda c: named[c]))
+    versions = versions.withColumn("k", F.col("version"))
+    verdict = F.when(F.col("k") % 11 == 0, "malicious").when(F.col("k") % 3 == 0, "clean").otherwise("suspicious")
+    own = versions.select(*rules.PACKAGE, (F.col("k") % 12).alias("score"), verdict.alias("verdict"), (F.col("k") % 2 == 0).alias("deferring"))
+    out = history.applied(own, history.outcome(history.strict_baselines(versions)))
+    return out.select(*[F.col(c).cast("string").alias(c) for c in ("name", "version")], "score", "verdict", "deferring", "outcome", F.array_join(F.sort_array("introduced"), ",").alias("introduced"))
+
+
+_NAMES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FLAGS.items()) + " END"
+APPLIED_SQL = f"""{STRICT_SQL.removesuffix(_OUTCOME_SQL)}, d AS (SELECT *, {_APPLIED} AS new FROM b),
+ e AS (SELECT *, len(list_filter(new, lambda c: c IN ('AF', 'NF'))) AS hard, len(list_filter(new, lambda c: c IN ('NO', 'RF'))) AS soft,
+   CASE WHEN version % 11 = 0 THEN 'malicious' WHEN version % 3 = 0 THEN 'clean' ELSE 'suspicious' END AS was FROM d)
+SELECT CAST(name AS VARCHAR) AS name, CAST(version AS VARCHAR) AS version, version % 12 + 10 * hard + 5 * soft AS score, CASE WHEN hard > 0 THEN 'malicious' WHEN soft > 0 AND was = 'clean' THEN 'suspicious' ELSE was END AS verdict,
+  version % 2 = 0 OR soft > 0 AS deferring,
+  CASE WHEN prev = 'malicious' THEN 'abstained_poisoned_baseline' WHEN n = 0 THEN 'not_attempted' WHEN NOT (n = 5 AND ok) THEN 'abstained_baseline_incomplete' ELSE 'produced' END AS outcome,
+  coalesce(array_to_string(list_sort(list_transform(new, lambda c: {_NAMES_SQL})), ','), '') AS introduced FROM e"""
+
+
+def verdict_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's verdict against that of the customer's next one."""
+    k = F.col("version")
+    v = F.struct("capabilities", (k % 12).alias("score"), F.when(k % 3 == 0, "clean").otherwise("suspicious").alias("verdict"), "status")
+    order = rules.Window.partitionBy("name").orderBy("published_at", "version")
+    pairs = order_versions(spark, sf_dir).select("name", "version", v.alias("a"), F.lead(v).over(order).alias("b")).where("b IS NOT NULL")
+    out = pairs.withColumns(history.verdict_changes(F.col("a"), F.col("b")))
+    return out.select("name", "version", *[F.array_join(F.sort_array(c), ",").alias(c) for c in ("introduced", "removed", "shared")], "stage1_changed", "status_changed", "score_delta")
+
+
 def order_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings of each order (lines are findings) and of the same customer's next one."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("R"), F.col("l_linenumber").cast("string")).alias("rule_id"), F.element_at(rules.strings(list(fixed.SEVERITY_WEIGHTS)), (F.col("l_suppkey") % 5 + 1).cast("int")).alias("severity"))
@@ -393,7 +441,8 @@ def gated_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.in_report_order(evaluated(spark, sf_dir))
     s1 = scoring.stage1(found, packages(spark, sf_dir))
-    out = stage2.user_message(stage2.contexts(s1, found, planted.lifecycle(spark, sf_dir)))
+    about = stage2.manifest_summary(manifests(spark, sf_dir)), stage2.registry_summary(registry(spark, sf_dir), as_of())
+    out = stage2.user_message(stage2.contexts(s1, found, planted.lifecycle(spark, sf_dir), *about))
     return out.select("ecosystem", "name", "version", "approx_chars", "message")
 
 
@@ -465,6 +514,126 @@ def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.specs(table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 5 == 0, "# note").otherwise(line).alias("value")))
 
 
+def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of a list: some without a version, of which some have a latest one; suppliers have verdicts, customers archives."""
+    k, as_text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    package = lambda name: (F.lit("npm").alias("ecosystem"), as_text(name).alias("name"), F.lit("1").alias("version"))
+    items = table(spark, sf_dir, "part").select(F.lit("npm").alias("ecosystem"), (k % 1500).cast("string").alias("name"), F.when(k % 3 > 0, "1").alias("version"), k.alias("ordinal"))
+    latest_ = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.lit("npm").alias("ecosystem"), as_text("c_custkey").alias("name"), F.lit("1").alias("latest"))
+    known, there = table(spark, sf_dir, "supplier").select(*package("s_suppkey")), table(spark, sf_dir, "customer").select(*package("c_custkey"))
+    return catalog.backfill_counts(catalog.backfill(items, latest_, known, there))
+
+
+BACKFILL_COUNTS_SQL = """WITH i AS (SELECT p_partkey AS o, p_partkey % 1500 AS name, p_partkey % 3 > 0 OR (p_partkey % 1500) IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AS has FROM part),
+ d AS (SELECT CASE WHEN NOT has THEN 'missing' WHEN name IN (SELECT s_suppkey FROM supplier) THEN 'already_present' WHEN name NOT IN (SELECT c_custkey FROM customer) THEN 'failed'
+   WHEN row_number() OVER (PARTITION BY name, has ORDER BY o) = 1 THEN 'analyzed' ELSE 'already_present' END AS x FROM i)
+SELECT count(*) FILTER (x = 'analyzed') AS analyzed, count(*) FILTER (x = 'already_present') AS already_present, count(*) FILTER (x = 'missing') AS missing, count(*) FILTER (x = 'failed') AS failed FROM d"""
+
+
+def crate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crate's registry document for each customer with orders, which are its versions."""
+    time = F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")
+    version = F.struct(F.concat(F.lit("1.0."), F.col("o_orderkey").cast("string")).alias("num"), time.alias("created_at"), F.struct(F.concat(F.lit("u"), (F.col("o_orderkey") % 9).cast("string")).alias("login")).alias("published_by"))
+    name = F.col("o_custkey").cast("string")
+    rows = table(spark, sf_dir, "orders").groupBy(name.alias("name")).agg(F.collect_list(version).alias("versions"), F.min(time).alias("created_at"), F.max("o_orderkey").alias("k"))
+    stable = F.when(F.col("k") % 2 == 0, F.concat(F.lit("1.0."), F.col("k").cast("string")))
+    crate = F.struct("name", "created_at", stable.alias("max_stable_version"), F.concat(F.lit("2.0.0-"), F.col("k").cast("string")).alias("max_version"))
+    return rows.select("name", F.to_json(F.struct(crate.alias("crate"), "versions")).alias("value"))
+
+
+def crate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.cargo_registry(crate_documents(spark, sf_dir))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return rows.select("name", "version", day("published_at").alias("published"), "published_by", day("package_created_at").alias("created"), "total_versions")
+
+
+CRATES_SQL = """SELECT CAST(o_custkey AS VARCHAR) AS name, '1.0.' || CAST(o_orderkey AS VARCHAR) AS version, strftime(o_orderdate, '%Y-%m-%d') AS published, 'u' || CAST(o_orderkey % 9 AS VARCHAR) AS published_by,
+ strftime(min(o_orderdate) OVER (PARTITION BY o_custkey), '%Y-%m-%d') AS created, CAST(count(*) OVER (PARTITION BY o_custkey) AS INT) AS total_versions FROM orders"""
+
+
+def npm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package document for each supplier, with the supplied parts as versions."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), (F.col("s_suppkey") % 4 + 1).cast("int").alias("n"))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("1."), i.cast("string")))
+    times = F.map_concat(F.create_map(F.lit("created"), F.lit("2020-01-01T00:00:00Z")), F.map_from_arrays(numbers, F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("2020-02-0"), i.cast("string"), F.lit("T00:00:00Z")))))
+    tags = F.create_map(F.lit("latest"), F.concat(F.lit("1."), F.col("n").cast("string")))
+    versions = F.map_from_arrays(numbers, F.transform(numbers, lambda v: F.create_map(F.lit("v"), v)))
+    owners = F.array(F.struct(F.concat(F.lit("m"), F.col("name")).alias("name")))
+    return rows.select("name", F.to_json(F.struct("name", tags.alias("dist-tags"), versions.alias("versions"), times.alias("time"), owners.alias("maintainers"))).alias("value"))
+
+
+def npm_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.npm_registry(npm_documents(spark, sf_dir))
+    return rows.select("name", "version", F.date_format("published_at", "yyyy-MM-dd").alias("published"), F.date_format("package_created_at", "yyyy-MM-dd").alias("created"), F.array_join("maintainers", ",").alias("maintainers"), "total_versions")
+
+
+NPM_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS name, '1.' || CAST(i AS VARCHAR) AS version, '2020-02-0' || CAST(i AS VARCHAR) AS published, '2020-01-01' AS created, 'm' || CAST(s_suppkey AS VARCHAR) AS maintainers,
+ CAST(s_suppkey % 4 + 1 AS INT) AS total_versions FROM supplier, range(1, 5) r(i) WHERE i <= s_suppkey % 4 + 1"""
+
+
+def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest versions that registry documents name: crates of customers, packages of suppliers, PyPI's of parts, NuGet's by the rule."""
+    in_eco = lambda df, eco: df.select(F.lit(eco).alias("ecosystem"), "name", "value")
+    k = F.col("p_partkey")
+    pypi = table(spark, sf_dir, "part").select(k.cast("string").alias("name"), F.when(k % 3 > 0, F.concat(F.lit('{"info":{"version":"'), k.cast("string"), F.lit('"}}'))).otherwise("{}").alias("value"))
+    docs = in_eco(crate_documents(spark, sf_dir), "cargo").unionByName(in_eco(npm_documents(spark, sf_dir), "npm")).unionByName(in_eco(pypi, "pypi"))
+    o = F.col("o_orderkey")
+    listed = table(spark, sf_dir, "orders").select(F.lit("nuget").alias("ecosystem"), F.col("o_custkey").cast("string").alias("name"), F.concat(o.cast("string"), F.when(o % 3 == 0, "-beta").otherwise("")).alias("version"), o.alias("ordinal"))
+    return catalog.documented_latest(docs).unionByName(catalog.latest_version(listed))
+
+
+LATEST_SQL = """SELECT 'cargo' AS ecosystem, CAST(o_custkey AS VARCHAR) AS name, CASE WHEN max(o_orderkey) % 2 = 0 THEN '1.0.' ELSE '2.0.0-' END || CAST(max(o_orderkey) AS VARCHAR) AS latest FROM orders GROUP BY o_custkey
+ UNION ALL SELECT 'npm', CAST(s_suppkey AS VARCHAR), '1.' || CAST(s_suppkey % 4 + 1 AS VARCHAR) FROM supplier
+ UNION ALL SELECT 'pypi', CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey AS VARCHAR) END FROM part
+ UNION ALL SELECT 'nuget', CAST(o_custkey AS VARCHAR), coalesce(CAST(max(o_orderkey) FILTER (o_orderkey % 3 <> 0) AS VARCHAR), CAST(max(o_orderkey) AS VARCHAR) || '-beta') FROM orders GROUP BY o_custkey"""
+
+
+def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the files that documents' verdicts make in the catalog, and the names in them."""
+    digest = F.regexp_replace(F.base64(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), r"[\r\n]", "")
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    rows = docs.select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("@s/p"), F.col("doc_id").cast("string")).alias("name"), F.lit("1").alias("version"), F.struct(F.lit("sha256").alias("algo"), digest.alias("digest_b64")).alias("integrity"), F.lit("clean").alias("status"))
+    at = lambda path: F.get_json_object("content", path)
+    return catalog.documents(rows).select("path", at("$.artifact.name").alias("name"), F.coalesce(at("$.verdict_path"), F.lit("")).alias("verdict_path"), F.coalesce(at("$.status"), F.lit("")).alias("status"))
+
+
+CATALOG_SQL = """WITH d AS (SELECT '@s/p' || CAST(doc_id AS VARCHAR) AS name, 'verdicts/npm/%40s%2Fp' || CAST(doc_id AS VARCHAR) || '/1.json' AS own,
+  'verdicts/by-integrity/sha256/' || substr(sha256(coalesce(text, '')), 1, 2) || '/' || substr(sha256(coalesce(text, '')), 3) || '.json' AS v FROM documents WHERE doc_id IS NOT NULL)
+SELECT v AS path, name, '' AS verdict_path, 'clean' AS status FROM d UNION ALL SELECT own, name, v, '' FROM d"""
+
+
+# --- archives -----------------------------------------------------------------------------------------------------
+
+
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packages_source.entries(packages_source.unpack(planted.archives(spark, sf_dir)))
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_files(spark, sf_dir).select("ecosystem", "source", "path", "kind", F.when(F.col("path").isin(*planted.CODE_FILES), F.sha2("text", 256)).alias("text_sha256"))
+
+
+FILES_OUT_SQL = f"SELECT ecosystem, CAST(i AS VARCHAR) AS source, path, kind, CASE WHEN code THEN sha256(text) END AS text_sha256 FROM ({planted.FILES_SQL})"
+
+
+def package_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packages_source.manifests(archive_files(spark, sf_dir)).select("ecosystem", "source", "name", "version")
+
+
+MANIFESTS_SQL = f"SELECT DISTINCT ecosystem, CAST(i AS VARCHAR) AS source, 'pkg-' || CAST(i AS VARCHAR) AS name, '1.0.' || CAST(i % 7 AS VARCHAR) AS version FROM ({planted.FILES_SQL})"
+
+
+def package_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = archive_files(spark, sf_dir)
+    out = packages_source.lifecycle(files, packages_source.manifests(files))
+    return out.select("ecosystem", "source", "hook", "kind", F.sha2("body", 256).alias("body_sha256"), F.coalesce("path", F.lit("")).alias("path"))
+
+
+HOOKS_SQL = f"""SELECT ecosystem, CAST(i AS VARCHAR) AS source, CASE ecosystem WHEN 'npm' THEN 'postinstall' WHEN 'cargo' THEN 'build' ELSE path END AS hook, 'install_time' AS kind,
+ sha256(CASE ecosystem WHEN 'npm' THEN 'echo ' || CAST(i AS VARCHAR) WHEN 'cargo' THEN 'fn main() {{}}' ELSE text END) AS body_sha256, CASE ecosystem WHEN 'npm' THEN '' ELSE path END AS path
+ FROM ({planted.FILES_SQL}) WHERE path IN ('package.json', 'build.rs', 'setup.py', 'tools/install.ps1')"""
+
+
 BACKFILL_SQL = "SELECT 'npm' AS ecosystem, '@s/' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 3 <> 0 THEN '1.' || CAST(p_size AS VARCHAR) END AS version FROM part WHERE p_partkey % 5 <> 0"
 
 
@@ -502,6 +671,16 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "catalog_missing": (to_analyze, "SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"),
     "catalog_lookup": (lookups, "SELECT o_orderkey, o_custkey AS name, CAST(s_nationkey AS VARCHAR) AS status FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey"),
     "backfill_specs": (backfill, BACKFILL_SQL),
+    "backfill_counts": (backfill_counts, BACKFILL_COUNTS_SQL),
+    "capability_diff_applied": (diff_applied, APPLIED_SQL),
+    "verdict_changes": (verdict_changes, CHANGES_SQL),
+    "registry_cargo": (crate_registry, CRATES_SQL),
+    "registry_npm": (npm_registry, NPM_SQL),
+    "latest_versions": (latest_versions, LATEST_SQL),
+    "catalog_documents": (catalog_documents, CATALOG_SQL),
+    "package_files": (package_files, FILES_OUT_SQL),
+    "package_manifests": (package_manifests, MANIFESTS_SQL),
+    "package_hooks": (package_hooks, HOOKS_SQL),
 }
 QUERIES |= {name: query for name, (query, _) in _MORE.items()}
 ORACLES |= {name: sql for name, (_, sql) in _MORE.items() if sql}

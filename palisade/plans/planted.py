@@ -5,8 +5,14 @@ Each derived table exists twice, as a DataFrame and as DuckDB SQL, from one list
 
 from __future__ import annotations
 
+import io
+import json
+import tarfile
+import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +119,46 @@ def units_sql() -> str:
     out = ", ".join(f"'{k}'" for k in BINARY_KINDS)
     return f"""SELECT ecosystem, name, version, 'entry' AS unit, kind, path AS location, text, mode FROM ({ENTRIES_SQL}) WHERE kind NOT IN ({out})
  UNION ALL SELECT ecosystem, name, version, 'hook', kind, 'package.json#scripts.' || hook, body, NULL FROM ({LIFECYCLE_SQL})"""
+
+
+ARCHIVE = "ecosystem string, source string, content binary"
+ECOSYSTEMS = ["npm", "cargo", "pypi", "nuget"]
+CODE_FILES = ["index.js", "src/lib.rs", "setup.py", "tools/install.ps1"]
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A real archive for each document, of the ecosystem of its id modulo 4, with the document's text as its code."""
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(ECOSYSTEMS[i % 4], str(i), _archive(int(i), t.encode())) for i, t in zip(frame["doc_id"], frame["text"], strict=True)]
+            yield pd.DataFrame(rows, columns=["ecosystem", "source", "content"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInPandas(packed, ARCHIVE)
+
+
+def _archive(i: int, code: bytes) -> bytes:
+    name, version, out = f"pkg-{i}", f"1.0.{i % 7}", io.BytesIO()
+    if i % 4 == 3:
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("x.nuspec", f"<package><metadata><id>{name}</id><version>{version}</version></metadata></package>")
+            z.writestr("tools/install.ps1", code)
+        return out.getvalue()
+    files = [
+        {"package/package.json": json.dumps({"name": name, "version": version, "scripts": {"postinstall": f"echo {i}", "test": "x"}}).encode(), "package/index.js": code},
+        {"c/Cargo.toml": f'[package]\nname = "{name}"\nversion = "{version}"\n'.encode(), "c/src/lib.rs": code, "c/build.rs": b"fn main() {}"},
+        {"s/PKG-INFO": f"Name: {name}\nVersion: {version}\n\n".encode(), "s/setup.py": code},
+    ][i % 4]
+    with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as tar:
+        for path, data in files.items():
+            info = tarfile.TarInfo(path)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+#: The same files as rows: (i, ecosystem, path, kind, code), code: whether the file holds the document's text.
+FILES_SQL = """SELECT doc_id AS i, ['npm', 'cargo', 'pypi', 'nuget'][CAST(doc_id % 4 + 1 AS INT)] AS ecosystem, f.path AS path, f.kind AS kind, f.code AS code, coalesce(text, '') AS text
+ FROM documents, (VALUES (0, 'package.json', 'json', false), (0, 'index.js', 'js_source', true), (1, 'Cargo.toml', 'toml', false), (1, 'src/lib.rs', 'rust_source', true), (1, 'build.rs', 'rust_source', false),
+  (2, 'PKG-INFO', 'text', false), (2, 'setup.py', 'py_source', true), (3, 'x.nuspec', 'text', false), (3, 'tools/install.ps1', 'text', true)) f(eco, path, kind, code) WHERE doc_id IS NOT NULL AND doc_id % 4 = f.eco"""

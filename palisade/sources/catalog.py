@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +33,101 @@ def latest(verdicts: DataFrame, key: list[str] | None = None) -> DataFrame:
     return verdicts.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+#: Buckets that a catalog's keys are dealt to; an upsert reads and writes those that it touches.
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    return hadoop, at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _snapshot(spark: SparkSession, path: str) -> dict[str, str]:
+    """Bucket to folder, as of the last upsert that ended."""
+    hadoop, at, fs = _files(spark, path)
+    current = hadoop.Path(at, "current.json")
+    if not fs.exists(current):
+        return {}
+    return json.loads("".join(r["value"] for r in spark.read.text(current.toString()).collect()))
+
+
+def read(spark: SparkSession, path: str, schema, buckets: list[str] | None = None) -> DataFrame:
+    """The verdicts of the catalog (or some buckets), of which each key has one."""
+    folders = [f for b, f in _snapshot(spark, path).items() if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def upsert(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Adds verdicts to the Parquet catalog at path; the newest of a key stays, and putting one twice changes nothing.
+    """Adds verdicts to the catalog at path; the newest of a key stays, and putting one twice changes nothing.
 
-    The catalog is partitioned by ecosystem. It is rewritten beside the old one, then takes its place.
+    Touched buckets are written to new folders. Then one file that names the folder of every bucket takes the old one's
+    place, so readers see all of an upsert or nothing, and a crash leaves the old catalog. One writer at a time.
     """
-    hadoop, jpath = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    fs = jpath(path).getFileSystem(hadoop)
-    if fs.exists(jpath(path)):
-        new = spark.read.schema(new.schema).parquet(path).unionByName(new)
-    latest(new.dropDuplicates()).write.mode("overwrite").partitionBy("ecosystem").parquet(f"{path}.new")
-    fs.delete(jpath(path), True)
-    fs.rename(jpath(f"{path}.new"), jpath(path))
+    bucket = F.pmod(F.xxhash64(*PACKAGE), F.lit(BUCKETS)).cast("string")
+    new = new.dropDuplicates()
+    touched = [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]
+    if not touched:
+        return
+    run = f"{path}/data/{uuid.uuid4().hex}"
+    both = read(spark, path, new.schema, touched).unionByName(new)
+    latest(both).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(run)
+    _swap(spark, path, _snapshot(spark, path) | {b: f"{run}/_bucket={b}" for b in touched})
+
+
+def _swap(spark: SparkSession, path: str, snapshot: dict[str, str]) -> None:
+    """Makes the snapshot the current one, by one rename."""
+    hadoop, at, fs = _files(spark, path)
+    draft, current = hadoop.Path(at, f"draft-{uuid.uuid4().hex}.json"), hadoop.Path(at, "current.json")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps(snapshot).encode()))
+    out.close()
+    replace = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    replace[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, current, replace)
+
+
+def documents(verdicts: DataFrame) -> DataFrame:
+    """(path, content) of the catalog's files for verdicts with struct columns integrity (algo, digest_b64) and any others.
+
+    Each verdict is a JSON document under its content's path, and a pointer to that under its name.
+    """
+    own = verdicts.withColumn("verdict_path", integrity_path(F.col("integrity.algo"), F.col("integrity.digest_b64")))
+    artifact = F.struct(*PACKAGE, "integrity").alias("artifact")
+    body = F.to_json(F.struct(artifact, *[c for c in verdicts.columns if c not in (*PACKAGE, "integrity")]))
+    pointer = F.to_json(F.struct(artifact, "verdict_path"))
+    files = F.array(F.struct(F.col("verdict_path").alias("path"), body.alias("content")), F.struct(pointer_path(*map(F.col, PACKAGE)).alias("path"), pointer.alias("content")))
+    return own.select(F.explode(files).alias("f")).select("f.*")
+
+
+def write_documents(verdicts: DataFrame, folder: str) -> DataFrame:
+    """Writes the files below the folder (a URI that all executors reach), each by a rename, and gives the index's rows.
+
+    A task that runs twice writes the same files again.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                target = f"{root}/{path}"
+                fs.create_dir(target.rpartition("/")[0], recursive=True)
+                draft = f"{target}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(draft) as out:
+                    out.write(content.encode())
+                fs.move(draft, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    documents(verdicts).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    path = integrity_path(F.col("integrity.algo"), F.col("integrity.digest_b64"))
+    return verdicts.select(F.struct(*PACKAGE, "integrity").alias("artifact"), path.alias("verdict_path"), "status", "analyzed_at")
+
+
+def read_documents(spark: SparkSession, folder: str, fields: str) -> DataFrame:
+    """Verdicts of the JSON documents below the folder; fields: DDL of what they hold besides the artifact. Damaged files are left out."""
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(f"{folder}/verdicts/by-integrity")
+    kind = f"artifact struct<ecosystem:string,name:string,version:string,integrity:struct<algo:string,digest_b64:string>>, {fields}"
+    return text.select(F.from_json("value", kind).alias("v")).where("v.artifact IS NOT NULL").select("v.artifact.*", "v.*").drop("artifact")
 
 
 def lookup(verdicts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -65,6 +154,48 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.groupBy("ecosystem", "name").agg(F.max_by("version", F.struct(~F.col("version").contains("-"), "ordinal")).alias("latest"))
 
 
+def documented_latest(documents: DataFrame, column: str = "value") -> DataFrame:
+    """documents (ecosystem, name, JSON text) of npm, cargo and pypi with the version that each calls its latest, null without one."""
+    at = lambda path: F.get_json_object(column, path)
+    latest_ = F.when(F.col("ecosystem") == "npm", at("$['dist-tags'].latest")).when(F.col("ecosystem") == "cargo", F.coalesce(at("$.crate.max_stable_version"), at("$.crate.max_version")))
+    return documents.select("ecosystem", "name", latest_.when(F.col("ecosystem") == "pypi", at("$.info.version")).alias("latest"))
+
+
+def backfill(items: DataFrame, latest_: DataFrame, verdicts: DataFrame, available: DataFrame) -> DataFrame:
+    """items (ecosystem, name, version, ordinal) with the version meant and what becomes of each.
+
+    An absent version is the latest one; an item without any is missing; one with a verdict, or named before, is already
+    present; of the others those with an archive are analyzed and those without have failed.
+    """
+    rows = items.join(latest_.select("ecosystem", "name", "latest"), ["ecosystem", "name"], "left").withColumn("version", F.coalesce("version", "latest")).drop("latest")
+    rows = rows.join(verdicts.select(*PACKAGE).distinct().withColumn("known", F.lit(True)), PACKAGE, "left")
+    rows = rows.join(available.select(*PACKAGE).distinct().withColumn("there", F.lit(True)), PACKAGE, "left")
+    first = F.row_number().over(Window.partitionBy(*PACKAGE).orderBy("ordinal")) == 1
+    done = F.when(F.col("version").isNull(), "missing").when(F.col("known"), "already_present").when(F.col("there"), F.when(first, "analyzed").otherwise("already_present")).otherwise("failed")
+    return rows.withColumn("outcome", done).drop("known", "there")
+
+
+OUTCOMES = ["analyzed", "already_present", "missing", "failed"]
+
+
+def backfill_counts(outcomes: DataFrame) -> DataFrame:
+    return outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
+
+
+def run_backfill(spark: SparkSession, items: DataFrame, latest_: DataFrame, archives: DataFrame, path: str, schema, analyze: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Analyzes what the catalog at path lacks and adds it; gives the items' outcomes.
+
+    analyze gives verdicts for packages (PACKAGE); one that it gives none for has failed.
+    """
+    outcomes = backfill(items, latest_, read(spark, path, schema), archives)
+    todo = outcomes.where("outcome = 'analyzed'").select(*PACKAGE)
+    new = analyze(todo)
+    done = new.select(*PACKAGE).distinct().withColumn("done", F.lit(True))
+    outcomes = outcomes.join(done, PACKAGE, "left").withColumn("outcome", F.when((F.col("outcome") == "analyzed") & F.col("done").isNull(), "failed").otherwise(F.col("outcome"))).drop("done")
+    upsert(spark, new, path)
+    return outcomes
+
+
 def npm_registry(packuments: DataFrame, column: str = "value") -> DataFrame:
     """Registry rows of npm documents (JSON text): one for each version, with the package's figures."""
     times = F.from_json(F.get_json_object(column, "$.time"), "map<string,string>")
@@ -74,3 +205,13 @@ def npm_registry(packuments: DataFrame, column: str = "value") -> DataFrame:
     out = out.withColumns({"package_created_at": F.to_timestamp(F.col("times")["created"]), "total_versions": F.size("versions")})
     out = out.withColumn("version", F.explode("versions"))
     return out.select(F.lit("npm").alias("ecosystem"), "name", "version", F.to_timestamp(F.col("times")[F.col("version")]).alias("published_at"), "package_created_at", "maintainers", "total_versions")
+
+
+def cargo_registry(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Registry rows of crates' documents (JSON text): one for each version with a time, with the crate's figures; owners are not in them."""
+    kind = "array<struct<num:string,created_at:string,published_by:struct<login:string>>>"
+    at = lambda path: F.get_json_object(column, path)
+    rows = documents.select(F.coalesce(at("$.crate.name"), at("$.crate.id")).alias("name"), F.try_to_timestamp(at("$.crate.created_at")).alias("package_created_at"), F.from_json(at("$.versions"), kind).alias("versions"))
+    rows = rows.withColumn("total_versions", F.size("versions")).withColumn("v", F.explode("versions")).where("v.num IS NOT NULL")
+    out = rows.select(F.lit("cargo").alias("ecosystem"), "name", F.col("v.num").alias("version"), F.try_to_timestamp("v.created_at").alias("published_at"), F.col("v.published_by.login").alias("published_by"), "package_created_at", F.array().cast("array<string>").alias("maintainers"), "total_versions")
+    return out.where("published_at IS NOT NULL")

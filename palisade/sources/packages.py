@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def _tar_files(content: bytes, prefix: str | None) -> Iterator[tuple[str, bytes,
         for m in tar:
             if not m.isfile():
                 continue
-            if ".." in m.name.split("/") or m.name.startswith("/"):
+            if ".." in m.name or m.name.startswith("/"):
                 raise ValueError(f"unsafe path {m.name}")
             first, _, rest = m.name.partition("/")
             if prefix is None:
@@ -56,7 +57,7 @@ def files_of(ecosystem: str, content: bytes) -> Iterator[tuple[str, int, int | N
             members = [(i.filename, i.file_size, None, z.open(i)) for i in z.infolist() if not i.is_dir()]
             members = [m for m in members if not m[0].startswith(NUGET_META) and m[0] != "[Content_Types].xml" and not m[0].startswith(".signature.")]
             for path, size, mode, handle in members:
-                if ".." in path.split("/") or path.startswith("/"):
+                if ".." in path or path.startswith("/"):
                     raise ValueError(f"unsafe path {path}")
                 total, n = total + size, n + 1
                 if size > largest or total > most or n > count:
@@ -157,7 +158,7 @@ def _package_json(text: str) -> dict:
 MANIFEST = "name string, version string, repository string, homepage string, bin map<string,string>, scripts map<string,string>, dependencies map<string,string>, raw string, scan_error string"
 
 
-def _manifest(path: str, text: str):
+def _manifest(path: str, text: str) -> dict:
     try:
         if path == "package.json":
             m = _package_json(text)
@@ -168,17 +169,29 @@ def _manifest(path: str, text: str):
             m = {"name": head.get("Name"), "version": head.get("Version"), "repository": None, "homepage": head.get("Home-page"), "bin": {}, "scripts": {}, "dependencies": {}, "raw": {}}
         else:
             m = _toml_manifest(path, text)
-        return (*[m[k] for k in ("name", "version", "repository", "homepage", "bin", "scripts", "dependencies")], json.dumps(m["raw"], default=str), None)
-    except Exception as error:
-        return (None, None, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:500])
+        text_of = lambda v: v if v is None or isinstance(v, str) else str(v)
+        pairs = lambda d: [(k, text_of(v)) for k, v in d.items()]
+        found = {k: text_of(m[k]) for k in ("name", "version", "repository", "homepage")} | {k: pairs(m[k]) for k in ("bin", "scripts", "dependencies")}
+        return found | {"raw": json.dumps(m["raw"], default=str), "scan_error": None}
+    except Exception as error:  # a damaged manifest is that package's result
+        return {"scan_error": f"{type(error).__name__}: {error}"[:500]}
+
+
+_MAPS = ("bin", "scripts", "dependencies")
+_MANIFEST = pa.struct([(c.split()[0], pa.map_(pa.string(), pa.string()) if c.split()[0] in _MAPS else pa.string()) for c in MANIFEST.split(", ")])
 
 
 def manifests(files: DataFrame) -> DataFrame:
     """(ecosystem, source, manifest columns): one small file of each package is parsed; of PyPI's two the TOML one if it names the package."""
+
+    @F.arrow_udf(MANIFEST)
+    def parsed(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([_manifest(p, t) for p, t in zip(paths.to_pylist(), texts.to_pylist(), strict=True)], _MANIFEST)
+
     eco, path = F.col("ecosystem"), F.col("path")
     rank = F.when((eco == "npm") & (path == "package.json"), 1).when((eco == "cargo") & (path == "Cargo.toml"), 1).when((eco == "nuget") & path.rlike(r"\A[^/]+\.nuspec\z"), 1)
     rank = rank.when((eco == "pypi") & (path == "pyproject.toml"), 1).when((eco == "pypi") & (path == "PKG-INFO"), 2)
-    rows = files.withColumn("rank", rank).where("rank IS NOT NULL AND text IS NOT NULL").withColumn("m", F.udf(_manifest, MANIFEST)("path", "text"))
+    rows = files.withColumn("rank", rank).where("rank IS NOT NULL AND text IS NOT NULL").withColumn("m", parsed("path", "text"))
     best = rows.groupBy("ecosystem", "source").agg(F.min_by("m", F.struct(F.col("m.name").isNull().cast("int"), "rank")).alias("m"))
     return best.select("ecosystem", "source", "m.*")
 

@@ -5,6 +5,7 @@ import json
 import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import history, stage2
@@ -74,9 +75,118 @@ def test_upsert_is_idempotent(spark, tmp_path):
     path = f"file://{tmp_path}/catalog"
     new = spark.sql("SELECT 'npm' ecosystem, 'p' name, '1' version, timestamp'2024-01-01' analyzed_at, 'a' integrity, 'clean' status")
     newer = spark.sql("SELECT 'npm' ecosystem, 'p' name, '1' version, timestamp'2024-01-02' analyzed_at, 'a' integrity, 'block' status")
-    for df in (new, newer, new):
+    other = spark.sql("SELECT 'npm' ecosystem, concat('q', id) name, '1' version, timestamp'2024-01-01' analyzed_at, 'a' integrity, 'clean' status FROM range(200)")
+    for df in (new, newer, other, new, new.limit(0)):
         catalog.upsert(spark, df, path)
-    assert [r["status"] for r in spark.read.parquet(path).collect()] == ["block"]
+    got = {r["name"]: r["status"] for r in catalog.read(spark, path, new.schema).collect()}
+    assert got == {"p": "block"} | {f"q{i}": "clean" for i in range(200)}
+
+
+def test_upsert_leaves_the_old_catalog_when_it_fails(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/catalog"
+    row = lambda status, day: spark.sql(f"SELECT 'npm' ecosystem, 'p' name, '1' version, timestamp'2024-01-0{day}' analyzed_at, 'a' integrity, '{status}' status")
+    catalog.upsert(spark, row("clean", 1), path)
+
+    def lost(*_):
+        raise RuntimeError("lost before the swap")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(catalog, "_swap", lost)
+        with pytest.raises(RuntimeError):
+            catalog.upsert(spark, row("block", 2), path)
+    assert [r["status"] for r in catalog.read(spark, path, row("x", 1).schema).collect()] == ["clean"]
+    catalog.upsert(spark, row("block", 2), path)
+    assert [r["status"] for r in catalog.read(spark, path, row("x", 1).schema).collect()] == ["block"]
+
+
+def test_catalog_documents_round_trip(spark, tmp_path):
+    folder = f"file://{tmp_path}/files"
+    rows = spark.range(20).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("@s/p"), (F.col("id") % 10).cast("string")).alias("name"), F.concat(F.lit("1."), F.col("id").cast("string")).alias("version"), packages.integrity(F.lit("npm"), F.col("id").cast("string").cast("binary")).alias("integrity"), F.lit("warn").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("analyzed_at"))
+    for _ in range(2):
+        index = catalog.write_documents(rows, folder)
+    assert index.count() == 20 and index.first()["verdict_path"].startswith("verdicts/by-integrity/sha512/")
+    back = catalog.read_documents(spark, folder, "status string, analyzed_at string")
+    assert sorted(map(tuple, back.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    pointer = json.loads((tmp_path / "files/verdicts/npm/%40s%2Fp3/1.3.json").read_text())
+    assert pointer["artifact"]["name"] == "@s/p3" and (tmp_path / "files" / pointer["verdict_path"]).exists() and not list((tmp_path / "files").rglob("*.tmp"))
+
+
+def test_backfill(spark, tmp_path):
+    path = f"file://{tmp_path}/catalog"
+    verdicts = spark.sql("SELECT 'npm' ecosystem, 'known' name, '1' version, timestamp'2024-01-01' analyzed_at, 'a' integrity, 'clean' status")
+    catalog.upsert(spark, verdicts, path)
+    items = spark.createDataFrame([("npm", n, v, i) for i, (n, v) in enumerate([("known", "1"), ("known", None), ("new", None), ("new", "2"), ("gone", None), ("no-archive", "1"), ("bad", "1")])], "ecosystem string, name string, version string, ordinal int")
+    latest = spark.createDataFrame([("npm", "known", "1"), ("npm", "new", "2")], "ecosystem string, name string, latest string")
+    archives = spark.createDataFrame([("npm", "new", "2"), ("npm", "bad", "1")], "ecosystem string, name string, version string")
+    analyze = lambda df: df.where("name <> 'bad'").withColumns({"analyzed_at": F.lit("2024-01-02").cast("timestamp"), "integrity": F.lit("b"), "status": F.lit("warn")})
+    outcomes = catalog.run_backfill(spark, items, latest, archives, path, verdicts.schema, analyze)
+    assert {r["ordinal"]: r["outcome"] for r in outcomes.collect()} == {0: "already_present", 1: "already_present", 2: "analyzed", 3: "already_present", 4: "missing", 5: "failed", 6: "failed"}
+    assert tuple(catalog.backfill_counts(outcomes).first()) == (1, 3, 1, 2)
+    assert {(r["name"], r["status"]) for r in catalog.read(spark, path, verdicts.schema).collect()} == {("known", "clean"), ("new", "warn")}
+
+
+def test_unsafe_paths_and_damaged_manifests(spark):
+    rows = [("npm", "1", tgz({"package/a..b": b"x"})), ("nuget", "2", nupkg({"a/..b": b"x"})), ("npm", "3", tgz({"package/package.json": b"{"})), ("cargo", "4", tgz({"c/Cargo.toml": b"= x"}))]
+    unpacked = packages.unpack(spark.createDataFrame(rows, "ecosystem string, source string, content binary")).cache()
+    assert {r["source"] for r in unpacked.where("scan_error IS NOT NULL").collect()} == {"1", "2"}
+    assert {r["source"]: r["name"] for r in packages.manifests(packages.entries(unpacked)).where("scan_error IS NOT NULL").collect()} == {"3": None, "4": None}
+
+
+def test_applied_differences(spark):
+    rows = [("clean", [], 0), ("clean", ["net_dns"], 0), ("clean", ["net_dns", "crypto_miner"], 0), ("suspicious", ["net_dns"], 3), ("malicious", ["net_dns"], 12)]
+    key = [("npm", str(i), "1") for i in range(len(rows) + 1)]
+    own = spark.createDataFrame([(*k, s, v, False) for k, (v, _, s) in zip(key, [*rows, ("clean", None, 1)], strict=True)], "ecosystem string, name string, version string, score long, verdict string, deferring boolean")
+    diffed = spark.createDataFrame([(*k, "produced", c) for k, (_, c, _) in zip(key, rows, strict=False)], "ecosystem string, name string, version string, outcome string, introduced array<string>")
+    got = {int(r["name"]): (r["score"], r["verdict"], r["deferring"], r["outcome"]) for r in history.applied(own, diffed).collect()}
+    assert got == {0: (0, "clean", False, "produced"), 1: (5, "suspicious", True, "produced"), 2: (15, "malicious", True, "produced"), 3: (8, "suspicious", True, "produced"), 4: (17, "malicious", True, "produced"), 5: (1, "clean", False, "not_attempted")}
+
+
+def test_truncation_counts_bytes(spark):
+    texts = ["abc", "abcdef", "ééé", "a😀b", "日本語", "aé日"]
+    got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(stage2.truncated(F.col("t"), 5).alias("t")).collect()]
+
+    def cut(t):
+        data, end = t.encode(), 5
+        if len(data) <= 5:
+            return t
+        while data[end] & 0xC0 == 0x80:
+            end -= 1
+        return f"{data[:end].decode()}…[truncated {len(data) - end} bytes]"
+
+    assert got == [cut(t) for t in texts]
+
+
+def test_message_has_all_sections(spark):
+    key = "ecosystem string, name string, version string"
+    s1 = spark.createDataFrame([("npm", "p", "1", 5, "suspicious", True)], f"{key}, score long, verdict string, deferring boolean")
+    findings = spark.createDataFrame([("npm", "p", "1", n, "NPM002", "high", "other", f"f{n}", "x" * 3000, "m", True, ["net_http"]) for n in range(90)], f"{key}, ordinal int, rule_id string, severity string, category string, location string, excerpt string, message string, defers boolean, capabilities array<string>")
+    hooks = spark.createDataFrame([("npm", "p", "1", "postinstall", "install_time", "node x.js", None)], f"{key}, hook string, kind string, body string, path string")
+    manifests = spark.sql("SELECT 'npm' ecosystem, 'p' name, '1' version, 'https://r' repository, cast(null AS string) homepage, map('b', './b', 'a', './a') bin, map('d', '1') dependencies")
+    registry = spark.sql("SELECT 'npm' ecosystem, 'p' name, '1' version, timestamp'2024-01-30' published_at, cast(null AS timestamp) package_created_at, 'me' published_by, transform(sequence(1, 9), i -> concat('o', i)) maintainers, 4 total_versions")
+    about = stage2.manifest_summary(manifests), stage2.registry_summary(registry, F.lit("2024-02-01").cast("timestamp"))
+    row = stage2.user_message(stage2.contexts(s1, findings, hooks, *about)).first()
+    m = row["message"]
+    titles = ["=== First stage ===", "=== Manifest ===", "=== Registry ===", "=== Install hooks ===", "=== Findings ==="]
+    assert [m.index(t) for t in titles] == sorted(m.index(t) for t in titles) and m.startswith(stage2.TASK) and m.endswith(stage2.ADVICE)
+    assert "stage1_findings: 90\n" in m and "repository: https://r\nbin:\n  - a: ./a\n  - b: ./b\ndependency_count: 1\n" in m and "homepage" not in m
+    assert "(2 days ago)" in m and "maintainers (9): o1, o2, o3, o4, o5, o6, o7, o8, …\ntotal_versions: 4\n" in m and "…[truncated 1976 bytes]" in m
+    own = 1024 + len("…[truncated 1976 bytes]".encode()) + len("NPM002") + 1 + len("f0") + 64
+    assert 60_000 < row["approx_chars"] <= 60_000 + own + 1 and len(row["excerpts"]) < 60
+    plain = stage2.user_message(stage2.contexts(s1, findings, hooks)).first()["message"]
+    assert "Manifest" not in plain and "Registry" not in plain
+
+
+def test_streaming_budget(spark, tmp_path):
+    """The stream's state gives what the batch form gives."""
+    rows = [("a" if i % 3 else "b", 1_700_000_000 + 60 * i, i, 50 + i % 40, 45 + i % 50, i % 30) for i in range(300)]
+    calls = spark.createDataFrame(rows, "pool string, ts long, call_id long, est_in long, used_in long, used_out long").selectExpr("pool", "timestamp_seconds(ts) ts", "call_id", "est_in", "used_in", "used_out")
+    for k in range(3):
+        calls.where(f"call_id div 100 = {k}").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    caps = stage2.Caps(600, 400, 3_000, 2_000, 40)
+    stream = spark.readStream.schema(calls.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    query = feed.budget(stream, caps).writeStream.format("memory").queryName("admitted").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("admitted").collect())) == sorted(map(tuple, stage2.greedy_budget(calls, caps).collect()))
 
 
 def test_specs(spark):
