@@ -44,7 +44,7 @@ BUCKETS, CHUNK = 1 << 20, 1 << 15
 #: Lists up to this length give their pairs, which a sketch of each class then sifts; longer ones a pivot.
 PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
 #: Classes compared in one group; leaders that the blocks of a larger group share (as expected).
-BLOCK, LEADERS = 192, 12
+BLOCK, LEADERS = 128, 12
 #: Rows that a list may have, by the counts of its elements, for it to be sorted in one task.
 LISTED = 100_000
 #: Bits of the table that tells whose texts are needed (8 MB, fixed), and salts that spread the rows of one key.
