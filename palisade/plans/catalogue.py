@@ -287,13 +287,42 @@ UNLISTED_SQL = f"""WITH p AS ({planted.ENTRIES_SQL}) SELECT {_found_sql("NPM021"
  WHERE ecosystem = 'npm' AND CAST(substr(name, 5) AS BIGINT) % 17 = 5 AND lower(path) NOT IN ({", ".join(map(_quoted, fixed.IMPLICIT_FILES))})"""
 
 
+def _planted_sql(plant: str, *found) -> str:
+    """What one plant gives, wherever it is: an expectation that doesn't come from the rule's pattern."""
+    slot = next(i for i, p in enumerate(planted.PLANTS) if p.text == plant)
+    return _with_units(f"SELECT {_found_sql(*found)} FROM units WHERE unit = 'entry' AND CAST(substr(name, 5) AS BIGINT) % {planted.MODULUS} = {slot}")
+
+
+#: Rules whose hits in comments and strings don't count: of their plants the one in code is found, the other one isn't.
+CODE_ONLY_SQL = {
+    "NPM015": _planted_sql("x = [104, 116, 116, 112]", "NPM015", "critical", "obfuscation", "location", "'104, 116, 116, 112'", False, "encoded_payload"),
+    "NPM018": _planted_sql("fs.unlinkSync(__filename)", "NPM018", "critical", "persistence", "location", "'fs.unlinkSync(__filename'", False, "fs_read,self_delete"),
+    "NPM038": _planted_sql("delete require.cache['x']", "NPM038", "high", "obfuscation", "location", "'delete require.cache['", True, "dynamic_eval,dynamic_require"),
+    "NPM039": _planted_sql("fs.rmSync(os.homedir(), { recursive: true })", "NPM039", "critical", "persistence", "location", "'fs.rmSync(os.homedir(), { recursive: true … os.homedir('", False, "destructive_fs"),
+    "NPM044": _planted_sql("process.binding('fs')", "NPM044", "high", "obfuscation", "location", "'process.binding('", True, "dynamic_eval,v8_internal"),
+}
+BLOBS_SQL = _planted_sql("eval(x); y = '" + planted.BLOB + "'", "NPM005", "critical", "obfuscation", "location", "'…' || substr(text, 1, 200) || '…'", False, "dynamic_eval,encoded_payload")
+
+
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(rules.blob_near_execution(scanned(spark, sf_dir)))
 
 
 def unicode_tricks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tricky = F.concat("text", F.element_at(rules.strings(["", "‮ x", "a​b", " vаlue "]), (F.pmod(F.xxhash64("name"), F.lit(4)) + 1).cast("int")))
-    return shown(rules.hidden_unicode(scanned(spark, sf_dir).withColumn("text", tricky)))
+    """Every second, third and fourth file gets a control, an invisible character or an identifier of two alphabets at its end."""
+    k = F.substring("name", 5, 20).cast("long") % 4
+    tricky = F.concat("text", F.element_at(rules.strings(["", "\u202e x", "a\u200bb", " v\u0430lue "]), (k + 1).cast("int")))
+    return shown(rules.hidden_unicode(scanned(spark, sf_dir).where("unit = 'entry'").withColumn("text", tricky)))
+
+
+_LETTER, _OTHER = r"[\p{L}\p{N}_$]", r"[^\P{L}\x00-\x7F]"
+_MIXED = f"{_LETTER}*(?:[A-Za-z]{_LETTER}*{_OTHER}|{_OTHER}{_LETTER}*[A-Za-z]){_LETTER}*"
+_UNQUOTED = """regexp_replace(t, '"[^"]*("|$)|''[^'']*(''|$)|`[^`]*(`|$)', ' ', 'g')"""
+UNICODE_SQL = _with_units(f""", q AS (SELECT *, CAST(substr(name, 5) AS BIGINT) % 4 AS k FROM units WHERE unit = 'entry'), r AS (SELECT *, text || ['', chr(8238) || ' x', 'a' || chr(8203) || 'b', ' v' || chr(1072) || 'lue '][CAST(k + 1 AS INT)] AS t FROM q),
+ m AS (SELECT *, {_UNQUOTED} AS u FROM r WHERE kind = 'js_source')
+ SELECT {_found_sql("NPM022", "critical", "obfuscation", "location", "'bidi override U+202E at offset ' || CAST(strlen(text) AS VARCHAR)", False, "trojan_source")} FROM r WHERE k = 1
+ UNION ALL SELECT {_found_sql("NPM022", "high", "obfuscation", "location", "'zero-width U+200B at offset ' || CAST(strlen(text) + 1 AS VARCHAR)", True, "trojan_source")} FROM r WHERE k = 2
+ UNION ALL SELECT {_found_sql("NPM022", "high", "obfuscation", "location", f"regexp_extract(u, '{_MIXED}')", True, "trojan_source")} FROM m WHERE regexp_matches(u, '{_MIXED}')""")
 
 
 def time_bombs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +388,7 @@ FLAGS = {"AF": "self_delete", "NF": "crypto_miner", "NO": "net_http", "RF": "net
 def diff_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First stage verdicts of the orders as versions, after NPM030."""
     named = F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair])
-    versions = order_versions(spark, sf_dir).withColumn("capabilities", F.transform("capabilities", lambda c: named[c]))
+    versions = order_versions(spark, sf_dir).withColumn("capabilities", F.transform("capabilities", lambda c: F.coalesce(named[c], c)))
     versions = versions.withColumn("k", F.col("version"))
     verdict = F.when(F.col("k") % 11 == 0, "malicious").when(F.col("k") % 3 == 0, "clean").otherwise("suspicious")
     own = versions.select(*rules.PACKAGE, (F.col("k") % 12).alias("score"), verdict.alias("verdict"), (F.col("k") % 2 == 0).alias("deferring"))
@@ -367,9 +396,9 @@ def diff_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(c).cast("string").alias(c) for c in ("name", "version")], "score", "verdict", "deferring", "outcome", F.array_join(F.sort_array("introduced"), ",").alias("introduced"))
 
 
-_NAMES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FLAGS.items()) + " END"
+_NAMES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FLAGS.items()) + " ELSE c END"
 APPLIED_SQL = f"""{STRICT_SQL.removesuffix(_OUTCOME_SQL)}, d AS (SELECT *, {_APPLIED} AS new FROM b),
- e AS (SELECT *, len(list_filter(new, lambda c: c IN ('AF', 'NF'))) AS hard, len(list_filter(new, lambda c: c IN ('NO', 'RF'))) AS soft,
+ e AS (SELECT *, len(list_filter(new, lambda c: c IN ('AF', 'NF'))) AS hard, len(list_filter(new, lambda c: c NOT IN ('AF', 'NF'))) AS soft,
    CASE WHEN version % 11 = 0 THEN 'malicious' WHEN version % 3 = 0 THEN 'clean' ELSE 'suspicious' END AS was FROM d)
 SELECT CAST(name AS VARCHAR) AS name, CAST(version AS VARCHAR) AS version, version % 12 + 10 * hard + 5 * soft AS score, CASE WHEN hard > 0 THEN 'malicious' WHEN soft > 0 AND was = 'clean' THEN 'suspicious' ELSE was END AS verdict,
   version % 2 = 0 OR soft > 0 AS deferring,
@@ -639,18 +668,19 @@ BACKFILL_SQL = "SELECT 'npm' AS ecosystem, '@s/' || CAST(p_partkey AS VARCHAR) A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"rule_{r.id.lower()}": one_rule(r) for r in TEXT_RULES}
 ORACLES: dict[str, str] = {f"rule_{r.id.lower()}": _with_units(rule_sql(r)) for r in PLAIN}
+ORACLES |= {f"rule_{rule.lower()}": sql for rule, sql in CODE_ONLY_SQL.items()}
 _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "stage1_verdicts": (stage1_verdicts, None),
     "stage1_plain_verdicts": (stage1_plain_verdicts, STAGE1_SQL),
     "all_findings": (all_findings, None),
     "rule_presence": (presence, PRESENCE_SQL),
-    "rule_npm005_blob_near_execution": (blobs, None),
+    "rule_npm005_blob_near_execution": (blobs, BLOBS_SQL),
     "rule_npm009_native_binaries": (native_binaries, NATIVE_SQL),
     "rule_npm012_bundled": (bundled, BUNDLED_SQL),
     "rule_npm014_lookalikes": (lookalikes, LOOKALIKES_SQL),
     "rule_npm016_recency": (recency, RECENCY_SQL),
     "rule_npm021_unlisted_files": (unlisted, UNLISTED_SQL),
-    "rule_npm022_hidden_unicode": (unicode_tricks, None),
+    "rule_npm022_hidden_unicode": (unicode_tricks, UNICODE_SQL),
     "rule_npm028_time_bombs": (time_bombs, TIME_SQL),
     "rule_npm046_setuid": (setuid, SETUID_SQL),
     "rule_npm050_minified": (minified, MINIFIED_SQL),
