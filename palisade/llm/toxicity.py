@@ -100,8 +100,8 @@ class Model:
 
 
 def in_training(doc_id: Column) -> Column:
-    """Rows that labels may be learnt from."""
-    return F.crc32(doc_id.cast("string")) % 4 != 2
+    """Rows that labels may be learnt from; a row without id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(True))
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,6 +123,7 @@ def test_toxicity_learns(spark):
     got = {r["doc_id"]: r for r in toxicity.add_scores(table.withColumn("Score", F.lit("x")), model).collect()}
     assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(200)) and got[900]["predicted"] == got[901]["predicted"] == 0 and got[902]["predicted"] == 1
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert [r["t"] for r in spark.sql("SELECT cast(null AS long) i").select(toxicity.in_training(F.col("i")).alias("t")).collect()] == [True]
     none = toxicity.fit(table, labels.where("toxic = 0"))
     assert {r["predicted"] for r in toxicity.add_scores(table, none).collect()} == {0}
 
