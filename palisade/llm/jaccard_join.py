@@ -44,7 +44,7 @@ BUCKETS, CHUNK = 1 << 20, 1 << 15
 #: Lists up to this length give their pairs, which a sketch of each class then sifts; longer ones a pivot.
 PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
 #: Classes compared in one group; leaders that the blocks of a larger group share (as expected).
-BLOCK, LEADERS = 128, 12
+BLOCK, LEADERS = 64, 8
 #: Rows that a list may have, by the counts of its elements, for it to be sorted in one task.
 LISTED = 100_000
 #: Bits of the table that tells whose texts are needed (8 MB, fixed), and salts that spread the rows of one key.
@@ -297,40 +297,14 @@ def _sifted(pairs: DataFrame, indexed: DataFrame, num: int, den: int) -> DataFra
     return pairs.where(F.coalesce(differ <= total - 2 * F.ceil(total * num / (num + den)), F.lit(True))).select("x", "y")
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(MARKS)
-
-
-def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(MARKS // 8, dtype=np.uint8)
-    for batch in batches:
-        at = _bit(batch.column(0).to_numpy(zero_copy_only=False))
-        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-    parts = bits.reshape(-1, CHUNK)
-    used = np.flatnonzero(parts.any(axis=1))
-    if len(used):
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used.tolist(), pa.int32()), "bits": [zlib.compress(parts[i].tobytes(), 1) for i in used]})
-
-
-def _either(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CHUNK, np.uint8)
-    for b in frame["bits"]:
-        total |= np.frombuffer(zlib.decompress(b), dtype=np.uint8)
-    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "bits": [total.tobytes()]})
-
-
 def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of texts (rep, text) whose rep is among the ids, and a few more, with their texts packed: a table of bits (fixed size) spares most others the way."""
-    bits = np.zeros((MARKS // 8 // CHUNK, CHUNK), dtype=np.uint8)
-    for row in ids.mapInArrow(_marked, "chunk int, bits binary").groupBy("chunk").applyInPandas(_either, "chunk int, bits binary").collect():
-        bits[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    table = texts.sparkSession.sparkContext.broadcast(bits.reshape(-1))
-
-    @F.arrow_udf("boolean")
-    def wanted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for ids_ in batches:
-            at = _bit(ids_.to_numpy(zero_copy_only=False))
-            yield pa.array((table.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+    """Rows of texts (rep, text) whose rep is among the ids, and a few more, with their texts packed.
+
+    A table of MARKS bits spares most others the way: MARKS / 64 rows at most, so it may be broadcast at any size.
+    """
+    at = F.pmod(F.xxhash64("rep", F.lit(6)), F.lit(MARKS))
+    word, bit = F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, int(pmod(xxhash64(rep, 6), 64)))")
+    marks = ids.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
     @F.arrow_udf("binary")
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -338,7 +312,8 @@ def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.array([press((x.as_py() or "").encode()) for x in batch], pa.binary())
 
-    return texts.where(wanted("rep")).withColumn("text", packed("text"))
+    found = texts.select("rep", "text", word).join(F.broadcast(marks), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return found.select("rep", packed("text").alias("text"))
 
 
 GROUP = ["pivot", "i", "j"]
