@@ -32,8 +32,3 @@ def inside_token(text: Column, at: Column) -> Column:
 def outside_tokens(text: Column, places: Column) -> Column:
     """Those of the spans that begin in code; the tokens are found once."""
     return given(tokens(text), lambda ts: F.filter(places, lambda p: ~F.exists(ts, lambda t: (p["start"] >= t["start"]) & (p["start"] < t["end"]))))
-
-
-def without_strings(text: Column) -> Column:
-    """The text with a blank for each comment, string and template."""
-    return F.regexp_replace(text, TOKEN, " ")
