@@ -41,6 +41,8 @@ from palisade.llm.token_counts import slices
 
 #: Buckets of the table that tells rare elements from frequent ones (fixed, so it may be broadcast).
 BUCKETS, CHUNK = 1 << 20, 1 << 15
+#: Partitions whose tables are summed in one group, before the sums are summed.
+GATHERED = 128
 #: Lists up to this length give their pairs, which a sketch of each class then sifts; longer ones a pivot.
 PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
 #: Classes compared in one group; leaders that the blocks of a larger group share (as expected).
@@ -100,22 +102,24 @@ def _bucket_counts(size: int):
                 sizes += np.bincount([min(len(s), CHUNK - 1) for s in sets], minlength=CHUNK)
         if sizes.any():
             parts = [*counts.reshape(-1, CHUNK), sizes]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+            own = TaskContext.get().partitionId() // GATHERED
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "part": pa.array([own] * len(parts), pa.int32()), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
     return of
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:
     total = sum((np.frombuffer(zlib.decompress(b), dtype=np.int64) for b in frame["counts"]), np.zeros(CHUNK, np.int64))
-    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [total.tobytes()]})
+    return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "part": frame["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The tables over all documents; BUCKETS and CHUNK entries, whatever the corpus."""
-    parts = docs.select(text).mapInArrow(_bucket_counts(size), "chunk int, counts binary")
+    schema = "chunk int, part int, counts binary"
+    parts = docs.select(text).mapInArrow(_bucket_counts(size), schema).groupBy("chunk", "part").applyInPandas(_summed, schema)
     out = np.zeros((BUCKETS // CHUNK + 1, CHUNK), dtype=np.int64)
-    for row in parts.groupBy("chunk").applyInPandas(_summed, "chunk int, counts binary").collect():
-        out[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int64)
+    for row in parts.groupBy("chunk").applyInPandas(_summed, schema).collect():
+        out[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     return out[:-1].reshape(-1), out[-1]
 
 

@@ -342,6 +342,13 @@ def test_join_is_complete(spark, monkeypatch, num, den, size, block):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+def test_counts_are_summed_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GATHERED", 2)
+    table = spark.createDataFrame([(t,) for _, t in corpus()], "text string")
+    one, many = (jaccard_join.frequencies(table.repartition(n), "text", 3) for n in (1, 9))
+    assert (one[0] == many[0]).all() and (one[1] == many[1]).all() and one[0].sum() > 0
+
+
 def test_join_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "x y z w"), (2, "a b c d"), (3, "x y z w"), (None, "a b c d"), (2, "a b c d")]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit(1)).withColumn("rep", F.lit(2))
