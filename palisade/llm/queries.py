@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import byte_bpe, cover_search, jaccard_join, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
+from palisade.llm import byte_bpe, cover_search, divergence, filter_audit, jaccard_join, license_scan, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
 from palisade.llm.common import table, written
 
 #: Parameters of the queries.
@@ -116,6 +116,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda x: x["phrase"])
+    out = out.withColumn("base", F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["label"].alias("label"))))
+    return out.select(
+        "doc_id", "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.get("base", F.lit(0))["start"].alias("first_word"),
+        F.get("base", F.size("base") - 1)["start"].alias("last_word"),
+        license_scan.labels_of(F.col("base")).alias("base_labels"),
+        license_scan.labels_of(F.col("places")).alias("labels"),
+        "score",
+    )
+
+
 def _shard_sql() -> str:
     listed = ",".join(map(str, sharding.filled(SHARDS)))
     return f"""
@@ -150,6 +173,49 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+ v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+ n AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM n JOIN v USING (lang)),
+ l AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY lang, term),
+ q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM l JOIN v USING (lang)),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ f AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+ m AS (SELECT t.doc_id, part,
+    list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN len(w) < 200 WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+        WHEN 'C' THEN 100 * len(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 2 * len(t.text) WHEN 'D' THEN regexp_matches(t.text, '[#$%&*|]')
+        ELSE coalesce(t.doc_id > first, false) END) AS fails FROM t JOIN f ON f.text = t.text),
+ y AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+ c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN y ON y.doc_id = m.doc_id GROUP BY part, fails),
+ e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM e a, e b, e c, e d, e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ s AS (SELECT filter_order, step, filter_order[step] AS x, string_split(filter_order[1:step - 1], '') AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+ z AS (SELECT part, filter_order, step, n, good, toxic, list_contains(fails, x) AS failing, list_has_any(fails, before) AS gone, len(fails) AS k FROM c, s)
+SELECT part, filter_order, CAST(step AS INT) AS step,
+    CAST(sum(CASE WHEN gone OR failing THEN 0 ELSE n END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN failing AND k = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN failing AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+    CAST(sum(CASE WHEN failing THEN n * 120 // k ELSE 0 END) AS BIGINT) AS shapley
+FROM z GROUP BY part, filter_order, step"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -162,8 +228,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_license_scan": op13_license_scan,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": _shard_sql(), "op5_url_filters": URL_SQL, "op5_url_families": FAMILIES_SQL, "op6_top_k": TOP_K_SQL}
+    return {"op4_sharding": _shard_sql(), "op5_url_filters": URL_SQL, "op5_url_families": FAMILIES_SQL, "op6_top_k": TOP_K_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_filter_audit": AUDIT_SQL}
