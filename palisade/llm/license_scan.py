@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import fresh, masked, text_or_empty, unmasked
+from palisade.llm.common import fresh, masked, text_or_empty, unmasked, written
 
 #: Words of the k-grams of phrases and of other templates.
 SHORT, LONG = 2, 4
@@ -129,7 +129,8 @@ def scan(docs: DataFrame, text: str = "text", templates: list[Template] | None =
     own = of[text]
     spans = verified_spans(votes(inner, own, templates or TEMPLATES))
     taken = F.when(F.col("share") >= F.col("least"), F.struct("start", "end", "label", "share", "phrase"))
-    found = spans.groupBy("blob").agg(F.sort_array(F.collect_list(taken)).cast(FOUND).alias("places"), F.max("share").alias("score"))
+    # A table of the texts that have hits: the join with all rows is then free to split a text of which there are many copies.
+    found = written(spans.groupBy("blob").agg(F.sort_array(F.collect_list(taken)).cast(FOUND).alias("places"), F.max("share").alias("score")), "licenses")
     out = inner.withColumns({"blob": F.sha2(text_or_empty(own), 256), "n_words": F.size(license_words(own)).cast("long")}).join(found, "blob", "left")
     out = out.withColumns({"places": F.coalesce("places", F.array().cast(FOUND)), "score": F.coalesce("score", F.lit(0.0))})
     return unmasked(out, of, "n_words", "places", "score")
