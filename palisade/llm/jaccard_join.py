@@ -10,9 +10,11 @@ Short lists give their pairs, sifted by sketches that bound how much two sets di
 cluster; each longer list names a pivot. Lists that may be very long (by a bound known before they are made) are never
 sorted whole: their histograms by size give the same pivots. All members of a pivot's lists or pairs meet in one group
 or, beyond BLOCK members, in blocks that share some leaders. There sets are compared exactly; pairs that are connected
-already, or that a bitmap rules out, are not compared at all. Blocks meet each other only where members are still in
-different components afterwards: those outside a pivot's largest component meet all others. Components come from
-those links.
+already, or that a bitmap rules out, are not compared at all. Where members are still in different components afterwards, those
+outside a pivot's largest component meet all others, but by their sketches: 64 bytes each, in blocks of up to WIDE members, of which
+only pairs that the sketches don't rule out move their texts. So templates, documents alike but not alike enough, cost what their sketches cost.
+Sets too large for their sketches to say much, and members with more than FEW possible partners, meet by their texts, block
+by block. Components come from those links.
 
 Ids must be integers (text ids that are no numbers fail). A row without doc_id keeps its size and has no component.
 Null or empty texts have empty sets, linked with nothing. Repeated rows are copies; of equal ids with different texts
@@ -47,6 +49,9 @@ GATHERED = 128
 PAIRED, SKETCH = 8, 8  # 64-bit words of a sketch
 #: Classes compared in one group; leaders that the blocks of a larger group share (as expected).
 BLOCK, LEADERS = 64, 8
+#: Members of a block whose sketches are compared, partners up to which a member's texts are compared with it alone, and how
+#: many elements two linked sets may differ in for sketches to be worth comparing (a fifth of the sketch's bits).
+WIDE, FEW, TELLING = 16_384, 32, 96
 #: Rows that a list may have, by the counts of its elements, for it to be sorted in one task.
 LISTED = 100_000
 #: Bits of the table that tells whose texts are needed (8 MB, fixed), and salts that spread the rows of one key.
@@ -189,7 +194,7 @@ def _links(num: int, den: int, size: int):
     """
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["rep", "text"])
+        frame = frame.drop_duplicates(["rep", "text", "class", "more", "side"])
         unpack = zstandard.ZstdDecompressor().decompress
         texts = [unpack(t).decode() for t in frame["text"]]
         rows = {}  # an id may have other texts than its class's
@@ -288,12 +293,16 @@ def _hot_lists(indexed: DataFrame, num: int, den: int) -> DataFrame:
     return salted.join(sums, ["key", "n", "salt"]).select(F.col("pivot").alias("x"), F.col("class").alias("y"), F.lit(True).alias("long"))
 
 
-def _sifted(pairs: DataFrame, indexed: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) that their sketches don't rule out. Two sets that share a class's number, if ever, have no sketch."""
-    words_ = [f"s{i}" for i in range(SKETCH)]
-    firsts = indexed.where("sketch IS NOT NULL")
+def _drawn(indexed: DataFrame) -> DataFrame:
+    """(class, n, s0, s1, ..): each class's size and sketch. Two sets that share a class's number, if ever, have no sketch."""
     same = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
-    drawn = firsts.groupBy("class").agg(same(F.col("n")).alias("n"), *[same(F.col("sketch")[i]).alias(w) for i, w in enumerate(words_)])
+    firsts = indexed.where("sketch IS NOT NULL")
+    return firsts.groupBy("class").agg(same(F.col("n")).alias("n"), *[same(F.col("sketch")[i]).alias(f"s{i}") for i in range(SKETCH)])
+
+
+def _sifted(pairs: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that their sketches don't rule out."""
+    words_ = [f"s{i}" for i in range(SKETCH)]
     side = lambda name: drawn.toDF(name, *[f"{c}_{name}" for c in drawn.columns[1:]])
     pairs = pairs.join(side("x"), "x").join(side("y"), "y")
     differ = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words_[1:]), F.bit_count(F.col("s0_x").bitwiseXOR(F.col("s0_y"))))
@@ -301,6 +310,34 @@ def _sifted(pairs: DataFrame, indexed: DataFrame, num: int, den: int) -> DataFra
     return pairs.where(F.coalesce(differ <= total - 2 * F.ceil(total * num / (num + den)), F.lit(True))).select("x", "y")
 
 
+def _possible(num: int, den: int):
+    """Pairs (x, y) of classes of one group (class, more, n, s0.., side, comp, outside) that their sketches don't rule out, from the view of those outside.
+
+    One with more than FEW partners comes once, with no y: it is compared by texts. A class is two numbers, (x, x2) and (y, y2).
+    """
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["class", "more", "side"]).sort_values(["n", "class", "more"])
+        n, side, comp, class_, more = (frame[c].to_numpy(np.int64) for c in ("n", "side", "comp", "class", "more"))
+        sketch = np.ascontiguousarray(frame[[f"s{i}" for i in range(SKETCH)]].to_numpy(np.int64).view(np.uint64))
+        across = len(set(side.tolist())) > 1
+        out = []
+        for i in np.flatnonzero(frame["outside"].to_numpy(bool)).tolist():
+            a, b = np.searchsorted(n, -(-num * n[i] // den)), np.searchsorted(n, den * n[i] // num, side="right")
+            near = comp[a:b] != comp[i]
+            if across:
+                near &= side[a:b] != side[i]
+            at = np.flatnonzero(near) + a
+            total = n[at] + n[i]
+            differ = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            at = at[differ <= total - 2 * ((num * total + num + den - 1) // (num + den))]
+            own = int(class_[i]), int(more[i])
+            out += [(*own, None, None)] if len(at) > FEW else [(*own, int(class_[j]), int(more[j])) for j in at.tolist()]
+        return pd.DataFrame(out, columns=["x", "x2", "y", "y2"]).astype("Int64")
+
+    return of
+
+
 def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of texts (rep, text) whose rep is among the ids, and a few more, with their texts packed.
 
@@ -344,6 +381,33 @@ def _each(blocks: Column) -> Column:
     return F.sequence(F.lit(0), blocks - 1)
 
 
+def _meeting(members: DataFrame, block: int) -> DataFrame:
+    """members (pivot, rep, outside, ..) in the groups (i, j) in which those outside meet each other and all others of their pivot; side tells who meets whom.
+
+    Pivots without members outside have no groups.
+    """
+    counts = members.groupBy("pivot").agg(F.count_if("outside").alias("k"), F.count(F.lit(1)).alias("m")).where("k > 0")
+    blocks = counts.select("pivot", F.ceil(F.col("k") / block).cast("int").alias("outer"), F.ceil((F.col("m") - F.col("k")) / block).cast("int").alias("inner"))
+    rows = _salted(members, blocks).where("outer IS NOT NULL")
+    rows = rows.withColumn("at", F.when(F.col("outside"), _dealt(F.col("rep"), F.col("outer"))).otherwise(_dealt(F.col("rep"), F.greatest(F.col("inner"), F.lit(1)))))
+    group = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    me = F.col("at")
+    others = F.transform(_each(F.col("outer")), lambda b: group(F.least(me, b), F.greatest(me, b), F.when(me <= b, 0).otherwise(1)))
+    inners = F.when(F.col("inner") > 0, F.transform(_each(F.greatest(F.col("inner"), F.lit(1))), lambda b: group(me, -b - 1, F.lit(0)))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    outers = F.transform(_each(F.col("outer")), lambda b: group(b, -me - 1, F.lit(1)))
+    rows = rows.withColumn("g", F.explode(F.when(F.col("outside"), F.concat(others, inners)).otherwise(outers)))
+    return rows.select("*", "g.i", "g.j", "g.side")
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """pairs of _possible in groups (GROUP, class, more, side): a class (side 0) with about FEW of its partners (side 1)."""
+    counts = pairs.groupBy("x", "x2").agg(F.ceil(F.count(F.lit(1)) / FEW).cast("int").alias("blocks"))
+    key = [F.xxhash64("x", "x2").alias("pivot"), "i", F.lit(0).alias("j")]
+    owners = counts.withColumn("i", F.explode(_each(F.col("blocks")))).select(*key, F.col("x").alias("class"), F.col("x2").alias("more"), F.lit(0).alias("side"))
+    partners = pairs.join(counts, ["x", "x2"]).withColumn("i", F.pmod(F.xxhash64("y", "y2", F.lit(1)), F.col("blocks")).cast("int"))
+    return owners.unionByName(partners.select(*key, F.col("y").alias("class"), F.col("y2").alias("more"), F.lit(1).alias("side")))
+
+
 def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 9, den: int = 10, size: int = 3) -> tuple[DataFrame, DataFrame]:
     """(documents (id, n, rep), components (node, component) of the classes' representatives that have links)."""
     spark = docs.sparkSession
@@ -353,9 +417,10 @@ def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     boundary = best_boundary({n: int(k) for n, k in enumerate(sizes[: 2 * MOST_SMALL]) if n and k}, num, den, list_length(counts, num, den))
     indexed = written(own.mapInArrow(_index(table, boundary, num, den, size), INDEX), "index")
     reps = written(indexed.where("id IS NOT NULL AND n > 0").groupBy("class", "more").agg(F.min("id").alias("rep")), "reps")
+    drawn = written(_drawn(indexed), "drawn")
     given = written(_cold_lists(indexed, num, den).unionByName(_hot_lists(indexed, num, den)).distinct(), "listed")
     long_ = given.where("long").select(F.col("x").alias("pivot"), F.col("y").alias("class"))
-    near = written(_sifted(given.where("NOT long").select("x", "y"), indexed, num, den), "near")
+    near = written(_sifted(given.where("NOT long").select("x", "y"), drawn, num, den), "near")
     # A pair meets under the least pivot that either knows of, so the pairs of one cluster meet together and each text moves about once.
     both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
     known = both.groupBy("x").agg(F.min(F.xxhash64("y")).alias("p")).select("x", F.least("p", F.xxhash64("x")).alias("p"))
@@ -378,19 +443,23 @@ def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
         apart = apart.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         apart = written(apart, "apart")
         most = apart.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("pivot").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("m"))
-        most = most.where("in_main < m").select("pivot", "main", F.ceil((F.col("m") - F.col("in_main")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("in_main") / BLOCK).cast("int").alias("inner"))
-        second = _salted(apart, most).where("main IS NOT NULL")
-        outside = F.col("comp") != F.col("main")
-        at = F.when(outside, _dealt(F.col("rep"), F.col("outer"))).otherwise(_dealt(F.col("rep"), F.col("inner")))
-        second = second.withColumn("at", at)
-        group = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-        me = F.col("at")
-        others = F.transform(_each(F.col("outer")), lambda b: group(F.least(me, b), F.greatest(me, b), F.when(me <= b, 0).otherwise(1)))
-        inners = F.transform(_each(F.col("inner")), lambda b: group(me, -b - 1, F.lit(0)))
-        outers = F.transform(_each(F.col("outer")), lambda b: group(b, -me - 1, F.lit(1)))
-        second = second.withColumn("g", F.explode(F.when(outside, F.concat(others, inners)).otherwise(outers)))
-        second = second.select("pivot", "g.i", "g.j", "class", "more", "rep", "g.side", "comp")
-        more = _compared(second, texts, links)
+        most = most.where("in_main < m").select("pivot", "main")
+        own = indexed.where("sketch IS NOT NULL").groupBy("class", "more").agg(F.first("n").alias("n"), *[F.first(F.col("sketch")[i]).alias(f"s{i}") for i in range(SKETCH)])
+        apart = _salted(apart, most).where("main IS NOT NULL").withColumn("apart", F.col("comp") != F.col("main")).drop("main").join(own, ["class", "more"])
+        apart = written(apart, "sketched")
+        # By sketches, where they can tell; sets near that size go both ways, so that each pair goes one of them whole.
+        largest = TELLING * (num + den) // (2 * (den - num))
+        seen = apart.where(F.col("n") * num <= largest * den).withColumn("outside", F.col("apart"))
+        viewing = ((F.col("j") >= 0) | (F.col("side") == 0)).alias("outside")
+        groups = _meeting(seen, WIDE).select(*GROUP, "class", "more", "n", *[f"s{i}" for i in range(SKETCH)], "side", "comp", viewing)
+        possible = written(groups.groupBy(*GROUP).applyInPandas(_possible(num, den), "x long, x2 long, y long, y2 long").distinct(), "possible")
+        pairs = _few(possible.where("y IS NOT NULL")).join(reps, ["class", "more"])
+        pairs = pairs.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        more = _compared(pairs.select(*GROUP, "class", "more", "rep", "side", "comp"), texts, links)
+        # By texts: large sets, and those with many possible partners, each with all others of its pivot.
+        many = possible.where("y IS NULL").select(F.col("x").alias("class"), F.col("x2").alias("more")).distinct().withColumn("many", F.lit(True))
+        whole = apart.join(many, ["class", "more"], "left").withColumn("outside", F.col("apart") & ((F.col("n") * den > largest * num) | F.coalesce("many", F.lit(False))))
+        more = more.unionByName(_compared(_meeting(whole, BLOCK).select(*GROUP, "class", "more", "rep", "side", "comp"), texts, links))
         labels = components(found.unionByName(more))
     # A class's rows meet its representative by partition of the index, so that many copies don't meet in one task.
     firsts = indexed.where("sketch IS NOT NULL").select("class", "more", "part").distinct().join(reps, ["class", "more"])
