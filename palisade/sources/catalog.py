@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ def latest(verdicts: DataFrame, key: list[str] | None = None) -> DataFrame:
     return verdicts.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-#: Buckets that a catalog's keys are dealt to; an upsert reads and writes those that it touches.
-BUCKETS = 64
+#: Buckets that a catalog's keys are dealt to; an upsert reads and writes those that it touches. The folder of its snapshots.
+BUCKETS, SNAPSHOTS = 64, "snapshots"
 
 
 def _files(spark: SparkSession, path: str):
@@ -43,48 +45,126 @@ def _files(spark: SparkSession, path: str):
     return hadoop, at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _snapshot(spark: SparkSession, path: str) -> dict[str, str]:
-    """Bucket to folder, as of the last upsert that ended."""
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the catalog's snapshots, in order."""
     hadoop, at, fs = _files(spark, path)
-    current = hadoop.Path(at, "current.json")
-    if not fs.exists(current):
-        return {}
-    return json.loads("".join(r["value"] for r in spark.read.text(current.toString()).collect()))
+    folder = hadoop.Path(at, SNAPSHOTS)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
 
 
-def read(spark: SparkSession, path: str, schema, buckets: list[str] | None = None) -> DataFrame:
-    """The verdicts of the catalog (or some buckets), of which each key has one."""
-    folders = [f for b, f in _snapshot(spark, path).items() if buckets is None or b in buckets]
+def _snapshot(spark: SparkSession, path: str, number: int | None = None) -> tuple[int, dict[str, str]]:
+    """(number, bucket to folder) of a snapshot, by default the last one; (0, none) of a catalog without any."""
+    if number is None:
+        number = max(_numbers(spark, path), default=0)
+    if not number:
+        return 0, {}
+    lines = spark.read.text(f"{path}/{SNAPSHOTS}/{number:020d}.json").collect()
+    return number, json.loads("".join(r["value"] for r in lines))
+
+
+def _bucket(number: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*PACKAGE), F.lit(number)).cast("string")
+
+
+def read(spark: SparkSession, path: str, schema, buckets: list[str] | None = None, number: int | None = None) -> DataFrame:
+    """The verdicts of the catalog (or some buckets of it), of which each key has one; number: of an older snapshot."""
+    return _of(spark, _snapshot(spark, path, number)[1], schema, buckets)
+
+
+def read_for(spark: SparkSession, packages: DataFrame, path: str, schema) -> DataFrame:
+    """The buckets of the catalog that hold verdicts of these packages, if any do."""
+    return read(spark, path, schema, [r["b"] for r in packages.select(_bucket().alias("b")).distinct().collect()])
+
+
+def _of(spark: SparkSession, snapshot: dict[str, str], schema, buckets: list[str] | None) -> DataFrame:
+    folders = [f for b, f in snapshot.items() if buckets is None or b in buckets]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def upsert(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Adds verdicts to the catalog at path; the newest of a key stays, and putting one twice changes nothing.
+def upsert(spark: SparkSession, new: DataFrame, path: str, tries: int = 20) -> int:
+    """Adds verdicts to the catalog at path; the newest of a key stays, and putting one twice changes nothing. Gives the snapshot's number.
 
-    Touched buckets are written to new folders. Then one file that names the folder of every bucket takes the old one's
-    place, so readers see all of an upsert or nothing, and a crash leaves the old catalog. One writer at a time.
+    Touched buckets are written to new folders. Then a snapshot, a file that names the folder of every bucket, is created under
+    the next number, which only one writer can do: readers see all of an upsert or nothing, and a crash leaves the old catalog. A
+    writer that was not the first to that number goes on from what the others have made: only buckets that they have touched,
+    too, are written again.
     """
-    bucket = F.pmod(F.xxhash64(*PACKAGE), F.lit(BUCKETS)).cast("string")
-    new = new.dropDuplicates()
-    touched = [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]
-    if not touched:
-        return
-    run = f"{path}/data/{uuid.uuid4().hex}"
-    both = read(spark, path, new.schema, touched).unionByName(new)
-    latest(both).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(run)
-    _swap(spark, path, _snapshot(spark, path) | {b: f"{run}/_bucket={b}" for b in touched})
-
-
-def _swap(spark: SparkSession, path: str, snapshot: dict[str, str]) -> None:
-    """Makes the snapshot the current one, by one rename."""
+    number, base = _snapshot(spark, path)
+    new = new.dropDuplicates().withColumn("_bucket", _bucket()).persist()
+    try:
+        touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]
+        if not touched:
+            return number
+        written: dict[str, str] = {}
+        for _ in range(tries):
+            todo = [b for b in touched if b not in written]
+            if todo:
+                run = f"{path}/data/{uuid.uuid4().hex}"
+                schema = new.drop("_bucket").schema
+                both = _of(spark, base, schema, todo).unionByName(new.where(F.col("_bucket").isin(todo)).drop("_bucket"))
+                latest(both).withColumn("_bucket", _bucket()).write.partitionBy("_bucket").parquet(run)
+                written |= {b: f"{run}/_bucket={b}" for b in todo}
+            if _swap(spark, path, number + 1, base | written):
+                return number + 1
+            number, other = _snapshot(spark, path)
+            written = {b: f for b, f in written.items() if other.get(b) == base.get(b)}
+            base = other
+        raise RuntimeError(f"{path}: other writers were first {tries} times")
+    finally:
+        new.unpersist()
+
+
+def _swap(spark: SparkSession, path: str, number: int, snapshot: dict[str, str]) -> bool:
+    """Makes the snapshot the one of this number, if there is none yet."""
     hadoop, at, fs = _files(spark, path)
-    draft, current = hadoop.Path(at, f"draft-{uuid.uuid4().hex}.json"), hadoop.Path(at, "current.json")
+    target = hadoop.Path(at, f"{SNAPSHOTS}/{number:020d}.json")
+    fs.mkdirs(target.getParent())
+    draft = hadoop.Path(at, f"{SNAPSHOTS}/draft-{uuid.uuid4().hex}")
     out = fs.create(draft)
     out.write(bytearray(json.dumps(snapshot).encode()))
     out.close()
-    replace = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
-    replace[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, current, replace)
+    try:
+        if fs.getScheme() == "file":  # a local rename would replace the file; a link is made by one writer only
+            local = lambda p: spark._jvm.java.nio.file.Paths.get(p.toUri())
+            plain = lambda p: hadoop.Path(fs.makeQualified(p).toUri())
+            spark._jvm.java.nio.file.Files.createLink(local(plain(target)), local(plain(draft)))
+        else:
+            none = spark._sc._gateway.new_array(hadoop.Options.Rename, 0)
+            hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, target, none)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+    return True
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2, grace_s: float = 86_400) -> int:
+    """Removes all snapshots but the last `keep`, and buckets' folders that none of those names; gives how many folders went.
+
+    Folders younger than grace_s stay: a writer that has not ended yet may be about to name them.
+    """
+    hadoop, at, fs = _files(spark, path)
+    numbers = _numbers(spark, path)
+    for number in numbers[:-keep]:
+        fs.delete(hadoop.Path(at, f"{SNAPSHOTS}/{number:020d}.json"), False)
+    named = {f for n in numbers[-keep:] for f in _snapshot(spark, path, n)[1].values()}
+    named = {f.rpartition("/data/")[2] for f in named}
+    limit, gone, data = (time.time() - grace_s) * 1000, 0, hadoop.Path(at, "data")
+    for run in fs.listStatus(data) if fs.exists(data) else []:
+        left = 0
+        for bucket in fs.listStatus(run.getPath()):
+            name = bucket.getPath().getName()
+            if not bucket.isDirectory() or f"{run.getPath().getName()}/{name}" in named or bucket.getModificationTime() > limit:
+                left += bucket.isDirectory()
+                continue
+            fs.delete(bucket.getPath(), True)
+            gone += 1
+        if not left and run.getModificationTime() <= limit:
+            fs.delete(run.getPath(), True)
+    return gone
 
 
 def documents(verdicts: DataFrame) -> DataFrame:
@@ -197,14 +277,27 @@ def run_backfill(spark: SparkSession, items: DataFrame, latest_: DataFrame, arch
 
 
 def npm_registry(packuments: DataFrame, column: str = "value") -> DataFrame:
-    """Registry rows of npm documents (JSON text): one for each version, with the package's figures."""
-    times = F.from_json(F.get_json_object(column, "$.time"), "map<string,string>")
-    maintainers = F.from_json(F.get_json_object(column, "$.maintainers"), "array<struct<name:string>>")
-    versions = F.map_keys(F.from_json(F.get_json_object(column, "$.versions"), "map<string,string>"))
-    out = packuments.select(F.get_json_object(column, "$.name").alias("name"), times.alias("times"), F.transform(maintainers, lambda m: m["name"]).alias("maintainers"), versions.alias("versions"))
-    out = out.withColumns({"package_created_at": F.to_timestamp(F.col("times")["created"]), "total_versions": F.size("versions")})
-    out = out.withColumn("version", F.explode("versions"))
-    return out.select(F.lit("npm").alias("ecosystem"), "name", "version", F.to_timestamp(F.col("times")[F.col("version")]).alias("published_at"), "package_created_at", "maintainers", "total_versions")
+    """Registry rows of npm documents (JSON text): one for each version, with who published it and the package's figures.
+
+    A time that can't be read is null; `versions` says which versions there are. Documents that are no JSON objects give no rows.
+    """
+    spark = packuments.sparkSession
+    doc = F.try_parse_json(column)
+    text = lambda path, of="doc": F.try_variant_get(of, path, "string")
+    time_ = lambda c: F.try_to_timestamp(c)
+    names = F.transform(F.try_variant_get("doc", "$.maintainers", "array<variant>"), lambda m: F.try_variant_get(m, "$.name", "string"))
+    rows = packuments.select(doc.alias("doc")).where("doc IS NOT NULL")
+    rows = rows.select(
+        text("$.name").alias("name"), time_(text("$.time.created")).alias("package_created_at"), F.filter(names, lambda m: m.isNotNull()).alias("maintainers"),
+        F.try_variant_get("doc", "$.versions", "variant").alias("versions"), F.try_variant_get("doc", "$.time", "map<string,variant>").alias("times"),
+    )
+    rows = rows.lateralJoin(spark.tvf.variant_explode(F.col("versions").outer())).where("key IS NOT NULL")
+    rows = rows.select("*", F.col("key").alias("version"), time_(F.try_variant_get(F.col("times")[F.col("key")], "$", "string")).alias("published_at"))
+    own = rows.select(
+        F.lit("npm").alias("ecosystem"), "name", "version", "published_at", F.try_variant_get("value", "$._npmUser.name", "string").alias("published_by"), "package_created_at", "maintainers",
+        F.size(F.map_keys(F.try_variant_get("versions", "$", "map<string,variant>"))).alias("total_versions"),
+    )
+    return own
 
 
 def cargo_registry(documents: DataFrame, column: str = "value") -> DataFrame:

@@ -11,7 +11,6 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,20 +70,65 @@ def files_of(ecosystem: str, content: bytes) -> Iterator[tuple[str, int, int | N
         yield path, size, mode, handle.read()
 
 
+#: Bytes of files after which a batch of rows is handed on, so that no package is held whole besides its archive.
+BATCH_BYTES = 8 * MIB
+_ENTRY = pa.schema([("ecosystem", pa.string()), ("source", pa.string()), ("ordinal", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("bytes", pa.binary()), ("mode", pa.int32()), ("scan_error", pa.string())])
+
+
+def entry_rows(ecosystem: str, source: str, content: bytes) -> Iterator[tuple]:
+    """Rows of ENTRY_SCHEMA, member by member; an archive that can't be read, or is empty, gives one row with scan_error.
+
+    The archive is read through before the first row comes, so that damage at its end leaves no half package, and then once more:
+    that costs time, but no more memory than its largest member.
+    """
+    try:
+        n = sum(1 for _ in files_of(ecosystem, content))
+        error = None if n else "no files"
+    except Exception as damage:  # any damage of one archive is that archive's result
+        error = f"{type(damage).__name__}: {damage}"[:500]
+    if error:
+        yield ecosystem, source, None, None, None, None, None, error
+        return
+    for ordinal, (path, size, mode, data) in enumerate(files_of(ecosystem, content)):
+        yield ecosystem, source, ordinal, path, size, data, mode, None
+
+
+def entry_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about BATCH_BYTES."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[5] or b"") + 100
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+
+
 def unpack(packages: DataFrame) -> DataFrame:
-    """archives exploded to files; an archive that can't be read gives one row with scan_error, never a failed job."""
+    """archives (ecosystem, source, content) exploded to files; a damaged archive has a row with scan_error, never fails the job."""
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
-        for frame in frames:
-            for eco, source, content in zip(frame["ecosystem"], frame["source"], frame["content"], strict=True):
-                try:
-                    rows = [(eco, source, i, p, s, b, m, None) for i, (p, s, m, b) in enumerate(files_of(eco, bytes(content)))]
-                except Exception as error:  # any damage of one archive is that archive's result
-                    rows = [(eco, source, None, None, None, None, None, f"{type(error).__name__}: {error}"[:500])]
-                yield pd.DataFrame(rows, columns=columns).astype({"ordinal": "Int32", "size": "Int64", "mode": "Int32"})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                eco, source, content = (batch.column(c)[i].as_py() for c in ("ecosystem", "source", "content"))
+                yield from entry_batches(entry_rows(eco, source, content or b""))
 
-    return packages.select("ecosystem", "source", "content").mapInPandas(of, ENTRY_SCHEMA)
+    return packages.select("ecosystem", "source", "content").mapInArrow(of, ENTRY_SCHEMA)
+
+
+@F.udtf(returnType=ENTRY_SCHEMA, useArrow=False)
+class Unpack:
+    """unpack(ecosystem, source, content) as a table function, for LATERAL joins in SQL (which takes no Arrow ones); rows come one by one."""
+
+    def eval(self, ecosystem: str, source: str, content: bytes) -> Iterator[tuple]:
+        yield from entry_rows(ecosystem, source, bytes(content or b""))
+
+
+def register(spark: SparkSession, name: str = "unpack") -> None:
+    """Makes unpack known to the session's SQL: SELECT f.* FROM archives a, LATERAL unpack(a.ecosystem, a.source, a.content) f"""
+    spark.udtf.register(name, Unpack)
 
 
 def native_magic(data: Column) -> Column:
@@ -181,25 +225,39 @@ _MAPS = ("bin", "scripts", "dependencies")
 _MANIFEST = pa.struct([(c.split()[0], pa.map_(pa.string(), pa.string()) if c.split()[0] in _MAPS else pa.string()) for c in MANIFEST.split(", ")])
 
 
+#: Ecosystems of which an archive without a manifest is an error.
+NEEDS_MANIFEST = ("npm", "cargo", "nuget")
+
+
 def manifests(files: DataFrame) -> DataFrame:
-    """(ecosystem, source, manifest columns): one small file of each package is parsed; of PyPI's two the TOML one if it names the package."""
+    """(ecosystem, source, manifest columns) of every archive: one small file of it is parsed; of PyPI's two the TOML one if it names the package.
+
+    An archive without that file has scan_error (PyPI's: empty columns only, as a source archive needs none).
+    """
 
     @F.arrow_udf(MANIFEST)
-    def parsed(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array([_manifest(p, t) for p, t in zip(paths.to_pylist(), texts.to_pylist(), strict=True)], _MANIFEST)
+    def parsed(ecosystems: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for eco, own in zip(ecosystems.to_pylist(), found.to_pylist(), strict=True):
+            read = [_manifest(x["path"], x["text"]) for x in own]
+            named = [m for m in read if m.get("name") is not None]
+            missing = {"scan_error": "no manifest"} if eco in NEEDS_MANIFEST else {}
+            out.append((named or read or [missing])[0])
+        return pa.array(out, _MANIFEST)
 
     eco, path = F.col("ecosystem"), F.col("path")
     rank = F.when((eco == "npm") & (path == "package.json"), 1).when((eco == "cargo") & (path == "Cargo.toml"), 1).when((eco == "nuget") & path.rlike(r"\A[^/]+\.nuspec\z"), 1)
     rank = rank.when((eco == "pypi") & (path == "pyproject.toml"), 1).when((eco == "pypi") & (path == "PKG-INFO"), 2)
-    rows = files.withColumn("rank", rank).where("rank IS NOT NULL AND text IS NOT NULL").withColumn("m", parsed("path", "text"))
-    best = rows.groupBy("ecosystem", "source").agg(F.min_by("m", F.struct(F.col("m.name").isNull().cast("int"), "rank")).alias("m"))
-    return best.select("ecosystem", "source", "m.*")
+    one = F.when(rank.isNotNull() & F.col("text").isNotNull(), F.struct(rank.alias("rank"), "path", "text"))
+    found = files.groupBy("ecosystem", "source").agg(F.array_sort(F.collect_list(one)).alias("found"))  # a few small files of each archive
+    return found.select("ecosystem", "source", parsed("ecosystem", "found").alias("m")).select("ecosystem", "source", "m.*")
 
 
 def lifecycle(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Hooks (ecosystem, source, hook, kind, body, path)."""
     columns = ["ecosystem", "source", "hook", "kind", "body", "path"]
     none = F.lit(None).cast("string")
+    parsed = parsed.where("scan_error IS NULL")
     kind = F.when(F.col("hook").isin(*fixed.INSTALL_HOOKS), "install_time").when(F.col("hook").isin(*fixed.PUBLISH_HOOKS), "publish_time")
     npm = parsed.where("ecosystem = 'npm'").select("ecosystem", "source", F.explode("scripts").alias("hook", "body"))
     npm = npm.withColumns({"kind": kind, "path": none}).where("kind IS NOT NULL")

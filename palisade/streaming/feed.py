@@ -1,4 +1,4 @@
-"""The registry's change feed as a stream, and the exact token budget as state."""
+"""The registry's change feed as a stream, the job that keeps the catalog current from it, and the exact token budget as state."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.operators import stage2
+from palisade.sources import catalog, change_log
 
 CHANGE = "seq LONG, id STRING, deleted BOOLEAN"
 
@@ -38,6 +39,37 @@ def follow(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[Da
     return changes(stream).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def into(folder: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer: each batch has a folder of its own, which a batch that comes again replaces."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+
+def to_catalog(
+    spark: SparkSession, log: str, checkpoint: str, registry: Callable[[SparkSession], DataFrame], path: str, schema, analyze: Callable[[DataFrame], DataFrame], since: int = -1, ecosystem: str = "npm"
+) -> StreamingQuery:
+    """Keeps the catalog at path current from the change log: one job, on what has come since its checkpoint.
+
+    In each batch the changes of a package are one; tombstones only move the offset. registry gives the registry's documents
+    (ecosystem, name, value), read anew for each batch, which say what each package's latest version is (of packages that they don't have,
+    or that have none, nothing is scanned); so of a burst of versions only the newest is. What the catalog has already is left out, and analyze
+    gives verdicts for the rest, which are put. The offset is committed after that: a batch that comes again finds its
+    verdicts there and changes nothing. A version for which analyze gives no verdict is tried again with its package's next change.
+    """
+
+    def handle(batch: DataFrame, n: int) -> None:
+        names = pending(batch).select(F.lit(ecosystem).alias("ecosystem"), F.col("id").alias("name")).persist()
+        try:
+            newest = catalog.documented_latest(registry(batch.sparkSession)).where("latest IS NOT NULL")
+            wanted = names.join(newest, ["ecosystem", "name"]).select("ecosystem", "name", F.col("latest").alias("version")).distinct()
+            todo = catalog.missing(wanted, catalog.read_for(batch.sparkSession, wanted, path, schema))
+            catalog.upsert(batch.sparkSession, analyze(todo), path)
+        finally:
+            names.unpersist()
+
+    changes = change_log.read_stream(spark, log, since)
+    return changes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def budget(calls: DataFrame, caps: stage2.Caps = stage2.Caps()) -> DataFrame:
     """stage2.greedy_budget of streaming calls, by state for each pool; batches must come in time order."""
 
