@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions import fixed
-from palisade.functions.js import inside_token, outside_tokens
+from palisade.functions import fixed, scanner
 from palisade.functions.rulespec import BINARY_KINDS, PRESENCE_RULES, TEXT_RULES, Scope, TextRule, alternatives
 from palisade.functions.spans import given, spans
 
@@ -90,8 +89,17 @@ def _excerpt(rule: TextRule) -> str:
 def _in_code(rule: TextRule, hit: Column) -> Column:
     """The hit, null if it lies in a comment, string or template where such hits don't count."""
     gated = (F.col("unit") == "entry") & (F.lit(True) if rule.suppress == "all" else F.col("kind") == "js_source")
-    at = F.regexp_instr("text", F.lit(f"(?d){rule.pattern}")) - 1
-    return given(hit, lambda h: F.when(h.isNotNull(), F.when(~gated, h).when(~inside_token(F.col("text"), at), h)))
+    at = F.length(F.get(F.split("text", f"(?d){rule.pattern}", 2), F.lit(0)))
+    return given(hit, lambda h: F.when(h.isNotNull(), F.when(~gated, h).when(~scanner.inside(F.col("js"), at), h)))
+
+
+def _code_matters(rules: list[TextRule], blobs: bool) -> Column | None:
+    """Of which files it matters what is code: those that have a hit of a rule that doesn't count hits elsewhere."""
+    maybe = [f"(({hinted(r)}) AND text RLIKE {quoted(f'(?d){r.pattern}')})" for r in rules if r.suppress]
+    need = F.expr(" OR ".join(maybe)) if maybe else None
+    if blobs:
+        need = _blob_likely() if need is None else need | _blob_likely()
+    return None if need is None else need & (F.col("unit") == "entry")
 
 
 def _present(found: list[Column]) -> Column:
@@ -116,14 +124,15 @@ def _text_findings(rules: list[TextRule]) -> Column:
     return _present(found)
 
 
-def _exploded(scanned: DataFrame, found: list[Column], macro_crates: DataFrame | None = None) -> DataFrame:
-    """The findings of all arrays, each text read once. Of one package, NPM035 counts in the first file only."""
+def _exploded(scanned: DataFrame, found: list[Column], macro_crates: DataFrame | None = None, code_of: Column | None = None) -> DataFrame:
+    """The findings of all arrays, each text read once. code_of: which texts the scanner has to look at (column js)."""
     if macro_crates is not None:
         scanned = scanned.join(macro_crates.select(*PACKAGE).distinct().withColumn("macro_crate", F.lit(True)), PACKAGE, "left")
         scanned = scanned.withColumn("macro_crate", F.coalesce("macro_crate", F.lit(False)))
     else:
         scanned = scanned.withColumn("macro_crate", F.lit(False))
     scanned = scanned.withColumn("low", F.lower("text"))
+    scanned = scanned.withColumn("js", F.lit(None).cast(scanner.SCANNED) if code_of is None else scanner.scanned(F.when(code_of, F.col("text"))))
     return scanned.select(*PACKAGE, "ordinal", F.explode(F.concat(*found)).alias("f")).select(*PACKAGE, "ordinal", "f.*")
 
 
@@ -137,14 +146,14 @@ def _first_file_only(hits: DataFrame) -> DataFrame:
 def text_findings(scanned: DataFrame, macro_crates: DataFrame | None = None, rules: list[TextRule] | None = None) -> DataFrame:
     """scanned: of units. macro_crates: packages whose Rust sources are those of a procedural macro."""
     rules = TEXT_RULES if rules is None else rules
-    hits = _exploded(scanned, [_text_findings(rules)], macro_crates)
+    hits = _exploded(scanned, [_text_findings(rules)], macro_crates, _code_matters(rules, False))
     return _first_file_only(hits) if any(r.id == "NPM035" for r in rules) else hits.select(*FINDING)
 
 
 def unit_findings(scanned: DataFrame, macro_crates: DataFrame, as_of: Column) -> DataFrame:
     """Findings of all rules that look at one text: one scan, one projection."""
     found = [_text_findings(TEXT_RULES), _presence(), _blobs(), _unicode(), _bombs(as_of)]
-    return _first_file_only(_exploded(scanned, found, macro_crates))
+    return _first_file_only(_exploded(scanned, found, macro_crates, _code_matters(TEXT_RULES, True)))
 
 
 def _presence() -> Column:
@@ -163,15 +172,21 @@ def _rows(df: DataFrame, f: Column) -> DataFrame:
     return df.select(*PACKAGE, f.alias("f")).select(*PACKAGE, "f.*")
 
 
+def _blob_likely() -> Column:
+    """What a text needs to have for NPM005 to look closer."""
+    text, entry = F.col("text"), F.col("unit") == "entry"
+    of_interest = (F.col("ecosystem") == "npm") & (~entry | F.col("kind").isin("js_source", "text"))
+    likely = F.contains(text, F.lit("eval")) | F.contains(text, F.lit("Function")) | F.contains(text, F.lit("runIn"))
+    return of_interest & likely & text.rlike("[A-Za-z0-9+/]{1000}")
+
+
 def _blobs() -> Column:
     """NPM005. Distances run from the call's start, in bytes; the first blob with a call near it counts."""
     text, entry = F.col("text"), F.col("unit") == "entry"
     exec_re = alternatives("execution")
-    of_interest = (F.col("ecosystem") == "npm") & (~entry | F.col("kind").isin("js_source", "text"))
-    likely = F.contains(text, F.lit("eval")) | F.contains(text, F.lit("Function")) | F.contains(text, F.lit("runIn"))
     blobs = F.concat(*[spans(text, alternatives(name)) for name in ("base64_blob", "hex_blob")])
     calls = spans(text, exec_re)
-    calls = F.when(entry, outside_tokens(text, calls)).otherwise(calls)
+    calls = F.when(entry, F.filter(calls, lambda c: ~scanner.inside(F.col("js"), c["start"]))).otherwise(calls)
 
     def near(b: Column, x: Column) -> Column:
         at = F.when(x["start"] > b["end"], b["end"]).otherwise(x["start"])
@@ -183,13 +198,13 @@ def _blobs() -> Column:
     hit = given(both, lambda s: F.get(F.filter(s["blobs"], lambda b: F.exists(s["calls"], lambda x: near(b, x))), F.lit(0)))
     around = lambda h: F.substring(text, F.greatest(h["start"] - 40, F.lit(0)) + 1, F.least(F.lit(200), h["end"] + 40 - F.greatest(h["start"] - 40, F.lit(0))))
     excerpt = given(hit, lambda h: F.when(h.isNotNull(), F.concat(F.lit("…"), around(h), F.lit("…"))))
-    excerpt = F.when(of_interest & likely & text.rlike("[A-Za-z0-9+/]{1000}"), excerpt)
+    excerpt = F.when(_blob_likely(), excerpt)
     return _present([finding("NPM005", "critical", "obfuscation", F.col("location"), excerpt, "encoded blob next to code that executes it", False, ("dynamic_eval", "encoded_payload"))])
 
 
 def blob_near_execution(scanned: DataFrame) -> DataFrame:
     """NPM005: an encoded run within BLOB_GAP bytes of code that executes text."""
-    return _exploded(scanned, [_blobs()]).select(*FINDING)
+    return _exploded(scanned, [_blobs()], code_of=_code_matters([], True)).select(*FINDING)
 
 
 def native_binaries(entries: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -227,22 +242,37 @@ def bundled_dependencies(manifests: DataFrame) -> DataFrame:
     return _rows(rows, finding("NPM012", "high", "other", F.lit("package.json"), F.array_join("names", ", "), "bundles its dependencies", True))
 
 
-def lookalikes(packages: DataFrame, as_of: Column, top: list[str] | None = None) -> DataFrame:
+def shortened(name: Column) -> Column:
+    """The name, and what is left of it without one or two of its letters. Names two edits apart or less have one of these in common."""
+    at = lambda x: F.sequence(F.lit(1), F.length(x))
+    without = lambda x: F.when(F.length(x) > 0, F.transform(at(x), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    once = F.array_distinct(without(name))
+    return F.array_distinct(F.concat(F.array(name), once, F.flatten(F.transform(once, without))))
+
+
+def lookalikes(packages: DataFrame, as_of: Column, top: list[str] | DataFrame | None = None) -> DataFrame:
     """NPM014: names one or two edits from a well-known one, of packages younger than 90 days or of unknown age.
 
-    packages: package and package_created_at. The list is a parameter of bounded length, so it is compared in the row.
+    packages: package and package_created_at. top: names, most important first, or a table (ordinal, top) of any size. Names meet
+    in a hash join of their shortened forms, never each with each; only those that have met are compared.
     """
-    listed = list(dict.fromkeys(top or fixed.TOP_PACKAGES))
+    spark = packages.sparkSession
+    if not isinstance(top, DataFrame):
+        listed = list(dict.fromkeys(top or fixed.TOP_PACKAGES))
+        top = spark.range(1).select(F.posexplode(strings(listed)).alias("ordinal", "top"))
+    top = top.groupBy(F.lower("top").alias("listed")).agg(F.min(F.struct("ordinal", "top")).alias("t")).select("listed", "t.*")
     young = F.col("package_created_at").isNull() | (F.timestamp_diff("DAY", F.col("package_created_at"), as_of) < fixed.AGES["lookalike_days"])
     rows = packages.where((F.col("ecosystem") == "npm") & young).withColumn("own", F.lower("name"))
-    rows = rows.where(~F.col("own").isin(*listed))
-    spark = packages.sparkSession
-    names = spark.range(1).select(F.posexplode(strings(listed)).alias("ordinal", "top"))
-    near = F.levenshtein(F.col("own"), F.col("top"), 2)
-    rows = rows.join(F.broadcast(names), F.abs(F.length("own") - F.length("top")) <= 2).withColumn("d", near).where("d BETWEEN 1 AND 2")
-    best = rows.groupBy(*PACKAGE).agg(F.min(F.struct("d", "ordinal", "top")).alias("best"))
-    excerpt = F.concat(F.lower("name"), F.lit(" ~= "), F.col("best.top"), F.lit(" (distance "), F.col("best.d").cast("string"), F.lit(")"))
-    return _rows(best, finding("NPM014", "high", "typosquat", F.lit("package.json"), excerpt, "name looks like a well-known package's", True))
+    # Each name once, however many versions it has; one that is listed itself, or is too long for any, looks like none.
+    longest = top.agg(F.coalesce(F.max(F.length("listed")), F.lit(0))).first()[0]
+    names = rows.select("own").where(F.length("own") <= longest + 2).distinct().join(top.select(F.col("listed").alias("own")), "own", "left_anti")
+    index = top.select("listed", "ordinal", "top", F.explode(shortened(F.col("listed"))).alias("form"))
+    met = names.select("own", F.explode(shortened(F.col("own"))).alias("form")).join(index, "form").select("own", "listed", "ordinal", "top").distinct()
+    near = met.withColumn("d", F.levenshtein("own", "listed", 2)).where("d BETWEEN 1 AND 2")
+    best = near.groupBy("own").agg(F.min(F.struct("d", "ordinal", "top")).alias("best"))
+    rows = rows.join(best, "own").select(*PACKAGE, "own", "best").distinct()
+    excerpt = F.concat("own", F.lit(" ~= "), F.col("best.top"), F.lit(" (distance "), F.col("best.d").cast("string"), F.lit(")"))
+    return _rows(rows, finding("NPM014", "high", "typosquat", F.lit("package.json"), excerpt, "name looks like a well-known package's", True))
 
 
 def recency(registry: DataFrame, as_of: Column) -> DataFrame:

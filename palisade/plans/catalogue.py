@@ -13,6 +13,7 @@ from palisade.operators import history, rules, scoring, stage2
 from palisade.plans import planted
 from palisade.sources import catalog
 from palisade.sources import packages as packages_source
+from palisade.sources.shared import stored
 from palisade.streaming import feed
 
 AS_OF = "2024-02-01 00:00:00"
@@ -326,13 +327,13 @@ UNICODE_SQL = _with_units(f""", q AS (SELECT *, CAST(substr(name, 5) AS BIGINT)
 
 
 def time_bombs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.substring("name", 5, 20).cast("long")
+    k = F.coalesce(F.expr("try_cast(substring(name, 5) AS BIGINT)"), F.length("text").cast("long"))  # files by their package's number, hooks by their length
     snippet = F.when(k % 5 == 0, "if (Date.now() > 1999999999999) x()").when(k % 5 == 1, "if (Date.now() > 1600000000000) x()").when(k % 5 == 2, "d = '2031-01-01'").otherwise("d = '2019-01-01'")
-    units = scanned(spark, sf_dir).where("unit = 'entry'").withColumn("text", F.concat(snippet, F.lit("\n"), "text"))
+    units = scanned(spark, sf_dir).withColumn("text", F.concat(snippet, F.lit("\n"), "text"))
     return shown(rules.time_bombs(units, as_of()))
 
 
-TIME_SQL = _with_units(f""", q AS (SELECT *, CAST(substr(name, 5) AS BIGINT) % 5 AS k FROM units WHERE unit = 'entry' AND ecosystem = 'npm' AND kind IN ('js_source', 'text'))
+TIME_SQL = _with_units(f""", q AS (SELECT *, coalesce(TRY_CAST(substr(name, 5) AS BIGINT), length(text)) % 5 AS k FROM units WHERE ecosystem = 'npm' AND (unit = 'hook' OR kind IN ('js_source', 'text')))
  SELECT {_found_sql("NPM028", "high", "other", "location", "'Date.now() > 1999999999999'", True, "time_bomb")} FROM q WHERE k = 0
  UNION ALL SELECT {_found_sql("NPM028", "medium", "other", "location", "'2031-01-01'", True, "time_bomb")} FROM q WHERE k = 2""")
 
@@ -468,7 +469,7 @@ def gated_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.in_report_order(evaluated(spark, sf_dir))
+    found = stored(rules.in_report_order(evaluated(spark, sf_dir)), "findings")  # they are read three times
     s1 = scoring.stage1(found, packages(spark, sf_dir))
     about = stage2.manifest_summary(manifests(spark, sf_dir)), stage2.registry_summary(registry(spark, sf_dir), as_of())
     out = stage2.user_message(stage2.contexts(s1, found, planted.lifecycle(spark, sf_dir), *about))
@@ -581,22 +582,24 @@ CRATES_SQL = """SELECT CAST(o_custkey AS VARCHAR) AS name, '1.0.' || CAST(o_orde
 
 
 def npm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package document for each supplier, with the supplied parts as versions."""
+    """A package document for each supplier: up to four versions, of which the third's time can't be read, and publishers of all but the second."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), (F.col("s_suppkey") % 4 + 1).cast("int").alias("n"))
     numbers = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("1."), i.cast("string")))
-    times = F.map_concat(F.create_map(F.lit("created"), F.lit("2020-01-01T00:00:00Z")), F.map_from_arrays(numbers, F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("2020-02-0"), i.cast("string"), F.lit("T00:00:00Z")))))
+    times = F.map_concat(F.create_map(F.lit("created"), F.lit("2020-01-01T00:00:00Z")), F.map_from_arrays(numbers, F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(i == 3, "some day").otherwise(F.concat(F.lit("2020-02-0"), i.cast("string"), F.lit("T00:00:00Z"))))))
     tags = F.create_map(F.lit("latest"), F.concat(F.lit("1."), F.col("n").cast("string")))
-    versions = F.map_from_arrays(numbers, F.transform(numbers, lambda v: F.create_map(F.lit("v"), v)))
+    publisher = lambda v: F.when(v != "1.2", F.struct(F.concat(F.lit("by-"), v, F.lit("-"), "name").alias("name")))
+    versions = F.map_from_arrays(numbers, F.transform(numbers, lambda v: F.struct(v.alias("v"), publisher(v).alias("_npmUser"))))
     owners = F.array(F.struct(F.concat(F.lit("m"), F.col("name")).alias("name")))
     return rows.select("name", F.to_json(F.struct("name", tags.alias("dist-tags"), versions.alias("versions"), times.alias("time"), owners.alias("maintainers"))).alias("value"))
 
 
 def npm_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.npm_registry(npm_documents(spark, sf_dir))
-    return rows.select("name", "version", F.date_format("published_at", "yyyy-MM-dd").alias("published"), F.date_format("package_created_at", "yyyy-MM-dd").alias("created"), F.array_join("maintainers", ",").alias("maintainers"), "total_versions")
+    return rows.select("name", "version", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "published_by", F.date_format("package_created_at", "yyyy-MM-dd").alias("created"), F.array_join("maintainers", ",").alias("maintainers"), "total_versions")
 
 
-NPM_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS name, '1.' || CAST(i AS VARCHAR) AS version, '2020-02-0' || CAST(i AS VARCHAR) AS published, '2020-01-01' AS created, 'm' || CAST(s_suppkey AS VARCHAR) AS maintainers,
+NPM_SQL = """SELECT CAST(s_suppkey AS VARCHAR) AS name, '1.' || CAST(i AS VARCHAR) AS version, CASE WHEN i <> 3 THEN '2020-02-0' || CAST(i AS VARCHAR) END AS published,
+ CASE WHEN i <> 2 THEN 'by-1.' || CAST(i AS VARCHAR) || '-' || CAST(s_suppkey AS VARCHAR) END AS published_by, '2020-01-01' AS created, 'm' || CAST(s_suppkey AS VARCHAR) AS maintainers,
  CAST(s_suppkey % 4 + 1 AS INT) AS total_versions FROM supplier, range(1, 5) r(i) WHERE i <= s_suppkey % 4 + 1"""
 
 
@@ -645,11 +648,27 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES_OUT_SQL = f"SELECT ecosystem, CAST(i AS VARCHAR) AS source, path, kind, CASE WHEN code THEN sha256(text) END AS text_sha256 FROM ({planted.FILES_SQL})"
 
 
+def unpacked_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives' files by the table function."""
+    packages_source.register(spark)
+    planted.archives(spark, sf_dir).createOrReplaceTempView("planted_archives")
+    return spark.sql("SELECT a.ecosystem, a.source, f.ordinal, f.path, f.size FROM planted_archives a, LATERAL unpack(a.ecosystem, a.source, a.content) f")
+
+
+UNPACKED_SQL = f"""SELECT ecosystem, CAST(i AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY i ORDER BY n) - 1 AS INT) AS ordinal, path, size FROM (SELECT i, ecosystem, path,
+  CASE path WHEN 'package.json' THEN strlen('{{"name": "pkg-' || CAST(i AS VARCHAR) || '", "version": "1.0.0", "scripts": {{"postinstall": "echo ' || CAST(i AS VARCHAR) || '", "test": "x"}}}}')
+   WHEN 'Cargo.toml' THEN strlen('[package]' || chr(10) || 'name = "pkg-' || CAST(i AS VARCHAR) || '"' || chr(10) || 'version = "1.0.0"' || chr(10)) WHEN 'build.rs' THEN 12
+   WHEN 'PKG-INFO' THEN strlen('Name: pkg-' || CAST(i AS VARCHAR) || chr(10) || 'Version: 1.0.0' || chr(10) || chr(10))
+   WHEN 'x.nuspec' THEN strlen('<package><metadata><id>pkg-' || CAST(i AS VARCHAR) || '</id><version>1.0.0</version></metadata></package>') ELSE strlen(text) END AS size,
+  list_position(['package.json', 'index.js', 'Cargo.toml', 'src/lib.rs', 'build.rs', 'PKG-INFO', 'x.nuspec', 'setup.py', 'tools/install.ps1'], path) AS n FROM ({planted.FILES_SQL}))"""
+
+
 def package_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages_source.manifests(archive_files(spark, sf_dir)).select("ecosystem", "source", "name", "version")
+    return packages_source.manifests(archive_files(spark, sf_dir)).select("ecosystem", "source", "name", "version", "scan_error")
 
 
-MANIFESTS_SQL = f"SELECT DISTINCT ecosystem, CAST(i AS VARCHAR) AS source, 'pkg-' || CAST(i AS VARCHAR) AS name, '1.0.' || CAST(i % 7 AS VARCHAR) AS version FROM ({planted.FILES_SQL})"
+MANIFESTS_SQL = f"""SELECT DISTINCT ecosystem, CAST(i AS VARCHAR) AS source, CASE WHEN NOT bare THEN 'pkg-' || CAST(i AS VARCHAR) END AS name, CASE WHEN NOT bare THEN '1.0.' || CAST(i % 7 AS VARCHAR) END AS version,
+ CASE WHEN bare AND ecosystem <> 'pypi' THEN 'no manifest' END AS scan_error FROM (SELECT *, i % {planted.BARE} = 0 AS bare FROM ({planted.FILES_SQL}))"""
 
 
 def package_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -660,7 +679,7 @@ def package_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOOKS_SQL = f"""SELECT ecosystem, CAST(i AS VARCHAR) AS source, CASE ecosystem WHEN 'npm' THEN 'postinstall' WHEN 'cargo' THEN 'build' ELSE path END AS hook, 'install_time' AS kind,
  sha256(CASE ecosystem WHEN 'npm' THEN 'echo ' || CAST(i AS VARCHAR) WHEN 'cargo' THEN 'fn main() {{}}' ELSE text END) AS body_sha256, CASE ecosystem WHEN 'npm' THEN '' ELSE path END AS path
- FROM ({planted.FILES_SQL}) WHERE path IN ('package.json', 'build.rs', 'setup.py', 'tools/install.ps1')"""
+ FROM ({planted.FILES_SQL}) WHERE path IN ('package.json', 'build.rs', 'setup.py', 'tools/install.ps1') AND (path <> 'build.rs' OR i % {planted.BARE} <> 0)"""
 
 
 BACKFILL_SQL = "SELECT 'npm' AS ecosystem, '@s/' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 3 <> 0 THEN '1.' || CAST(p_size AS VARCHAR) END AS version FROM part WHERE p_partkey % 5 <> 0"
@@ -709,6 +728,7 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "latest_versions": (latest_versions, LATEST_SQL),
     "catalog_documents": (catalog_documents, CATALOG_SQL),
     "package_files": (package_files, FILES_OUT_SQL),
+    "package_unpacked_by_sql": (unpacked_by_sql, UNPACKED_SQL),
     "package_manifests": (package_manifests, MANIFESTS_SQL),
     "package_hooks": (package_hooks, HOOKS_SQL),
 }

@@ -123,6 +123,8 @@ def units_sql() -> str:
 
 ARCHIVE = "ecosystem string, source string, content binary"
 ECOSYSTEMS = ["npm", "cargo", "pypi", "nuget"]
+#: One in so many archives has no manifest.
+BARE = 11
 CODE_FILES = ["index.js", "src/lib.rs", "setup.py", "tools/install.ps1"]
 
 
@@ -138,11 +140,15 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInPandas(packed, ARCHIVE)
 
 
+MANIFEST_FILES = ("package/package.json", "c/Cargo.toml", "s/PKG-INFO", "x.nuspec")
+
+
 def _archive(i: int, code: bytes) -> bytes:
     name, version, out = f"pkg-{i}", f"1.0.{i % 7}", io.BytesIO()
     if i % 4 == 3:
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr("x.nuspec", f"<package><metadata><id>{name}</id><version>{version}</version></metadata></package>")
+            if i % BARE:
+                z.writestr("x.nuspec", f"<package><metadata><id>{name}</id><version>{version}</version></metadata></package>")
             z.writestr("tools/install.ps1", code)
         return out.getvalue()
     files = [
@@ -152,6 +158,8 @@ def _archive(i: int, code: bytes) -> bytes:
     ][i % 4]
     with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as tar:
         for path, data in files.items():
+            if path in MANIFEST_FILES and i % BARE == 0:
+                continue
             info = tarfile.TarInfo(path)
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
@@ -161,4 +169,5 @@ def _archive(i: int, code: bytes) -> bytes:
 #: The same files as rows: (i, ecosystem, path, kind, code), code: whether the file holds the document's text.
 FILES_SQL = """SELECT doc_id AS i, ['npm', 'cargo', 'pypi', 'nuget'][CAST(doc_id % 4 + 1 AS INT)] AS ecosystem, f.path AS path, f.kind AS kind, f.code AS code, coalesce(text, '') AS text
  FROM documents, (VALUES (0, 'package.json', 'json', false), (0, 'index.js', 'js_source', true), (1, 'Cargo.toml', 'toml', false), (1, 'src/lib.rs', 'rust_source', true), (1, 'build.rs', 'rust_source', false),
-  (2, 'PKG-INFO', 'text', false), (2, 'setup.py', 'py_source', true), (3, 'x.nuspec', 'text', false), (3, 'tools/install.ps1', 'text', true)) f(eco, path, kind, code) WHERE doc_id IS NOT NULL AND doc_id % 4 = f.eco"""
+  (2, 'PKG-INFO', 'text', false), (2, 'setup.py', 'py_source', true), (3, 'x.nuspec', 'text', false), (3, 'tools/install.ps1', 'text', true)) f(eco, path, kind, code)
+ WHERE doc_id IS NOT NULL AND doc_id % 4 = f.eco AND (doc_id % 11 <> 0 OR path NOT IN ('package.json', 'Cargo.toml', 'PKG-INFO', 'x.nuspec'))"""

@@ -52,6 +52,49 @@ def test_unpack_parse_and_hooks(spark):
     assert hooks == {("1", "postinstall", "install_time"), ("2", "build", "install_time"), ("3", "setup.py", "install_time"), ("4", "tools/install.ps1", "install_time")}
 
 
+def test_archives_without_files_or_manifest(spark):
+    rows = [("npm", "1", tgz({"package/a.js": b"1"})), ("cargo", "2", tgz({"c/build.rs": b"fn main() {}"})), ("pypi", "3", tgz({"s/setup.py": b"1"})), ("nuget", "4", nupkg({"lib/a.dll": b"MZxx"})), ("npm", "5", tgz({})), ("npm", "6", None)]
+    unpacked = packages.unpack(spark.createDataFrame(rows, "ecosystem string, source string, content binary")).cache()
+    assert {(r["source"], r["scan_error"].split(":")[0]) for r in unpacked.where("scan_error IS NOT NULL").collect()} == {("5", "no files"), ("6", "EOFError")} or unpacked.where("scan_error IS NOT NULL").count() == 2
+    files = packages.entries(unpacked)
+    parsed = packages.manifests(files)
+    assert {(r["source"], r["name"], r["scan_error"]) for r in parsed.collect()} == {("1", None, "no manifest"), ("2", None, "no manifest"), ("3", None, None), ("4", None, "no manifest")}
+    assert {(r["source"], r["hook"]) for r in packages.lifecycle(files, parsed).collect()} == {("3", "setup.py")}
+
+
+def test_unpack_holds_a_batch_at_most(monkeypatch):
+    """Rows come in batches of bounded bytes, and damage at an archive's end leaves no half package."""
+    monkeypatch.setattr(packages, "BATCH_BYTES", 1000)
+    whole = tgz({f"package/{i}.txt": bytes([i]) * 300 for i in range(40)})
+    batches = list(packages.entry_batches(packages.entry_rows("npm", "x", whole)))
+    assert max(b.num_rows for b in batches) == 3 and sum(b.num_rows for b in batches) == 40
+    (cut,) = packages.entry_rows("npm", "x", whole[:-30])
+    assert cut[2] is None and cut[7]
+
+
+def test_unpack_as_a_table_function(spark):
+    rows = [("npm", "1", tgz({"package/a.js": b"1", "package/b.js": b"22"})), ("nuget", "2", nupkg({"n.nuspec": b"x"})), ("npm", "3", b"none")]
+    raw = spark.createDataFrame(rows, "ecosystem string, source string, content binary")
+    packages.register(spark)
+    raw.createOrReplaceTempView("raw_archives")
+    by_sql = spark.sql("SELECT f.* FROM raw_archives a, LATERAL unpack(a.ecosystem, a.source, a.content) f")
+    assert sorted(map(str, by_sql.collect())) == sorted(map(str, packages.unpack(raw).collect())) and by_sql.count() == 4
+
+
+def test_npm_registry_by_variant(spark):
+    doc = {
+        "name": "p", "time": {"created": "2020-01-01T00:00:00Z", "modified": "x", "1.0": "2020-02-01T00:00:00.5Z", "2.0": "some day", "9.9": "2020-03-01T00:00:00Z"},
+        "versions": {"1.0": {"_npmUser": {"name": "ann", "email": "a"}}, "2.0": {"_npmUser": "no object"}, "3.0": {}}, "maintainers": [{"name": "ann"}, {"email": "no name"}, "odd"],
+    }
+    rows = [(json.dumps(doc),), ("no json",), (None,), (json.dumps({"name": "none", "versions": {}}),), (json.dumps({"name": "odd", "versions": [1], "time": 3, "maintainers": {}}),)]
+    got = catalog.npm_registry(spark.createDataFrame(rows, "value string")).collect()
+    show = lambda t: t and t.strftime("%Y-%m-%d")
+    assert sorted((r["name"], r["version"], show(r["published_at"]), r["published_by"], show(r["package_created_at"]), r["total_versions"]) for r in got) == [
+        ("p", "1.0", "2020-02-01", "ann", "2020-01-01", 3), ("p", "2.0", None, None, "2020-01-01", 3), ("p", "3.0", None, None, "2020-01-01", 3),
+    ]
+    assert {tuple(r["maintainers"]) for r in got} == {("ann",)}
+
+
 def test_integrity_path(spark):
     i = packages.integrity(F.lit("npm"), F.lit(b""))
     row = spark.range(1).select(i.alias("i"), catalog.integrity_path(i["algo"], i["digest_b64"]).alias("p")).first()

@@ -5,8 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.functions import fixed
-from palisade.functions.js import inside_token
+from palisade.functions import fixed, scanner
 from palisade.functions.rulespec import TEXT_RULES
 from palisade.functions.spans import running, spans
 from palisade.operators import rules, scoring
@@ -58,16 +57,16 @@ FOUND_IN_HOOKS = {
 }
 #: Rules that must not fire in a file: hits in comments, strings and templates, and near misses.
 ABSENT = [
-    ("NPM038", "// Note: malware would do\n//   require.cache[target] = { exports: x };\nlog(Object.keys(require.cache).length);"),
-    ("NPM038", "const DOC = `\n  attackers do:\n   require.cache[mod] = { exports: x };\n`;\nmodule.exports = DOC;"),
-    ("NPM018", "// Bad: fs.unlinkSync(__filename) would delete it.\nlog(__filename);"), ("NPM015", "// looks like [104, 116, 116, 112].\nconst U = 'https://x.example';"),
-    ("NPM044", 'const R = "watch for process.dlopen(h, p)";'), ("NPM039", "const D = `\n rimraf(os.homedir())\n`;\nlog(D, os.homedir());"),
-    ("NPM005", "// We do NOT eval(payload) here\nexport const D = \"" + "A" * 2048 + '";'), ("NPM007", "https://notwebhook.site.example"), ("NPM041", "JSON.stringify(process.env)"), ("NPM037", "require.main.filename"),
+    ("NPM038", "/* how a loader could be fooled: require.cache[key] = fake */ show(size(require.cache));"), ("NPM038", "help(`write require.cache[id] = module to swap a module`);"),
+    ("NPM018", "run(); // an installer may call fs.unlinkSync(__filename) at its end"), ("NPM015", "/* bytes 104, 116, 116, 112 begin a web address */ open(page);"),
+    ("NPM044", "warn('process.dlopen(lib, path) is not allowed');"), ("NPM039", "usage(`${tool} calls rimraf(os.homedir()) never`); home(os.homedir());"),
+    ("NPM005", "/* eval(code) was removed in 2.0 */ table = '" + "QUJD" * 500 + "';"), ("NPM007", "https://notwebhook.site.example"), ("NPM041", "JSON.stringify(process.env)"), ("NPM037", "require.main.filename"),
+    ("NPM038", "a = `one ${`two ${`three ${'require.cache[q] = w'}`}`}`; b()"), ("NPM018", "s = /[\"]/; t = 'fs.unlinkSync(__filename)';"),
 ]
 PRESENT = [
     ("NPM038", "x = /[\"'`]/; require.cache[target] = y"), ("NPM038", "it = `a ${`b`} c`; require.cache[t] = y"), ("NPM018", "s = 'it\\'s'; fs.unlinkSync(__filename)"), ("NPM044", "/* a */ process.dlopen(m) // b"),
-    ("NPM005", "eval(x); y = '" + "QUJD" * 300 + "'"),
-]
+    ("NPM005", "eval(x); y = '" + "QUJD" * 300 + "'"), ("NPM038", "open('; // delete require.cache[x]"), ("NPM018", "f({ a: `fs.unlinkSync(__filename)`"), ("NPM044", "x = a / 2; process.dlopen(m) / 'b'"),
+]  # fmt: skip  of sources that don't balance, hits in strings count, too
 
 
 @pytest.fixture(scope="module")
@@ -118,7 +117,7 @@ def test_long_tokens_need_no_stack(spark):
     texts = ["`" + "x" * n + "` eval(", '"' + "\\n" * (n // 2) + '" eval(', "/*" + "* " * (n // 2) + "*/ eval(", "//" + "a" * n + "\neval(", "`${" + "a" * n + "} eval(`", "'" + "y" * n, "/* eval(" + "*" * n]
     start = time.time()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    got = {r["i"]: r["x"] for r in df.select("i", inside_token(F.col("text"), F.regexp_instr("text", F.lit("eval")) - 1).alias("x")).collect()}
+    got = {r["i"]: r["x"] for r in df.withColumn("js", scanner.scanned(F.col("text"))).select("i", scanner.inside(F.col("js"), F.regexp_instr("text", F.lit("eval")) - 1).alias("x")).collect()}
     assert got == {0: False, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False}
     entries = spark.createDataFrame([("npm", str(i), "1", 0, "a.js", "js_source", t, 0) for i, t in enumerate(texts)], ENTRY)
     rules.unit_findings(rules.units(entries, spark.createDataFrame([], HOOK)), entries.select(*rules.PACKAGE).limit(0), as_of()).collect()

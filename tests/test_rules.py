@@ -1,5 +1,7 @@
 """Rules on rows that mirror their hits and near misses."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,40 @@ def test_merge(spark):
     df = spark.createDataFrame(rows, "v string, s string, c float, a string")
     got = [tuple(r["m"])[::2] for r in df.select(scoring.merged(*map(F.col, "vsca")).alias("m")).collect()]
     assert got == [("warn", "stage_merged"), ("warn", "stage1"), ("clean", "stage1"), ("block", "stage_merged"), ("block", "stage_merged"), ("warn", "stage1")]
+
+
+def edits(a, b):
+    """Levenshtein distance by the full table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_lookalikes_equal_brute_force(spark):
+    rng = random.Random(4)
+    listed = list(dict.fromkeys("".join(rng.choices("abc", k=rng.randrange(0, 7))) for _ in range(60))) + ["Mixed-Case", "é日本"]
+    names = [(f"{n}", f"{i}") for i, n in enumerate(["".join(rng.choices("abcd", k=rng.randrange(0, 8))) for _ in range(150)] + ["mixedcase", "e日本", "a" * 300, "Abc"])] * 2
+    packages = spark.createDataFrame([("npm", n, v, None) for n, v in names], "ecosystem string, name string, version string, package_created_at timestamp")
+    got = sorted({(r["name"], r["version"], r["excerpt"]) for r in rules.lookalikes(packages, F.lit("2024-02-01").cast("timestamp"), listed).collect()})
+    want = set()
+    for n, v in names:
+        near = [(edits(n.lower(), t.lower()), i, t) for i, t in enumerate(listed)]
+        near = [x for x in near if x[0] in (1, 2)]
+        if n.lower() not in [t.lower() for t in listed] and near:
+            d, _, t = min(near)
+            want.add((n, v, f"{n.lower()} ~= {t} (distance {d})"))
+    assert got == sorted(want) and len(got) > 50
+
+
+def test_lookalikes_of_a_long_list(spark):
+    """100,000 listed names: a hash join of shortened forms, nothing compared with everything."""
+    top = spark.range(100_000).select(F.col("id").cast("int").alias("ordinal"), F.concat(F.lit("pkg"), F.substring(F.md5(F.col("id").cast("string")), 1, 6)).alias("top"))
+    known = top.where("ordinal = 77").first()["top"]
+    packages = spark.createDataFrame([("npm", known + "x", "1", None), ("npm", known, "1", None), ("npm", "quite-another-name", "1", None)], "ecosystem string, name string, version string, package_created_at timestamp")
+    found = rules.lookalikes(packages, F.lit("2024-02-01").cast("timestamp"), top)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert [r["excerpt"] for r in found.where(F.col("name") == known + "x").collect()][0].startswith(f"{known}x ~= ") and found.where("name = 'quite-another-name'").count() == 0

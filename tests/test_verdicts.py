@@ -70,4 +70,4 @@ def test_verdicts_by_all_rules(spark, tables):
 def test_gate_and_messages_by_all_rules(spark, tables):
     name = f"pkg-{ALONE['NPM012'][0]}"
     assert [r["verdict"] for r in catalogue.gated(spark, tables).where(F.col("name") == name).collect()] == ["suspicious"]
-    assert "[NPM012]" in catalogue.messages(spark, tables).where(F.col("name") == name).first()["message"]
+    assert "(NPM012, " in catalogue.messages(spark, tables).where(F.col("name") == name).first()["message"]
