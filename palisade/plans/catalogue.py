@@ -148,14 +148,19 @@ def _caps_sql(listed: str) -> str:
     return f"array_to_string(list_filter([{order}], lambda c: list_contains({listed}, c)), ',')"
 
 
-STAGE1_SQL = _with_units(f""", f AS ({PLAIN_SQL}), w AS (SELECT *, CASE severity {" ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.SEVERITY_WEIGHTS.items())} END AS w FROM f),
+def stage1_sql(findings: str, packages_: str) -> str:
+    """Verdicts of packages (ecosystem, name, version) by findings, both SQL over `units`."""
+    return _with_units(f""", f AS ({findings}), w AS (SELECT *, CASE severity {" ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.SEVERITY_WEIGHTS.items())} END AS w FROM f),
  s AS (SELECT u.ecosystem, u.name, u.version, CAST(coalesce(sum(w.w), 0) AS BIGINT) AS score, coalesce(bool_or(NOT defers AND severity = 'critical'), false) AS critical,
    coalesce(bool_or(NOT defers AND w.w > 0), false) AS decisive, coalesce(bool_or(defers), false) AS deferring, string_split(coalesce(string_agg(w.capabilities, ','), ''), ',') AS caps
-   FROM (SELECT DISTINCT ecosystem, name, version FROM units) u LEFT JOIN w ON u.ecosystem = w.ecosystem AND u.name = w.name AND u.version = w.version GROUP BY ALL)
+   FROM ({packages_}) u LEFT JOIN w ON u.ecosystem = w.ecosystem AND u.name = w.name AND u.version = w.version GROUP BY ALL)
 SELECT ecosystem, name, version, score, CASE WHEN critical THEN 'malicious' WHEN score = 0 THEN 'clean' WHEN score >= 7 AND decisive THEN 'malicious' ELSE 'suspicious' END AS verdict,
   {_caps_sql("caps")} AS capabilities, deferring FROM s""").replace(") , f AS", "), f AS")
 
 
+STAGE1_SQL = stage1_sql(PLAIN_SQL, "SELECT DISTINCT ecosystem, name, version FROM units")
+
+
 # --- other rules --------------------------------------------------------------------------------------------------
 
 
@@ -338,6 +343,22 @@ TIME_SQL = _with_units(f""", q AS (SELECT *, coalesce(TRY_CAST(substr(name, 5) A
  UNION ALL SELECT {_found_sql("NPM028", "medium", "other", "location", "'2031-01-01'", True, "time_bomb")} FROM q WHERE k = 2""")
 
 
+#: Rules whose queries above look at tables with more planted into them; in the plain tables their only hits are these.
+_FEW_SQL = [
+    f"""WITH p AS ({planted.ENTRIES_SQL}) SELECT {_found_sql("NPM009", "high", "native_binary", "path", "CAST(NULL AS VARCHAR)", True, "native_binary")} FROM p
+ WHERE ecosystem = 'npm' AND kind = 'native_binary' AND NOT ends_with(path, 'bin/' || substr(name, 5))""",
+    _with_units(f""", m AS (SELECT *, {_UNQUOTED.replace("(t,", "(text,")} AS u FROM units WHERE unit = 'entry' AND kind = 'js_source')
+ SELECT {_found_sql("NPM022", "high", "obfuscation", "location", f"regexp_extract(u, '{_MIXED}')", True, "trojan_source")} FROM m WHERE regexp_matches(u, '{_MIXED}')"""),
+]
+#: Every finding of every rule: what the rules' own SQL gives.
+ALL_SQL = " UNION ALL ".join(
+    f"SELECT {', '.join(COLUMNS)} FROM ({sql})"
+    for sql in [_with_units(PLAIN_SQL), *CODE_ONLY_SQL.values(), BLOBS_SQL, PRESENCE_SQL, BUNDLED_SQL, LOOKALIKES_SQL, RECENCY_SQL, UNLISTED_SQL, SETUID_SQL, MACROS_SQL, *_FEW_SQL]
+)
+_PACKAGES_SQL = f"SELECT ecosystem, name, version FROM ({planted.ENTRIES_SQL}) UNION SELECT ecosystem, name, version FROM ({planted.LIFECYCLE_SQL}) UNION SELECT ecosystem, name, version FROM ({REGISTRY_SQL})"
+VERDICTS_SQL = stage1_sql(ALL_SQL, _PACKAGES_SQL)
+
+
 # --- history and differences --------------------------------------------------------------------------------------
 
 
@@ -689,9 +710,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"rule_{r.id.low
 ORACLES: dict[str, str] = {f"rule_{r.id.lower()}": _with_units(rule_sql(r)) for r in PLAIN}
 ORACLES |= {f"rule_{rule.lower()}": sql for rule, sql in CODE_ONLY_SQL.items()}
 _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "stage1_verdicts": (stage1_verdicts, None),
+    "stage1_verdicts": (stage1_verdicts, VERDICTS_SQL),
     "stage1_plain_verdicts": (stage1_plain_verdicts, STAGE1_SQL),
-    "all_findings": (all_findings, None),
+    "all_findings": (all_findings, ALL_SQL),
     "rule_presence": (presence, PRESENCE_SQL),
     "rule_npm005_blob_near_execution": (blobs, BLOBS_SQL),
     "rule_npm009_native_binaries": (native_binaries, NATIVE_SQL),
@@ -708,7 +729,7 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "capability_diff_strict": (diff_strict, STRICT_SQL),
     "capability_diff_parity": (diff_parity, PARITY_SQL),
     "verdict_diff": (verdict_diff, DIFF_SQL),
-    "stage2_gate": (gated, None),
+    "stage2_gate": (gated, f"SELECT ecosystem, name, version, score, verdict FROM ({VERDICTS_SQL}) WHERE verdict = 'suspicious' OR deferring"),
     "stage2_gate_plain": (gated_plain, f"SELECT ecosystem, name, version, score, verdict FROM ({STAGE1_SQL}) WHERE verdict = 'suspicious' OR deferring"),
     "stage2_messages": (messages, None),
     "stage2_merge": (merged, MERGED_SQL),
