@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import byte_bpe, cover_search, divergence, filter_audit, jaccard_join, license_scan, mixing, quality, secrets_ledger, sharding, token_counts, toxicity, url_filters
-from palisade.llm.common import table, written
+from palisade.llm.common import shared_dir, table, text_or_empty, written
 
 #: Parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SPAM_LABELS = ["spam-farm", "cheap-pills"]
 #: All host families of the pages tables that are taken as bad ones, by their names.
 BAD_FAMILIES = [*SPAM_LABELS, "casino-win", "free-bets", "ads-track", "adult-x"]
-#: One in so many canonical URLs, by a hash, stands for a list of single pages that have been reported, on hosts of any kind.
+#: One in so many pages, by its id, has been reported; its canonical URL is listed, whatever its host.
 REPORTED = 32
 TOKEN_LIMIT = 512
 
@@ -60,14 +61,13 @@ def listed_urls(pages: DataFrame, labels: list[str] = SPAM_LABELS) -> DataFrame:
 
 
 def reported_urls(pages: DataFrame) -> DataFrame:
-    """One in REPORTED of the canonical URLs, whatever their host."""
-    parts = url_filters.with_parts(pages.select("url")).where("host <> ''")
-    parts = parts.select(url_filters.canonical(F.col("host"), F.col("path")).alias("canon"))
-    return parts.where(F.conv(F.substring(F.md5("canon"), 1, 8), 16, 10).cast("long") % REPORTED == 0)
+    """The canonical URLs of the reported pages. Other pages with one of them are hits of the list alone: nothing in their rows tells."""
+    parts = url_filters.with_parts(pages.where(F.col("page_id") % REPORTED == 0).select("url")).where("host <> ''")
+    return parts.select(url_filters.canonical(F.col("host"), F.col("path")).alias("canon"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: all URLs of the bad families, and single reported pages, of whose hosts other pages are not listed."""
+    """The list: all URLs of the bad families, and those of reported pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = listed_urls(pages, BAD_FAMILIES).unionByName(reported_urls(pages))
     return url_filters.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
@@ -111,6 +111,20 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans with one ledger: of the documents, then of a version in which every second text, by its length, has a line more.
+
+    Of the second: each document's spans, and whether its text had to be scanned.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{shared_dir(spark)}/palisade-ledger-{uuid.uuid4().hex}"
+    secrets_ledger.scan_with(docs, folder)
+    longer = F.when(F.length(text_or_empty("text")) % 2 == 0, F.concat(text_or_empty("text"), F.lit("\ntoken = abcdefghijkl0123"))).otherwise(F.col("text"))
+    out, new = secrets_ledger.scan(docs.withColumn("text", longer), ledger=secrets_ledger.read_ledger(spark, folder))
+    scanned = F.coalesce("scanned", F.lit(False)).alias("scanned")
+    return out.join(new.select("blob", F.lit(True).alias("scanned")), "blob", "left").select("doc_id", scanned, secrets_ledger.joined(F.col("spans")).alias("spans"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.near_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -164,7 +178,7 @@ SELECT page_id, host, path, rule,
     CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
          WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 
-URL_SQL = FAMILIES_SQL.replace(f"{BAD_FAMILIES})", f"{BAD_FAMILIES}) OR host <> '' AND ('0x' || substr(md5(canon), 1, 8))::BIGINT % {REPORTED} = 0")
+URL_SQL = FAMILIES_SQL.replace(f"{BAD_FAMILIES})", f"{BAD_FAMILIES}) OR host <> '' AND page_id % {REPORTED} = 0")
 
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
@@ -227,6 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
+    "op9_secret_rescan": op9_secret_rescan,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,

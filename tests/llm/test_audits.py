@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.llm import divergence, filter_audit, license_scan, queries
+from palisade.llm import divergence, filter_audit, license_scan, queries, secrets_ledger
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -202,3 +202,16 @@ def test_license_scan_keeps_other_columns_and_own_templates(spark):
 def test_license_scan_is_native(spark):
     plan = license_scan.scan(spark.createDataFrame([(1, "mit license")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rescan_looks_at_new_texts_only(spark, tmp_path):
+    """Equals a scan without a ledger; a text is scanned if no document of the first version has it."""
+    rows = [(1, "password = abcdefghijkl"), (2, "password = abcdefghijkl!"), (3, None), (4, "x"), (5, "token = 0123456789abcdef"), (6, ""), (7, "x\ntoken = abcdefghijkl0123"), (None, "x"), (8, "\ntoken = abcdefghijkl0123")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_secret_rescan(spark, str(tmp_path)).collect()
+    after = [(i, (t or "") + "\ntoken = abcdefghijkl0123" if len(t or "") % 2 == 0 else t) for i, t in rows]
+    whole = secrets_ledger.scan(spark.createDataFrame(after, "doc_id long, text string"))[0]
+    want = {r["doc_id"]: r["s"] for r in whole.select("doc_id", secrets_ledger.joined(F.col("spans")).alias("s")).collect()}
+    seen = {t or "" for _, t in rows}
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, scanned={(t or '') not in seen}, spans={want[i]!r})" for i, t in after)
+    assert {r["scanned"] for r in got} == {True, False}
