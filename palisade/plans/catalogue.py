@@ -693,8 +693,9 @@ MANIFESTS_SQL = f"""SELECT DISTINCT ecosystem, CAST(i AS VARCHAR) AS source, CAS
 
 
 def package_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = archive_files(spark, sf_dir)
-    out = packages_source.lifecycle(files, packages_source.manifests(files))
+    unpacked = stored(packages_source.hook_files(packages_source.unpack(planted.archives(spark, sf_dir))), "hook_files")
+    files = packages_source.entries(unpacked)
+    out = packages_source.lifecycle(files, stored(packages_source.manifests(files), "manifests"))
     return out.select("ecosystem", "source", "hook", "kind", F.sha2("body", 256).alias("body_sha256"), F.coalesce("path", F.lit("")).alias("path"))
 
 

@@ -229,6 +229,13 @@ _MANIFEST = pa.struct([(c.split()[0], pa.map_(pa.string(), pa.string()) if c.spl
 NEEDS_MANIFEST = ("npm", "cargo", "nuget")
 
 
+def _manifest_rank() -> Column:
+    """Null for files that are no manifest; of an archive's manifests the first counts."""
+    eco, path = F.col("ecosystem"), F.col("path")
+    rank = F.when((eco == "npm") & (path == "package.json"), 1).when((eco == "cargo") & (path == "Cargo.toml"), 1).when((eco == "nuget") & path.rlike(r"\A[^/]+\.nuspec\z"), 1)
+    return rank.when((eco == "pypi") & (path == "pyproject.toml"), 1).when((eco == "pypi") & (path == "PKG-INFO"), 2)
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """(ecosystem, source, manifest columns) of every archive: one small file of it is parsed; of PyPI's two the TOML one if it names the package.
 
@@ -245,14 +252,25 @@ def manifests(files: DataFrame) -> DataFrame:
             out.append((named or read or [missing])[0])
         return pa.array(out, _MANIFEST)
 
-    eco, path = F.col("ecosystem"), F.col("path")
-    rank = F.when((eco == "npm") & (path == "package.json"), 1).when((eco == "cargo") & (path == "Cargo.toml"), 1).when((eco == "nuget") & path.rlike(r"\A[^/]+\.nuspec\z"), 1)
-    rank = rank.when((eco == "pypi") & (path == "pyproject.toml"), 1).when((eco == "pypi") & (path == "PKG-INFO"), 2)
+    rank = _manifest_rank()
     one = F.when(rank.isNotNull() & F.col("text").isNotNull(), F.struct(rank.alias("rank"), "path", "text"))
     found = files.groupBy("ecosystem", "source").agg(F.array_sort(F.collect_list(one)).alias("found"))  # a few small files of each archive
     return found.select("ecosystem", "source", parsed("ecosystem", "found").alias("m")).select("ecosystem", "source", "m.*")
 
 
+INSTALLERS = ("tools/install.ps1", "tools/init.ps1", "tools/uninstall.ps1")
+
+
+def hook_files(unpacked: DataFrame) -> DataFrame:
+    """The rows of unpack that manifests and hooks come from (any file of a crate, whose manifest names its build script), and each archive's first one, else without its bytes.
+
+    To be stored: manifests and lifecycle read their files several times, and so the archives are unpacked but once.
+    """
+    eco, path = F.col("ecosystem"), F.col("path")
+    wanted = _manifest_rank().isNotNull() | (eco == "cargo") | ((eco == "pypi") & (path == "setup.py")) | ((eco == "nuget") & F.lower(path).isin(*INSTALLERS))
+    return unpacked.where("scan_error IS NULL").where(wanted | (F.col("ordinal") == 0)).withColumn("bytes", F.when(wanted, F.col("bytes")))
+
+
 def lifecycle(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Hooks (ecosystem, source, hook, kind, body, path)."""
     columns = ["ecosystem", "source", "hook", "kind", "body", "path"]
@@ -268,7 +286,7 @@ def lifecycle(files: DataFrame, parsed: DataFrame) -> DataFrame:
     foreign = parsed.where("ecosystem = 'pypi'").withColumn("backend", backend).where(~F.col("backend").isin(*fixed.TRUSTED_BACKENDS))
     foreign = foreign.select("ecosystem", "source", F.lit("build-backend").alias("hook"), F.lit("install_time").alias("kind"), F.concat(F.lit("build-backend = "), "backend").alias("body"), F.lit("pyproject.toml").alias("path"))
     low = F.lower("path")
-    nuget = files.where((F.col("ecosystem") == "nuget") & low.isin("tools/install.ps1", "tools/init.ps1", "tools/uninstall.ps1"))
+    nuget = files.where((F.col("ecosystem") == "nuget") & low.isin(*INSTALLERS))
     nuget = nuget.select("ecosystem", "source", low.alias("hook"), F.lit("install_time").alias("kind"), F.col("text").alias("body"), "path")
     out = npm.select(columns)
     for part in (cargo, setup, foreign, nuget):

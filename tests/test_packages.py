@@ -5,10 +5,12 @@ import json
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import history, stage2
+from palisade.plans import catalogue, planted
 from palisade.sources import catalog, packages
 from palisade.streaming import feed
 
@@ -72,6 +74,23 @@ def test_unpack_holds_a_batch_at_most(monkeypatch):
     assert cut[2] is None and cut[7]
 
 
+def test_hooks_unpack_the_archives_once(spark):
+    """What manifests and hooks read is stored: the query's own plan neither packs nor unpacks, and nothing is lost."""
+    folder = "/root/testdata/sf0.001"
+    found = catalogue.package_hooks(spark, folder)
+    assert "InArrow" not in found._jdf.queryExecution().toString() and "InPandas" not in found._jdf.queryExecution().toString()
+    files = catalogue.archive_files(spark, folder).cache()
+    plain = packages.lifecycle(files, packages.manifests(files)).select("ecosystem", "source", "hook", "kind", F.sha2("body", 256), F.coalesce("path", F.lit("")))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    rows = [("cargo", "1", tgz({"c/x/own.rs": b"1", "c/Cargo.toml": b'[package]\nname = "c"\nversion = "1"\nbuild = "x/own.rs"\n'})), ("npm", "2", tgz({"package/a.js": b"1", "package/b.js": b"2"})), ("npm", "3", b"none")]
+    kept = packages.hook_files(packages.unpack(spark.createDataFrame(rows, "ecosystem string, source string, content binary"))).cache()
+    assert {(r["source"], r["path"], r["bytes"] is None) for r in kept.collect()} == {("1", "x/own.rs", False), ("1", "Cargo.toml", False), ("2", "a.js", True)}
+    files = packages.entries(kept)
+    parsed = packages.manifests(files).cache()
+    assert {(r["source"], r["scan_error"]) for r in parsed.collect()} == {("1", None), ("2", "no manifest")}
+    assert [(r["source"], r["path"], r["body"]) for r in packages.lifecycle(files, parsed).collect()] == [("1", "x/own.rs", "1")]
+
+
 def test_unpack_as_a_table_function(spark):
     rows = [("npm", "1", tgz({"package/a.js": b"1", "package/b.js": b"22"})), ("nuget", "2", nupkg({"n.nuspec": b"x"})), ("npm", "3", b"none")]
     raw = spark.createDataFrame(rows, "ecosystem string, source string, content binary")
