@@ -78,43 +78,60 @@ _ENTRY = pa.schema([("ecosystem", pa.string()), ("source", pa.string()), ("ordin
 def entry_rows(ecosystem: str, source: str, content: bytes) -> Iterator[tuple]:
     """Rows of ENTRY_SCHEMA, member by member; an archive that can't be read, or is empty, gives one row with scan_error.
 
-    The archive is read through before the first row comes, so that damage at its end leaves no half package, and then once more:
-    that costs time, but no more memory than its largest member.
+    The archive is read through before the first row comes, so that damage at its end leaves no half package. What fits into
+    BATCH_BYTES is held meanwhile; a larger one is read once more, which costs time, but no more memory than that and its largest member.
     """
+    held, size, n = [], 0, 0
     try:
-        n = sum(1 for _ in files_of(ecosystem, content))
+        for n, (path, own, mode, data) in enumerate(files_of(ecosystem, content), 1):
+            if size < BATCH_BYTES:
+                size += len(data) + 100
+                held.append((ecosystem, source, n - 1, path, own, data, mode, None))
+            if size >= BATCH_BYTES:
+                held.clear()
         error = None if n else "no files"
     except Exception as damage:  # any damage of one archive is that archive's result
         error = f"{type(damage).__name__}: {damage}"[:500]
     if error:
         yield ecosystem, source, None, None, None, None, None, error
-        return
-    for ordinal, (path, size, mode, data) in enumerate(files_of(ecosystem, content)):
-        yield ecosystem, source, ordinal, path, size, data, mode, None
+    elif size < BATCH_BYTES:
+        yield from held
+    else:
+        for ordinal, (path, own, mode, data) in enumerate(files_of(ecosystem, content)):
+            yield ecosystem, source, ordinal, path, own, data, mode, None
 
 
-def entry_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of about BATCH_BYTES."""
+def entry_batches(rows: Iterator[tuple], schema: pa.Schema = _ENTRY, data: int = 5) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about BATCH_BYTES; data: the place of the column whose bytes count."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[5] or b"") + 100
+        size += len(row[data] or b"") + 100
         if size >= BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def prepared(spark: SparkSession) -> None:
+    """Batches of bounded bytes to Python: rows hold whole archives and texts, so a bound on their number alone doesn't bound memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def unpack(packages: DataFrame) -> DataFrame:
     """archives (ecosystem, source, content) exploded to files; a damaged archive has a row with scan_error, never fails the job."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 eco, source, content = (batch.column(c)[i].as_py() for c in ("ecosystem", "source", "content"))
-                yield from entry_batches(entry_rows(eco, source, content or b""))
+                yield from entry_rows(eco, source, content or b"")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return entry_batches(rows(batches))
 
+    prepared(packages.sparkSession)
     return packages.select("ecosystem", "source", "content").mapInArrow(of, ENTRY_SCHEMA)
 
 
@@ -253,6 +270,7 @@ def manifests(files: DataFrame) -> DataFrame:
         return pa.array(out, _MANIFEST)
 
     rank = _manifest_rank()
+    prepared(files.sparkSession)
     one = F.when(rank.isNotNull() & F.col("text").isNotNull(), F.struct(rank.alias("rank"), "path", "text"))
     found = files.groupBy("ecosystem", "source").agg(F.array_sort(F.collect_list(one)).alias("found"))  # a few small files of each archive
     return found.select("ecosystem", "source", parsed("ecosystem", "found").alias("m")).select("ecosystem", "source", "m.*")

@@ -91,6 +91,29 @@ def test_hooks_unpack_the_archives_once(spark):
     assert [(r["source"], r["path"], r["body"]) for r in packages.lifecycle(files, parsed).collect()] == [("1", "x/own.rs", "1")]
 
 
+def test_small_archives_are_read_once(monkeypatch):
+    reads, own = [], packages.files_of
+    monkeypatch.setattr(packages, "files_of", lambda *a: reads.append(1) or own(*a))
+    content = tgz({f"package/{i}.txt": bytes([i]) * 300 for i in range(10)})
+    once = list(packages.entry_rows("npm", "x", content))
+    assert len(reads) == 1
+    monkeypatch.setattr(packages, "BATCH_BYTES", 1000)
+    assert list(packages.entry_rows("npm", "x", content)) == once and len(reads) == 3
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    """Rows of 1 MB in one partition: by their number alone all would be one batch."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    packages.unpack(spark.createDataFrame([], "ecosystem string, source string, content binary"))
+    big = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), packages.MIB).alias("t")).mapInArrow(sizes, "n long")
+    assert max(r["n"] for r in big.collect()) <= 2 * packages.BATCH_BYTES
+
+
 def test_unpack_as_a_table_function(spark):
     rows = [("npm", "1", tgz({"package/a.js": b"1", "package/b.js": b"22"})), ("nuget", "2", nupkg({"n.nuspec": b"x"})), ("npm", "3", b"none")]
     raw = spark.createDataFrame(rows, "ecosystem string, source string, content binary")
