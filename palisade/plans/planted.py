@@ -12,10 +12,12 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.sources import packages
+
 
 @dataclass(frozen=True)
 class Plant:
@@ -122,6 +124,7 @@ def units_sql() -> str:
 
 
 ARCHIVE = "ecosystem string, source string, content binary"
+_PACKED = pa.schema([("ecosystem", pa.string()), ("source", pa.string()), ("content", pa.binary())])
 ECOSYSTEMS = ["npm", "cargo", "pypi", "nuget"]
 #: One in so many archives has no manifest.
 BARE = 11
@@ -131,13 +134,18 @@ CODE_FILES = ["index.js", "src/lib.rs", "setup.py", "tools/install.ps1"]
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A real archive for each document, of the ecosystem of its id modulo 4, with the document's text as its code."""
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(ECOSYSTEMS[i % 4], str(i), _archive(int(i), t.encode())) for i, t in zip(frame["doc_id"], frame["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=["ecosystem", "source", "content"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                i = i.as_py()
+                yield ECOSYSTEMS[i % 4], str(i), _archive(i, t.as_py().encode())
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packages.entry_batches(rows(batches), _PACKED, 2)
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInPandas(packed, ARCHIVE)
+    packages.prepared(spark)
+    return docs.mapInArrow(packed, ARCHIVE)
 
 
 MANIFEST_FILES = ("package/package.json", "c/Cargo.toml", "s/PKG-INFO", "x.nuspec")

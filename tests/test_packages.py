@@ -114,6 +114,15 @@ def test_batches_to_python_are_bounded_by_bytes(spark):
     assert max(r["n"] for r in big.collect()) <= 2 * packages.BATCH_BYTES
 
 
+def test_archives_are_made_in_bounded_batches(spark, monkeypatch):
+    """Neither a frame of many texts nor one of their archives is held."""
+    made = planted.archives(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+    docs = {str(r["doc_id"]): r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id IS NOT NULL").collect()}
+    got = {r["source"]: list(packages.files_of(r["ecosystem"], r["content"]))[-1] for r in made.where("ecosystem <> 'cargo'").collect()}
+    assert len(docs) > 100 and got and all(data.decode() == docs[i] for i, (*_, data) in got.items())
+
+
 def test_unpack_as_a_table_function(spark):
     rows = [("npm", "1", tgz({"package/a.js": b"1", "package/b.js": b"22"})), ("nuget", "2", nupkg({"n.nuspec": b"x"})), ("npm", "3", b"none")]
     raw = spark.createDataFrame(rows, "ecosystem string, source string, content binary")
