@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palisade.plans import catalogue
 from palisade.plans.catalogue import table
 from palisade.sources import catalog, change_log
-from palisade.sources.shared import new_folder
+from palisade.sources.shared import new_folder, stored
 from palisade.streaming import feed, state
 
 DAY_MS = 86_400_000
@@ -20,6 +20,7 @@ def replayed(lines: DataFrame, run: Callable[[str, str], None]) -> None:
     """Writes lines (seq, value) as a log up to the mean seq, runs the stream, writes the rest and runs it again from its checkpoint."""
     spark = lines.sparkSession
     log, checkpoint = new_folder(spark, "log"), new_folder(spark, "offsets")
+    lines = stored(lines, "lines")  # they are read seven times: for the mean, and counted, sampled and written in each part
     middle = lines.agg(F.avg("seq")).first()[0]
     for part in (F.col("seq") <= F.lit(middle), F.col("seq") > F.lit(middle)):
         change_log.write_segments(lines.where(part), log, 20_000)

@@ -6,6 +6,7 @@ of one batch are put in order; across batches they must come in that order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -104,23 +105,22 @@ class Newest(StatefulProcessor):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getMapState("newest", "version string", "published_ms long, capabilities array<string>, status string, complete boolean")
+        # One value, as each call of the state is a message to the JVM; and as JSON, as it and rows with many columns take far longer to convert.
+        self.newest = handle.getValueState("newest", "versions string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = {k[0]: tuple(v) for k, v in self.newest.iterator()}
+        found = self.newest.get()
+        known = {version: tuple(value) for version, *value in json.loads(found[0])} if found else {}
         before = dict(known)
-        for row in sorted(rows, key=lambda r: r["seq"]):
-            own = (row["published_ms"], list(row["capabilities"] or []), row["status"], row["complete"])
-            others = sorted(((v[0], k, *v[1:]) for k, v in known.items() if k != row["version"]), key=lambda x: x[:2], reverse=True)[: self.window]
+        for row in sorted((json.loads(r["verdict"]) for r in rows), key=lambda r: r["seq"]):
+            version, own = row.get("version"), (row["published_ms"], row.get("capabilities") or [], row.get("status"), row["complete"])
+            others = sorted(((v[0], k, *v[1:]) for k, v in known.items() if k != version), key=lambda x: x[:2], reverse=True)[: self.window]
             outcome, introduced = self._compared(own[1], others)
-            yield Row(ecosystem=key[0], name=key[1], version=row["version"], outcome=outcome, introduced=introduced)
-            known[row["version"]] = own
+            yield Row(ecosystem=key[0], name=key[1], version=version, outcome=outcome, introduced=introduced)
+            known[version] = own
             known = dict(sorted(known.items(), key=lambda x: (x[1][0], x[0]), reverse=True)[: self.window + 1])
-        for version in before.keys() - known.keys():
-            self.newest.removeKey((version,))
-        for version, value in known.items():
-            if before.get(version) != value:
-                self.newest.updateValue((version,), value)
+        if known != before:
+            self.newest.update((json.dumps([(version, *value) for version, value in known.items()]),))
 
     def _compared(self, capabilities: list[str], others: list[tuple]) -> tuple[str, list[str]]:
         """The checks of history.outcome, in their order."""
@@ -140,6 +140,8 @@ def capability_changes(verdicts: DataFrame, window: int = history.WINDOW) -> Dat
     seq is the order in which a package's verdicts have come. No package's history is read.
     """
     prepared(verdicts.sparkSession)
-    rows = verdicts.select(*KEY, F.col("version").cast("string").alias("version"), "seq", F.coalesce(F.unix_millis(F.col("published_at").cast("timestamp")), F.lit(-(1 << 62))).alias("published_ms"), "capabilities", "status", F.coalesce("complete", F.lit(False)).alias("complete"))
+    published = F.coalesce(F.unix_millis(F.col("published_at").cast("timestamp")), F.lit(-(1 << 62)))
+    own = F.struct(F.col("version").cast("string").alias("version"), "seq", published.alias("published_ms"), "capabilities", "status", F.coalesce("complete", F.lit(False)).alias("complete"))
+    rows = verdicts.select(*KEY, F.to_json(own).alias("verdict"))
     return rows.groupBy(*KEY).transformWithState(Newest(window), Newest.OUT, "Append", "None")
 

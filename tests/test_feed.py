@@ -6,6 +6,7 @@ import threading
 
 import pytest
 from pyarrow import fs as pafs
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from palisade.operators import history
@@ -325,3 +326,44 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
         bad.repartition(3).write.format("verdict_catalog").mode("append").save(folder)
     assert not [p for p in (tmp_path / "files").rglob("*.json")]
     assert spark.read.format("verdict_catalog").load(folder).count() == 0
+
+
+class Calls:
+    """A state of one value, and its timers, that counts the calls of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.n = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.value, self.n = value, self.n + 1
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.n += 1
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+        self.n += 1
+
+
+def test_state_is_called_once_for_many_verdicts():
+    held, job = Calls(), state.Newest(5)
+    job.init(held)
+    rows = [Row(verdict=json.dumps({"seq": i, "version": str(i), "published_ms": i, "capabilities": ["a", f"c{i % 9}"], "status": "clean", "complete": True})) for i in range(100)]
+    first = list(job.handleInputRows(("npm", "a"), iter(rows[:50]), None))
+    assert held.n == 2 and len(json.loads(held.value[0])) == 6
+    both = first + list(job.handleInputRows(("npm", "a"), iter(rows[50:]), None))
+    assert held.n == 4 and [r["outcome"] for r in both[:6]] == ["not_attempted"] + ["abstained_baseline_incomplete"] * 4 + ["produced"]
+    assert all(r["introduced"] == [f"c{i % 9}"] for i, r in enumerate(both) if i >= 5)
