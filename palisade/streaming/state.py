@@ -39,45 +39,57 @@ class InFlight(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "until long")
-        self.waiting = handle.getValueState("waiting", "seq long, n long")  # the last one, and how many
+        self.held = handle.getValueState("held", "until long, seq long, n long")  # the analysis' end; the last change that waits, and how many
+
+    def _ended(self, key: tuple, at: int, seq: int | None, n: int) -> tuple[list[Row], tuple | None]:
+        """The analysis is over: the last change that waits starts the next one. Gives that start and what is held then."""
+        return ([self._start(key, seq, at, n)], (at + self.timeout, None, 0)) if n else ([], None)
 
     def _start(self, key: tuple, seq: int, at: int, waited: int) -> Row:
-        self.open.update((at + self.timeout,))
-        self.handle.registerTimer(at + self.timeout)
         return Row(ecosystem=key[0], name=key[1], seq=seq, at_ms=at, waited=waited)
 
-    def _end(self, key: tuple, at: int, until: int) -> Iterator[Row]:
-        """The analysis is over: the last change that waits starts the next one."""
-        self.handle.deleteTimer(until)
-        waiting = self.waiting.get() if self.waiting.exists() else None
-        self.waiting.clear()
-        self.open.clear()
-        if waiting:
-            yield self._start(key, waiting[0], at, waiting[1])
-
-    def _until(self) -> int | None:
-        return self.open.get()[0] if self.open.exists() else None
+    def _hold(self, before: tuple | None, held: tuple | None) -> None:
+        """Each call of the state is a message to the JVM: so there is one of each kind for a key and batch, and none for what hasn't changed."""
+        if held == before:
+            return
+        was, until = before and before[0], held and held[0]
+        if was != until:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if until is not None:
+                self.handle.registerTimer(until)
+        if held is None:
+            self.held.clear()
+        else:
+            self.held.update(held)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda r: (r["at_ms"], r["seq"])):
-            at, until = row["at_ms"], self._until()
-            while until is not None and until <= at:  # timed out before this row came
-                yield from self._end(key, until, until)
-                until = self._until()
-            if row["ended"]:
-                if until is not None:
-                    yield from self._end(key, at, until)
-            elif until is None:
-                yield self._start(key, row["seq"], at, 0)
+        before = held = self._get()
+        for at, seq, ended in sorted((r["at_ms"], r["seq"], bool(r["ended"])) for r in rows):
+            while held is not None and held[0] <= at:  # timed out before this row came
+                started, held = self._ended(key, *held)
+                yield from started
+            if ended:
+                if held is not None:
+                    started, held = self._ended(key, at, *held[1:])
+                    yield from started
+            elif held is None:
+                held = (at + self.timeout, None, 0)
+                yield self._start(key, seq, at, 0)
             else:
-                n = self.waiting.get()[1] if self.waiting.exists() else 0
-                self.waiting.update((row["seq"], n + 1))
+                held = (held[0], seq, held[2] + 1)
+        self._hold(before, held)
+
+    def _get(self) -> tuple | None:
+        found = self.held.get()
+        return found and tuple(found)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until, now = self._until(), expiredTimerInfo.getExpiryTimeInMs()
-        if until == now:
-            yield from self._end(key, until, until)
+        before = self._get()
+        if before is not None and before[0] == expiredTimerInfo.getExpiryTimeInMs():
+            started, held = self._ended(key, *before)
+            yield from started
+            self._hold(before, held)
 
 
 def in_flight(changes: DataFrame, timeout: int, lateness: str = "0 seconds") -> DataFrame:

@@ -358,6 +358,17 @@ class Calls:
         self.n += 1
 
 
+def test_state_is_called_once_for_many_rows_in_flight():
+    held, job = Calls(), state.InFlight(10)
+    job.init(held)
+    rows = [Row(at_ms=t, seq=t, ended=t % 7 == 6) for t in range(0, 400, 2)]
+    assert len(list(job.handleInputRows(("npm", "a"), iter(rows), None))) > 20
+    assert held.n <= 3 and held.timers == {held.value[0]}
+    held.n = 0
+    list(job.handleInputRows(("npm", "a"), iter(rows[:3]), None))
+    assert held.n <= 4 and held.timers == {held.value[0]}
+
+
 def test_state_is_called_once_for_many_verdicts():
     held, job = Calls(), state.Newest(5)
     job.init(held)
