@@ -54,7 +54,7 @@ def _listed(values) -> str:
 _SCOPES = {
     "S": "unit = 'entry'",
     "J": "unit = 'entry' AND kind IN ('js_source', 'text')",
-    "R": "unit = 'entry' AND kind = 'rust_source' AND macro_crate",
+    "R": "unit = 'entry' AND kind = 'rust_source'",  # and of a macro crate, which the hits are asked for
     "D": f"unit = 'entry' AND lower(location) IN ({_listed(fixed.ROOT_DOCUMENTS)})",
     "L": "unit = 'hook'",
     "LI": "unit = 'hook' AND kind = 'install_time'",
@@ -124,16 +124,26 @@ def _text_findings(rules: list[TextRule]) -> Column:
     return _present(found)
 
 
+#: Rules that look at Rust sources of macro crates alone.
+MACRO_RULES = [r.id for r in TEXT_RULES if any("R" in s.units for s in r.scopes)]
+assert all(s.units == ("R",) for r in TEXT_RULES if r.id in MACRO_RULES for s in r.scopes), "their findings are told by the rule"
+
+
+def _of_macro_crates(hits: DataFrame, macro_crates: DataFrame | None) -> DataFrame:
+    """The hits without those that count in macro crates only and lie elsewhere. Narrow hits meet the crates, not the texts, which would be shuffled for it."""
+    elsewhere = ~F.col("rule_id").isin(MACRO_RULES)
+    if macro_crates is None:
+        return hits.where(elsewhere)
+    crates = macro_crates.select(*PACKAGE).distinct().withColumn("macro_crate", F.lit(True))
+    return hits.join(crates, PACKAGE, "left").where(elsewhere | F.col("macro_crate").isNotNull()).drop("macro_crate")
+
+
 def _exploded(scanned: DataFrame, found: list[Column], macro_crates: DataFrame | None = None, code_of: Column | None = None) -> DataFrame:
     """The findings of all arrays, each text read once. code_of: which texts the scanner has to look at (column js)."""
-    if macro_crates is not None:
-        scanned = scanned.join(macro_crates.select(*PACKAGE).distinct().withColumn("macro_crate", F.lit(True)), PACKAGE, "left")
-        scanned = scanned.withColumn("macro_crate", F.coalesce("macro_crate", F.lit(False)))
-    else:
-        scanned = scanned.withColumn("macro_crate", F.lit(False))
     scanned = scanned.withColumn("low", F.lower("text"))
     scanned = scanned.withColumn("js", F.lit(None).cast(scanner.SCANNED) if code_of is None else scanner.scanned(F.when(code_of, F.col("text"))))
-    return scanned.select(*PACKAGE, "ordinal", F.explode(F.concat(*found)).alias("f")).select(*PACKAGE, "ordinal", "f.*")
+    hits = scanned.select(*PACKAGE, "ordinal", F.explode(F.concat(*found)).alias("f")).select(*PACKAGE, "ordinal", "f.*")
+    return _of_macro_crates(hits, macro_crates)
 
 
 def _first_file_only(hits: DataFrame) -> DataFrame:
