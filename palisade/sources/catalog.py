@@ -85,13 +85,13 @@ def _of(spark: SparkSession, snapshot: dict[str, str], schema, buckets: list[str
 def upsert(spark: SparkSession, new: DataFrame, path: str, tries: int = 20) -> int:
     """Adds verdicts to the catalog at path; the newest of a key stays, and putting one twice changes nothing. Gives the snapshot's number.
 
-    Touched buckets are written to new folders. Then a snapshot, a file that names the folder of every bucket, is created under
+    Touched buckets are written to new folders, each by one task as one file. Then a snapshot, a file that names the folder of every bucket, is created under
     the next number, which only one writer can do: readers see all of an upsert or nothing, and a crash leaves the old catalog. A
     writer that was not the first to that number goes on from what the others have made: only buckets that they have touched,
     too, are written again.
     """
     number, base = _snapshot(spark, path)
-    new = new.dropDuplicates().withColumn("_bucket", _bucket()).persist()
+    new = new.withColumn("_bucket", _bucket()).persist()
     try:
         touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]
         if not touched:
@@ -103,7 +103,8 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, tries: int = 20) -> i
                 run = f"{path}/data/{uuid.uuid4().hex}"
                 schema = new.drop("_bucket").schema
                 both = _of(spark, base, schema, todo).unionByName(new.where(F.col("_bucket").isin(todo)).drop("_bucket"))
-                latest(both).withColumn("_bucket", _bucket()).write.partitionBy("_bucket").parquet(run)
+                dealt = both.withColumn("_bucket", _bucket()).repartition(len(todo), "_bucket")
+                latest(dealt, ["_bucket", *PACKAGE]).write.partitionBy("_bucket").parquet(run)
                 written |= {b: f"{run}/_bucket={b}" for b in todo}
             if _swap(spark, path, number + 1, base | written):
                 return number + 1

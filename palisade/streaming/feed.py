@@ -51,22 +51,24 @@ def to_catalog(
 
     In each batch the changes of a package are one; tombstones only move the offset. registry gives the registry's documents
     (ecosystem, name, value), read anew for each batch, which say what each package's latest version is (of packages that they don't have,
-    or that have none, nothing is scanned); so of a burst of versions only the newest is. What the catalog has already is left out, and analyze
+    or that have none, nothing is scanned); so of a burst of versions only the newest is. They are read once in a batch, and only those of
+    changed packages are parsed. What the catalog has already is left out, and analyze
     gives verdicts for the rest, which are put. The offset is committed after that: a batch that comes again finds its
     verdicts there and changes nothing. A version for which analyze gives no verdict is tried again with its package's next change.
     """
 
     def handle(batch: DataFrame, n: int) -> None:
-        names = pending(batch).select(F.lit(ecosystem).alias("ecosystem"), F.col("id").alias("name")).persist()
+        names = pending(batch).select(F.lit(ecosystem).alias("ecosystem"), F.col("id").alias("name"))
+        documents = registry(batch.sparkSession).join(names, ["ecosystem", "name"], "left_semi")
+        newest = catalog.documented_latest(documents).select("ecosystem", "name", F.col("latest").alias("version")).distinct().persist()
         try:
-            newest = catalog.documented_latest(registry(batch.sparkSession)).where("latest IS NOT NULL")
-            wanted = names.join(newest, ["ecosystem", "name"]).select("ecosystem", "name", F.col("latest").alias("version")).distinct()
+            wanted = newest.where("version IS NOT NULL")  # after what is stored: below the join it would parse all documents
             todo = catalog.missing(wanted, catalog.read_for(batch.sparkSession, wanted, path, schema))
             catalog.upsert(batch.sparkSession, analyze(todo), path)
         finally:
-            names.unpersist()
+            newest.unpersist()
 
-    changes = change_log.read_stream(spark, log, since)
+    changes = change_log.read_stream(spark, log, since, CHANGE)
     return changes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
