@@ -6,7 +6,7 @@ offset of its checkpoint, whatever `since` says, so no change comes twice and no
 heartbeats, and lines that don't parse as a change are dropped, as is what comes after the last complete line.
 
 A batch is split by the bytes of its segments, and each split is read in blocks, so neither a long outage nor a large segment has to
-fit in memory. Listing a folder finds the segments of a range by their names; only the last one is looked into to find the newest seq.
+fit in memory; small segments share a task, so a batch of many has not a task for each. Listing a folder finds the segments of a range by their names; only the last one is looked into to find the newest seq.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 CHANGE = "seq LONG, id STRING, deleted BOOLEAN, value STRING"
 #: Bytes of a segment that one task reads, of a block, and of a look at the log's end.
 SPLIT, BLOCK, TAIL = 64 << 20, 1 << 20, 1 << 16
+#: Small segments share a task of so many bytes at least, or of as many as give each core so many tasks.
+SHARED, TASKS = 4 << 20, 3
 #: Changes handed to Spark at a time.
 ROWS = 10_000
 #: Stands between lines that are parsed together; no line can know it.
@@ -111,6 +113,27 @@ class Split(InputPartition):
         self.path, self.start, self.end, self.after, self.upto = path, start, end, after, upto
 
 
+class Splits(InputPartition):
+    """Splits that follow one another and are read by one task."""
+
+    def __init__(self, splits: list[Split]):
+        super().__init__(splits[0].path)
+        self.splits = splits
+
+
+def together(splits: list[Split], size: int) -> list[Splits]:
+    """The splits in order, in groups of at most size bytes or of one split."""
+    groups: list[list[Split]] = []
+    held = 0
+    for s in splits:
+        held += s.end - s.start
+        if not groups or held > size:
+            groups.append([])
+            held = s.end - s.start
+        groups[-1].append(s)
+    return [Splits(g) for g in groups]
+
+
 def lines_of(fs: pafs.FileSystem, split: Split) -> Iterator[bytes]:
     """Complete lines that start in the split."""
     with fs.open_input_file(split.path) as f:
@@ -148,7 +171,7 @@ class ChangeReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str], columns: list[str] | None = None):
         self.columns = columns
         self.folder, self.since = options["path"], int(options.get("since", "-1"))
-        self.split = int(options.get("splitbytes", str(SPLIT)))
+        self.split, self.cores = int(options.get("splitbytes", str(SPLIT))), int(options.get("cores", "0"))
 
     def initialOffset(self) -> dict:
         return {"seq": self.since}
@@ -157,19 +180,24 @@ class ChangeReader(DataSourceStreamReader):
         newest = newest_seq(self.folder)
         return {"seq": self.since if newest is None else max(newest, self.since)}
 
-    def partitions(self, start: dict, end: dict) -> list[Split]:
+    def partitions(self, start: dict, end: dict) -> list[Split] | list[Splits]:
         after, upto = start["seq"], end["seq"]
         found, out = segments(self.folder), []
         for (first, path, size), following in zip(found, [*(s[0] for s in found[1:]), None], strict=True):
             if first > upto or (following is not None and following <= after + 1):
                 continue
             out += [Split(path, a, min(a + self.split, size), after, upto) for a in range(0, size, self.split)]
-        return out
+        if not self.cores:
+            return out
+        each = sum(s.end - s.start for s in out) // (self.cores * TASKS)
+        return together(out, min(self.split, max(SHARED, each)))
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Split | Splits) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.folder)
-        for chunk in chunks_of(lines_of(fs, partition)):
-            rows = [row for row in parsed_all(chunk) if partition.after < row[0] <= partition.upto]
+        splits = partition.splits if isinstance(partition, Splits) else [partition]
+        after, upto = splits[0].after, splits[0].upto
+        for chunk in chunks_of(line for s in splits for line in lines_of(fs, s)):
+            rows = [row for row in parsed_all(chunk) if after < row[0] <= upto]
             if rows:
                 batch = _batch(rows)
                 yield batch if self.columns is None else batch.select(self.columns)
@@ -197,7 +225,8 @@ class ChangeLog(DataSource):
 def read_stream(spark: SparkSession, folder: str, since: int = -1, schema: str = CHANGE, **options: str) -> DataFrame:
     """The changes after `since` as a stream; schema: fewer of their columns, so that others don't come from Python."""
     spark.dataSource.register(ChangeLog)
-    return spark.readStream.format("change_log").schema(schema).option("since", str(since)).options(**options).load(folder)
+    stream = spark.readStream.format("change_log").schema(schema).option("since", str(since)).option("cores", str(spark.sparkContext.defaultParallelism))
+    return stream.options(**options).load(folder)
 
 
 def write_segments(lines: DataFrame, folder: str, rows: int = 100_000) -> int:

@@ -438,3 +438,23 @@ def test_a_stream_of_fewer_columns(spark, tmp_path):
     stream = change_log.read_stream(spark, f"file://{tmp_path}/log", schema=feed.CHANGE)
     run(stream, lambda batch, n: seen.extend(tuple(r) for r in batch.collect()), tmp_path / "ck")
     assert stream.columns == ["seq", "id", "deleted"] and sorted(seen) == [(1, "a", False), (2, "b", True)]
+
+
+def test_small_segments_share_a_task(spark, tmp_path, monkeypatch):
+    lines = [[change(i, "n" * (i % 30)) for i in range(10 * k, 10 * k + 10)] for k in range(40)]
+    for part in lines:
+        segment(tmp_path / "log", part)
+    options = {"path": f"file://{tmp_path}/log"}
+    seqs = lambda parts, reader: [r["seq"] for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    for shared, split in ((1, 10**6), (900, 10**6), (10**6, 10**6), (10**6, 700), (1, 64)):
+        monkeypatch.setattr(change_log, "SHARED", shared)
+        reader = change_log.ChangeReader(options | {"cores": "4", "splitbytes": str(split)})
+        parts = reader.partitions({"seq": 14}, {"seq": 385})
+        assert seqs(parts, reader) == list(range(15, 386))
+        assert all(len(p.splits) == 1 or sum(s.end - s.start for s in p.splits) <= min(split, max(shared, 2000)) for p in parts)
+        assert (len(parts) == 1) == (shared == split) and (len(parts) <= 40 or split == 64)
+    monkeypatch.undo()
+    tasks = []
+    stream = change_log.read_stream(spark, f"file://{tmp_path}/log")
+    run(stream, lambda batch, n: tasks.append((batch.rdd.getNumPartitions(), batch.count())), tmp_path / "ck")
+    assert tasks == [(1, 400)]
