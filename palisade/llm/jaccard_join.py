@@ -333,7 +333,8 @@ def _possible(num: int, den: int):
             at = at[differ <= total - 2 * ((num * total + num + den - 1) // (num + den))]
             own = int(class_[i]), int(more[i])
             out += [(*own, None, None)] if len(at) > FEW else [(*own, int(class_[j]), int(more[j])) for j in at.tolist()]
-        return pd.DataFrame(out, columns=["x", "x2", "y", "y2"]).astype("Int64")
+        # As objects first: a column that holds None as well would become floats, which round the numbers, and pairs would be lost.
+        return pd.DataFrame(out, columns=["x", "x2", "y", "y2"], dtype=object).astype("Int64")
 
     return of
 

@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -394,6 +395,34 @@ def test_templates_move_sketches_not_texts(spark, monkeypatch):
     assert sum(moved[800][1:]) <= 8 * max(sum(moved[200][1:]), 10) and sum(moved[800]) < 5 * 800
 
 
+def test_possible_pairs_keep_their_numbers():
+    """One member of a group has more than FEW possible partners, another has few: the latter's numbers, of 64 bits, are whole."""
+    many = [(2**62 + i, -(2**61) - i, 100, 0) for i in range(jaccard_join.FEW + 2)]  # equal sizes and sketches
+    pair = [(2**62 + 1001, -(2**62) - 1001, 300, 7), (2**62 + 1003, -(2**62) - 1003, 301, 7)]
+    frame = pd.DataFrame([(c, more, n, *[bits] * jaccard_join.SKETCH, 0, c, True) for c, more, n, bits in many + pair], columns=["class", "more", "n", *[f"s{i}" for i in range(jaccard_join.SKETCH)], "side", "comp", "outside"])
+    got = jaccard_join._possible(9, 10)(frame)
+    assert set(got[got["y"].isna()]["x"]) == {c for c, *_ in many}
+    rest = got[got["y"].notna()]
+    (a, a2, *_), (b, b2, *_) = pair
+    assert sorted(rest.itertuples(index=False, name=None)) == sorted([(a, a2, b, b2), (b, b2, a, a2)])
+
+
+def test_near_copies_within_a_group_of_many(spark, monkeypatch):
+    """Near copies of one text, alike only to that: some have more than FEW possible partners and some have few, and none loses its link."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    monkeypatch.setattr(jaccard_join, "FEW", 3)
+    rng = random.Random(1)
+    base = [f"t{i}" for i in range(100)]
+    rows = [(40, " ".join(base))]
+    for i in range(40):
+        own = list(base)
+        own[rng.randrange(2, 98)] = f"own{i}"
+        rows.append((i, " ".join(own)))
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: (r["n"], r["component"]) for r in got} == brute_components(rows, 9, 10, 3) == {i: (98, 0) for i in range(41)}
+
+
 def test_an_id_with_two_texts_keeps_both_links(spark):
     """Both texts of an id may come into one group; what either is linked with counts."""
     base = [f"w{i}" for i in range(60)]
